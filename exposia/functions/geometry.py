@@ -7,6 +7,7 @@ on, and a ring may be left unclosed. All functions are native higher-order expre
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -79,38 +80,43 @@ def project(geometry: Column | str, source: str | None, target: str | None) -> C
     )
 
 
-def ring_edges(ring: Column) -> Column:
-    """Edges of a ring as structs ``x1, y1, x2, y2``, including the closing one."""
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Apply ``body`` to a value computed once, however often the body uses it."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
+def ring_edges(ring: Column, origin: Column | None = None) -> Column:
+    """Edges of a ring as structs ``x1, y1, x2, y2``, including the closing one.
+
+    With ``origin`` (a struct ``x, y``) they are relative to it.
+    """
     following = F.concat(
         F.slice(ring, 2, F.size(ring)), F.array(F.try_element_at(ring, F.lit(1)))
     )
-    return F.filter(
-        F.zip_with(
-            ring,
-            following,
-            lambda a, b: F.struct(
-                a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")
-            ),
-        ),
-        lambda e: e["x1"].isNotNull(),
-    )
+
+    def edge(a: Column, b: Column) -> Column:
+        ends = {"x1": a[0], "y1": a[1], "x2": b[0], "y2": b[1]}
+        if origin is not None:
+            ends = {name: value - origin[name[0]] for name, value in ends.items()}
+        return F.struct(*[value.alias(name) for name, value in ends.items()])
+
+    # An empty ring still has one "following" entry; slicing leaves it without edges.
+    return F.slice(F.zip_with(ring, following, edge), 1, F.size(ring))
 
 
 def edges(geometry: Column | str) -> Column:
     """Edges of all rings of all parts in one array."""
-    return F.flatten(F.transform(F.flatten(as_column(geometry)), ring_edges))
+    return F.flatten(F.transform(F.flatten(as_column(geometry)), lambda ring: ring_edges(ring)))
 
 
 def bounds(edge_list: Column | str) -> Column:
     """Bounding box of an edge list as struct ``xmin, ymin, xmax, ymax``; each vertex starts an edge."""
     edge_list = as_column(edge_list)
-    xs = F.transform(edge_list, lambda e: e["x1"])
-    ys = F.transform(edge_list, lambda e: e["y1"])
     return F.struct(
-        F.array_min(xs).alias("xmin"),
-        F.array_min(ys).alias("ymin"),
-        F.array_max(xs).alias("xmax"),
-        F.array_max(ys).alias("ymax"),
+        F.array_min(edge_list["x1"]).alias("xmin"),
+        F.array_min(edge_list["y1"]).alias("ymin"),
+        F.array_max(edge_list["x1"]).alias("xmax"),
+        F.array_max(edge_list["y1"]).alias("ymax"),
     )
 
 
@@ -128,35 +134,55 @@ def inside(edge_list: Column | str, x: Column | str, y: Column | str) -> Column:
     return F.aggregate(as_column(edge_list), F.lit(False), lambda odd, e: odd != crossed(e))
 
 
-_MOMENTS = ("area", "ax", "ay", "length", "lx", "ly")
+_MOMENTS = ("size", "x", "y")
 
 
 def _zero_moments() -> Column:
     return F.struct(*[F.lit(0.0).alias(name) for name in _MOMENTS])
 
 
-def _ring_moments(ring: Column, outline: Column, x0: Column, y0: Column) -> Column:
-    """Area and boundary sums of one ring around ``x0, y0``; a hole counts with a negative area."""
-
-    def add(total: Column, e: Column) -> Column:
-        x1, y1, x2, y2 = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
-        cross = x1 * y2 - x2 * y1
-        length = F.hypot(x2 - x1, y2 - y1)
-        return F.struct(
-            (total["area"] + cross).alias("area"),
-            (total["ax"] + (x1 + x2) * cross).alias("ax"),
-            (total["ay"] + (y1 + y2) * cross).alias("ay"),
-            (total["length"] + length).alias("length"),
-            (total["lx"] + (x1 + x2) / 2 * length).alias("lx"),
-            (total["ly"] + (y1 + y2) / 2 * length).alias("ly"),
-        )
+def _plus(a: Column, b: Column) -> Column:
+    return F.struct(*[(a[name] + b[name]).alias(name) for name in _MOMENTS])
+
+
+def _add_area(total: Column, e: Column) -> Column:
+    """Twice the signed area between edge and anchor, and the same weighted by position."""
+    cross = e["x1"] * e["y2"] - e["x2"] * e["y1"]
+    return F.struct(
+        (total["size"] + cross).alias("size"),
+        (total["x"] + (e["x1"] + e["x2"]) * cross).alias("x"),
+        (total["y"] + (e["y1"] + e["y2"]) * cross).alias("y"),
+    )
+
+
+def _add_length(total: Column, e: Column) -> Column:
+    """Edge length, and the same weighted by position."""
+    length = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
+    return F.struct(
+        (total["size"] + length).alias("size"),
+        (total["x"] + (e["x1"] + e["x2"]) * length).alias("x"),
+        (total["y"] + (e["y1"] + e["y2"]) * length).alias("y"),
+    )
+
+
+def _area_moments(geometry: Column, anchor: Column) -> Column:
+    """Area sums of all rings; outlines count positive and holes negative whatever their turn."""
 
-    def orient(total: Column) -> Column:
-        sign = F.signum(total["area"]) * F.when(outline, 1.0).otherwise(-1.0)
-        signed = [(total[name] * sign).alias(name) for name in _MOMENTS[:3]]
-        return F.struct(*signed, *[total[name].alias(name) for name in _MOMENTS[3:]])
+    def oriented(total: Column, hole: Column) -> Column:
+        sign = F.signum(total["size"]) * F.when(hole, -1.0).otherwise(1.0)
+        return F.struct(*[(total[name] * sign).alias(name) for name in _MOMENTS])
 
-    return F.aggregate(ring_edges(ring), _zero_moments(), add, orient)
+    def ring_sums(ring: Column, i: Column) -> Column:
+        edge_list = ring_edges(ring, anchor)
+        return F.aggregate(edge_list, _zero_moments(), _add_area, lambda t: oriented(t, i > 0))
+
+    rings = F.transform(geometry, lambda polygon: F.transform(polygon, ring_sums))
+    return F.aggregate(F.flatten(rings), _zero_moments(), _plus)
+
+
+def _length_moments(geometry: Column, anchor: Column) -> Column:
+    rings = F.transform(F.flatten(geometry), lambda ring: ring_edges(ring, anchor))
+    return F.aggregate(F.flatten(rings), _zero_moments(), _add_length)
 
 
 def centroid(geometry: Column | str) -> Column:
@@ -165,31 +191,24 @@ def centroid(geometry: Column | str) -> Column:
     Coordinates are shifted to the first vertex before summing, which keeps the precision of
     small shapes far from the origin.
     """
-    geometry = as_column(geometry)
-    first = F.try_element_at(F.flatten(F.flatten(geometry)), F.lit(1))
-    x0, y0 = first[0], first[1]
-    rings = F.flatten(
-        F.transform(
-            geometry,
-            lambda polygon: F.transform(
-                polygon, lambda ring, i: _ring_moments(ring, i == 0, x0, y0)
-            ),
+
+    def divided(total: Column, factor: float, anchor: Column) -> Column:
+        point = F.struct(
+            *[(anchor[c] + F.try_divide(total[c], factor * total["size"])).alias(c) for c in "xy"]
         )
-    )
-    total = F.aggregate(
-        rings,
-        _zero_moments(),
-        lambda a, b: F.struct(*[(a[name] + b[name]).alias(name) for name in _MOMENTS]),
-        lambda m: F.struct(
-            F.coalesce(
-                F.try_divide(m["ax"], 3 * m["area"]), F.try_divide(m["lx"], m["length"]), F.lit(0.0)
-            ).alias("dx"),
-            F.coalesce(
-                F.try_divide(m["ay"], 3 * m["area"]), F.try_divide(m["ly"], m["length"]), F.lit(0.0)
-            ).alias("dy"),
-        ),
-    )
-    return F.struct((x0 + total["dx"]).alias("x"), (y0 + total["dy"]).alias("y"))
+        return F.when(total["size"] != 0, point)
+
+    def place(shape: Column, anchor: Column) -> Column:
+        by_area = bound(_area_moments(shape, anchor), lambda t: divided(t, 3.0, anchor))
+        by_length = bound(_length_moments(shape, anchor), lambda t: divided(t, 2.0, anchor))
+        return F.coalesce(by_area, by_length, anchor)
+
+    def anchored(shape: Column) -> Column:
+        first = F.try_element_at(F.flatten(F.flatten(shape)), F.lit(1))
+        anchor = bound(first, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+        return bound(anchor, lambda a: place(shape, a))
+
+    return bound(as_column(geometry), anchored)
 
 
 def to_wkt(geometry: Column | str) -> Column:

@@ -13,6 +13,8 @@ _SPACE = r"[\s\x1C-\x1F]"
 _EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
 _CASE_RUNS = rf"([{_CASED}]+|[^{_CASED}]+)"
+# Letters whose title form differs from their upper-case form.
+_UPPER_DIGRAPHS, _TITLE_DIGRAPHS = "ǄǇǊǱ", "ǅǈǋǲ"
 _PAREN = r"\(([^)]+)\)"
 _SPACED_PAREN = rf"(?U){_SPACE}*\([^)]+\)"
 
@@ -22,16 +24,23 @@ def trim_ws(text: Column | str) -> Column:
     return F.regexp_replace(as_column(text), _EDGES, "")
 
 
+def _after_first(text: Column) -> Column:
+    return F.substring(text, 2, 2**31 - 1)
+
+
 def title_case(text: Column | str) -> Column:
     """Upper-case each letter that follows a non-letter and lower-case the others.
 
     ``initcap`` restarts only after spaces; here ``MEN'S`` gives ``Men'S`` and ``3RD`` gives ``3Rd``.
     """
     runs = F.regexp_extract_all(F.lower(as_column(text)), F.lit(_CASE_RUNS), F.lit(1))
-    titled = F.transform(
-        runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, 2, 2**31 - 1))
-    )
-    return F.array_join(titled, "")
+
+    def titled(run: Column) -> Column:
+        # One letter may become two, as in sharp s; only the first of them is a capital.
+        first = F.translate(F.upper(F.substring(run, 1, 1)), _UPPER_DIGRAPHS, _TITLE_DIGRAPHS)
+        return F.concat(F.substring(first, 1, 1), F.lower(_after_first(first)), _after_first(run))
+
+    return F.array_join(F.transform(runs, titled), "")
 
 
 def contains_ignoring_case(text: Column | str, part: str) -> Column:

@@ -31,6 +31,13 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
+def splits_skew(df: DataFrame) -> bool:
+    """Whether adaptive execution will split skewed partitions of a shuffle join."""
+    conf = df.sparkSession.conf
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(conf.get(name).lower() == "true" for name in names)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     size = estimated_bytes(df)
     return size is not None and size <= broadcast_limit(df)
@@ -107,14 +114,18 @@ def left_lookup(
     *,
     condition: Column | None = None,
     small: bool | None = None,
+    salted: bool | None = None,
 ) -> DataFrame:
     """Keep every left row and add the right columns other than the keys.
 
     ``on`` pairs a left column with a right column or expression. Left rows repeat when the right
-    key does, and a missing key matches nothing. A right side within the session's broadcast
-    threshold is joined plainly: Catalyst broadcasts it and the left side does not shuffle. Anything
-    larger takes the salted shuffle join. ``small`` states the outcome when the caller has measured
-    the right side.
+    key does, and a missing key matches nothing.
+
+    A right side within the session's broadcast threshold is joined plainly: Catalyst broadcasts it
+    and the left side does not shuffle. Anything larger is a shuffle join. Its hot keys, and the
+    rows without a key, are split by adaptive execution, which sees the real sizes; where that is
+    switched off, or with ``salted``, by counting and salting. ``small`` states the outcome when the
+    caller has measured the right side; Catalyst's own estimate is then not to be trusted.
     """
     key_names = [f"_lookup_key_{i}" for i in range(len(on))]
     plain = {k for _, k in on if isinstance(k, str)}
@@ -126,15 +137,19 @@ def left_lookup(
     right = right.select(*keys, *kept)
     pairs = [(a, n) for n, (a, _) in zip(key_names, on)]
 
-    if small is None:
-        small = fits_broadcast(right)
-    if small:
+    measured = small is not None
+    small = small if measured else fits_broadcast(right)
+    if salted is None:
+        salted = not small and not splits_skew(left)
+    if salted:
+        joined = salted_left_join(left, right, pairs, condition=condition)
+    else:
         matches = condition if condition is not None else F.lit(True)
         for a, b in pairs:
             matches = (F.col(a) == F.col(b)) & matches
+        if measured:
+            right = F.broadcast(right) if small else right.hint("merge")
         joined = left.join(right, matches, "left")
-    else:
-        joined = salted_left_join(left, right, pairs, condition=condition)
     return joined.drop(*key_names)
 
 

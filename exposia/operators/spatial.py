@@ -34,25 +34,25 @@ def with_centroid(
 
 def region_outlines(regions: DataFrame, region_id: str, geometry: str = "geometry") -> DataFrame:
     """Regions as an edge list with its bounding box."""
-    return (
-        regions.select(F.col(region_id), geo.edges(geometry).alias("_edges"))
-        .filter(F.size("_edges") > 0)
-        .withColumn("_box", geo.bounds("_edges"))
-    )
+    outlined = regions.select(F.col(region_id), geo.edges(geometry).alias("_edges"))
+    return outlined.withColumn("_box", geo.bounds("_edges"))
 
 
 def region_cells(outlines: DataFrame, region_id: str, cell: float) -> DataFrame:
     """One row per region and grid cell it may cover, with the edges a ray from that cell can meet.
 
     Regions are cut into rows of cells first, then into cells. Edges outside the row or left of the
-    cell are dropped, so large outlines are not repeated whole, and so are cells with no edge left:
-    a point there lies outside. Any number of cells per region is possible.
+    cell are dropped, so large outlines are not repeated whole, and a row of cells ends where its
+    last edge does. Any number of cells per region is possible.
+
+    The outer form of ``explode`` keeps the optimizer from testing the generated arrays in a filter
+    of their own, which would compute the edges again.
     """
     size = F.lit(float(cell))
     rows = outlines.select(
         region_id,
         "_edges",
-        F.explode(
+        F.explode_outer(
             F.sequence(F.floor(F.col("_box.ymin") / size), F.floor(F.col("_box.ymax") / size))
         ).alias("_cell_y"),
     )
@@ -65,22 +65,18 @@ def region_cells(outlines: DataFrame, region_id: str, cell: float) -> DataFrame:
             & (F.least(e["y1"], e["y2"]) <= high)
             & (e["y1"] != e["y2"]),
         ),
-    ).filter(F.size("_edges") > 0)
-    lefts = F.transform("_edges", lambda e: F.least(e["x1"], e["x2"]))
-    rights = F.transform("_edges", lambda e: F.greatest(e["x1"], e["x2"]))
+    )
+    starts, ends = F.col("_edges.x1"), F.col("_edges.x2")
+    leftmost = F.least(F.array_min(starts), F.array_min(ends))
+    rightmost = F.greatest(F.array_max(starts), F.array_max(ends))
     cells = rows.withColumn(
         "_cell_x",
-        F.explode(
-            F.sequence(
-                F.floor(F.array_min(lefts) / size), F.floor(F.array_max(rights) / size)
-            )
-        ),
+        F.explode_outer(F.sequence(F.floor(leftmost / size), F.floor(rightmost / size))),
     )
     left = (F.col("_cell_x") - _SLACK) * size
-    cells = cells.withColumn(
+    return cells.filter(F.col("_cell_x").isNotNull()).withColumn(
         "_edges", F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
     )
-    return cells.filter(F.size("_edges") > 0)
 
 
 def _cells_fit(outlines: DataFrame, cell: float) -> bool:
@@ -90,8 +86,8 @@ def _cells_fit(outlines: DataFrame, cell: float) -> bool:
         return F.floor(F.col(f"_box.{high}") / cell) - F.floor(F.col(f"_box.{low}") / cell) + 1
 
     cells = span("xmin", "xmax").cast("double") * span("ymin", "ymax")
-    bound = outlines.agg(F.sum(cells * (F.size("_edges") + 1) * _EDGE_BYTES)).first()[0]
-    return bound is None or bound <= broadcast_limit(outlines)
+    most = outlines.agg(F.sum(cells * (F.size("_edges") + 1) * _EDGE_BYTES)).first()[0]
+    return most is None or most <= broadcast_limit(outlines)
 
 
 def join_regions(
@@ -120,8 +116,6 @@ def join_regions(
     if small is None:
         small = _cells_fit(outlines, cell)
     cells = region_cells(outlines, region_id, cell)
-    if small:
-        cells = F.broadcast(cells)
     located = points.withColumns(
         {"_point_cell_x": F.floor(F.col(x) / cell), "_point_cell_y": F.floor(F.col(y) / cell)}
     )
