@@ -13,7 +13,7 @@ from exposia.operators import cleaning, joins, measures, reshape, scaling, spati
 from exposia.plans import tables
 from exposia.sources.delimited import read_csv, write_csv
 from exposia.sources.geojson import feature_lines, read_geojson
-from exposia.sources.staging import scratch_path
+from exposia.sources.staging import materialize, scratch_path
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -80,8 +80,11 @@ def sentinel_to_null(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suppressed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return st.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", numeric.parse_suppressed(st.count_text()).alias("population")
+    printed = st.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", st.count_text().alias("printed")
+    )
+    return printed.select(
+        "l_orderkey", "l_linenumber", numeric.parse_suppressed("printed").alias("population")
     )
 
 
@@ -217,7 +220,7 @@ def composite_index(spark: SparkSession, sf: str) -> DataFrame:
         st.screening(spark, sf).withColumn("tract", text.zero_pad(text.key_text("tract"), 11)),
         [("GEOID", "tract")],
     )
-    index = scaling.heat_air_index(joined)
+    index = scaling.heat_air_index(joined, stage=materialize)
     return index.select(
         "GEOID", "AQI", "AQI_norm", "days_over_90_historic_norm", "heat_hazard_idx", "heat_hazard_idx_norm"
     )

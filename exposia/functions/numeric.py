@@ -10,31 +10,33 @@ from pyspark.sql import Column, functions as F
 from exposia.functions.columns import as_column
 from exposia.functions.text import trim_ws
 
-# Estimates for suppressed counts, and texts that mean "no people counted".
-SUPPRESSED = {"**": 25.0, "*": 5.0}
-BLANK_COUNTS = ("(Blank)", "nan", "NaN", "")
+# Estimates for suppressed counts.
+SUPPRESSED = {"**": 25.0, "*": 5.0, "(Blank)": 0.0}
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Letters of number texts that only a cast accepts: type suffixes, hexadecimals, infinity.
+_CAST_ONLY = "dDfFxX"
 
 
 def parse_number(text: Column | str) -> Column:
     """Double value of a plain number text, NULL for anything else."""
+    return _number(as_column(text), as_column(text))
+
+
+def _number(source: Column, text: Column) -> Column:
+    odd = reduce(lambda a, b: a | b, [source.contains(letter) for letter in _CAST_ONLY])
+    return F.when(~odd, nan_to_null(text.try_cast("double")))
+
+
+def parse_suppressed(text: Column | str, marks: Mapping[str, float] = SUPPRESSED) -> Column:
+    """Count from published text: thousands commas, suppression marks; missing or unreadable is 0."""
     text = as_column(text)
-    # try_cast alone would accept a type suffix such as '12d'.
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
-
-
-def parse_suppressed(
-    text: Column | str,
-    marks: Mapping[str, float] = SUPPRESSED,
-    blanks: Sequence[str] = BLANK_COUNTS,
-) -> Column:
-    """Count from published text: thousands commas, suppression marks, blanks; unreadable is 0."""
-    cell = trim_ws(F.replace(as_column(text), F.lit(","), F.lit("")))
-    value = F.when(cell.isNull() | cell.isin(*blanks), F.lit(0.0))
-    for mark, estimate in marks.items():
-        value = value.when(cell == mark, F.lit(float(estimate)))
-    return value.otherwise(F.coalesce(parse_number(cell), F.lit(0.0)))
+    bare = F.replace(text, F.lit(","), F.lit(""))
+    cell = trim_ws(bare)
+    estimate = F.lit(None).cast("double")
+    for mark, value in marks.items():
+        estimate = F.when(cell == mark, F.lit(float(value))).otherwise(estimate)
+    # Most cells are numbers and end at the first branch; the last one is for exotic spaces.
+    return F.coalesce(_number(text, bare), estimate, _number(text, cell), F.lit(0.0))
 
 
 def nan_to_null(value: Column | str) -> Column:

@@ -8,39 +8,31 @@ from pyspark.sql import Column, functions as F
 
 from exposia.functions.columns import as_column
 
-# Unicode white space plus the four ASCII separators, which count as space too.
-_SPACE = r"[\s\x1C-\x1F]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# The characters that Python's str.strip takes as space.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
-_CASE_RUNS = rf"([{_CASED}]+|[^{_CASED}]+)"
-# Letters whose title form differs from their upper-case form.
-_UPPER_DIGRAPHS, _TITLE_DIGRAPHS = "ǄǇǊǱ", "ǅǈǋǲ"
+# A noncharacter, so no text holds it.
+_MARK = "\uffff "
 _PAREN = r"\(([^)]+)\)"
-_SPACED_PAREN = rf"(?U){_SPACE}*\([^)]+\)"
+_SPACED_PAREN = rf"[{_SPACES}]*\([^)]+\)"
 
 
 def trim_ws(text: Column | str) -> Column:
-    """Strip every kind of white space at both ends (``trim`` only strips U+0020)."""
-    return F.regexp_replace(as_column(text), _EDGES, "")
-
-
-def _after_first(text: Column) -> Column:
-    return F.substring(text, 2, 2**31 - 1)
+    """Strip every kind of white space at both ends (plain ``trim`` only strips U+0020)."""
+    return F.trim(as_column(text), F.lit(_SPACES))
 
 
 def title_case(text: Column | str) -> Column:
     """Upper-case each letter that follows a non-letter and lower-case the others.
 
-    ``initcap`` restarts only after spaces; here ``MEN'S`` gives ``Men'S`` and ``3RD`` gives ``3Rd``.
+    ``initcap`` alone restarts only after spaces, so each run of letters is first set off by a mark
+    and a space: ``MEN'S`` gives ``Men'S`` and ``3RD`` gives ``3Rd``.
     """
-    runs = F.regexp_extract_all(F.lower(as_column(text)), F.lit(_CASE_RUNS), F.lit(1))
-
-    def titled(run: Column) -> Column:
-        # One letter may become two, as in sharp s; only the first of them is a capital.
-        first = F.translate(F.upper(F.substring(run, 1, 1)), _UPPER_DIGRAPHS, _TITLE_DIGRAPHS)
-        return F.concat(F.substring(first, 1, 1), F.lower(_after_first(first)), _after_first(run))
-
-    return F.array_join(F.transform(runs, titled), "")
+    marked = F.regexp_replace(as_column(text), f"([{_CASED}]+)", f"{_MARK}$1")
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def contains_ignoring_case(text: Column | str, part: str) -> Column:

@@ -50,11 +50,10 @@ def heat_air_index(
     """Air quality as the mean of its percentiles, and its scaled mean with the scaled heat days.
 
     The index is scaled by extremes that depend on those of its parts, so two global aggregates
-    follow each other. ``stage`` (such as ``materialize``) is applied before each of them to keep
-    the upstream plan from running again.
+    follow each other and each reads the frame again. ``stage`` (such as ``materialize``) is applied
+    once before the first, so that they read stored columns and not the upstream plan.
     """
-    stage = stage or (lambda frame: frame)
-    parts = stage(df.withColumn("AQI", row_mean(air)))
-    first = min_max_scale(parts, [heat, *also, "AQI"])
-    index = stage(first.withColumn("heat_hazard_idx", row_mean(["AQI_norm", f"{heat}_norm"])))
+    parts = df.withColumn("AQI", row_mean(air))
+    first = min_max_scale(stage(parts) if stage else parts, [heat, *also, "AQI"])
+    index = first.withColumn("heat_hazard_idx", row_mean(["AQI_norm", f"{heat}_norm"]))
     return min_max_scale(index, ["heat_hazard_idx"])

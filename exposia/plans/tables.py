@@ -13,6 +13,7 @@ from exposia.operators.joins import enrich, left_lookup
 from exposia.operators.reshape import Family, categories, family_means
 from exposia.operators.scaling import heat_air_index
 from exposia.operators.spatial import assign_region, with_centroid
+from exposia.sources.staging import materialize
 
 # Fixed values of the facility review.
 UNUSED_BOUNDARY_COLUMNS = (
@@ -107,12 +108,13 @@ def state_facilities(
     genders: Sequence[str] | None = None,
     overrides: Mapping[str, str] = CODE_OVERRIDES,
     aliases: Mapping[str, str] = CODE_ALIASES,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Callable[[DataFrame], DataFrame] | None = materialize,
 ) -> DataFrame:
     """State facilities with code, population, demographic shares and reviewed facts.
 
-    The three panels are averaged in one shuffle and joined once. ``stage`` (such as
-    ``materialize``) is applied to the per-location counts: written, they show their real size.
+    The three panels are averaged in one shuffle and joined once. ``stage`` writes the per-location
+    counts, which shows Catalyst their real size, so that facilities do not shuffle to meet a small
+    table; None leaves the choice to adaptive execution.
     """
     named = cleaning.extract_name_attributes(base, overrides)
     code = F.coalesce(cleaning.mapped("cdcr_code", aliases), F.col("cdcr_code"))
@@ -151,12 +153,13 @@ def heat_air_hazard(
     *,
     sentinels: Sequence[float] = (),
     all_columns: bool = False,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Callable[[DataFrame], DataFrame] | None = materialize,
 ) -> DataFrame:
     """Heat and air hazard per census tract, keyed by ``geoid``.
 
     ``sentinels`` are turned into missing first. ``all_columns`` also keeps the other thresholds
-    and the unscaled measures.
+    and the unscaled measures. ``stage`` writes the joined measures, which the two passes of scaling
+    then read; None recomputes them.
     """
     air = ["PollutionP", "ozoneP", "pmP", "dieselP"]
     days = [f"days_over_{t}_{when}" for t in THRESHOLDS for when in ("historic", "midcentury")]

@@ -51,7 +51,8 @@ def read_csv(
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Write CSV part files with a header; flags become ``True``/``False`` and missing is empty."""
-    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    complex_types = (T.ArrayType, T.MapType, T.StructType)
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, complex_types)]
     if nested:
         raise ValueError(f"CSV cannot hold nested columns {nested}; convert them first")
     flags = {
@@ -59,5 +60,13 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
         for f in df.schema.fields
         if isinstance(f.dataType, T.BooleanType)
     }
-    writer = df.withColumns(flags).write.mode(mode)
-    writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (
+        df.withColumns(flags)
+        .write.mode(mode)
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
