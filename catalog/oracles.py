@@ -6,7 +6,7 @@ and published counts against the numbers they were printed from.
 
 from __future__ import annotations
 
-from catalog.queries import TABLES
+from catalog.standins import TABLES
 
 
 def title(expr: str) -> str:

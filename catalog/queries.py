@@ -15,10 +15,6 @@ from exposia.sources.delimited import read_csv, write_csv
 from exposia.sources.geojson import feature_lines, read_geojson
 from exposia.sources.staging import materialize, scratch_path
 
-TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-    "embeddings", "pages", "benchmark", "labels", "conversations",
-)
 POPULATION = "average_2025_population"
 
 
@@ -80,8 +76,8 @@ def sentinel_to_null(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suppressed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    printed = st.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", st.count_text().alias("printed")
+    printed = st.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"{st.COUNT_TEXT} as printed"
     )
     return printed.select(
         "l_orderkey", "l_linenumber", numeric.parse_suppressed("printed").alias("population")
@@ -125,17 +121,19 @@ def _coded(spark: SparkSession, sf: str) -> DataFrame:
     return tables.with_population(coded, st.averages(spark, sf), "cdcr_code")
 
 
-def _families(spark: SparkSession, sf: str) -> dict[str, reshape.Family]:
-    return {
-        "age": reshape.Family(st.age_panel(spark, sf), "Age Group", "age", st.AGE_BANDS),
-        "cob": reshape.Family(st.birth_country_panel(spark, sf), "Country of Birth", "cob", st.COUNTRIES),
-        "gender": reshape.Family(st.gender_panel(spark, sf), "Gender", "gender", st.GENDERS),
-        "race": reshape.Family(st.race_panel(spark, sf), "Race", "race", st.RACES),
+def _families(spark: SparkSession, sf: str, *prefixes: str) -> list[reshape.Family]:
+    known = {
+        "age": (st.age_panel, "Age Group", st.AGE_BANDS),
+        "cob": (st.birth_country_panel, "Country of Birth", st.COUNTRIES),
+        "gender": (st.gender_panel, "Gender", st.GENDERS),
+        "race": (st.race_panel, "Race", st.RACES),
     }
+    chosen = [(p, *known[p]) for p in prefixes]
+    return [reshape.Family(panel(spark, sf), name, p, values) for p, panel, name, values in chosen]
 
 
 def clipped_floored_share(spark: SparkSession, sf: str) -> DataFrame:
-    counts = reshape.category_means_wide([_families(spark, sf)["gender"]])
+    counts = reshape.category_means_wide(_families(spark, sf, "gender"))
     facilities = _coded(spark, sf).select("facilityid", "cdcr_code", POPULATION)
     return measures.category_shares(facilities, counts, "gender", POPULATION)
 
@@ -153,7 +151,7 @@ def metadata_enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mean_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return reshape.category_means_wide([_families(spark, sf)["race"]])
+    return reshape.category_means_wide(_families(spark, sf, "race"))
 
 
 def category_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,17 +161,17 @@ def category_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def align_families(spark: SparkSession, sf: str) -> DataFrame:
-    return reshape.category_means_wide(list(_families(spark, sf).values()))
+    return reshape.category_means_wide(_families(spark, sf, "age", "cob", "gender", "race"))
 
 
 def cumulative_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    counts = reshape.category_means_wide([_families(spark, sf)["age"]])
+    counts = reshape.category_means_wide(_families(spark, sf, "age"))
     facilities = _coded(spark, sf).select("facilityid", "cdcr_code", POPULATION)
     return measures.cumulative_tiers(facilities, counts, POPULATION)
 
 
 def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
-    counts = reshape.category_means_wide([_families(spark, sf)["race"]])
+    counts = reshape.category_means_wide(_families(spark, sf, "race"))
     facilities = _coded(spark, sf).select("facilityid", "cdcr_code", POPULATION)
     return measures.one_vs_rest_shares(facilities, counts, POPULATION)
 
@@ -285,7 +283,7 @@ def wkt(spark: SparkSession, sf: str) -> DataFrame:
 
 def attach_hazards(spark: SparkSession, sf: str) -> DataFrame:
     located = st.customers(spark, sf).withColumn(
-        "tract_geoid", st.tract_id((F.col("facilityid").cast("bigint") - 10_000_000) * 3)
+        "tract_geoid", F.expr(st.tract_id("(bigint(facilityid) - 10000000) * 3"))
     )
     hazard = st.heat_days(spark, sf).withColumnRenamed("GEOID", "geoid")
     return tables.exposure(located.select("facilityid", "tract_geoid"), hazard)
@@ -307,7 +305,7 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
 def row_counts(spark: SparkSession, sf: str) -> DataFrame:
     counts = [
         cleaning.row_count(st.table(spark, sf, name)).select(F.lit(name).alias("table_name"), "rows")
-        for name in TABLES
+        for name in st.TABLES
     ]
     return reduce(DataFrame.unionByName, counts)
 

@@ -10,13 +10,11 @@ opposite orientation. Customer ``k`` lies in the square of tract ``k``, or far w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from exposia.functions.text import zero_pad
-
-SIDE = 1e-4
+SIDE = "1e-4"
 CELL = 5e-4
-HALF_FOOTPRINT = 2e-6
+HALF_FOOTPRINT = "2e-6"
 
 AGE_BANDS = (
     "45-49 Years", "50-54 Years", "55-59 Years", "60-64 Years", "65-69 Years", "70-74 Years",
@@ -26,127 +24,129 @@ GENDERS = ("Female", "Male")
 RACES = ("Black", "Hispanic/Latino", "White")
 COUNTRIES = ("El Salvador", "Guinea-Bissau", "Mexico", "US/Canada")
 
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corner(k: Column) -> tuple[Column, Column]:
-    x0 = F.lit(-120.0) + (k % 1_000_000) * SIDE
-    y0 = F.lit(-21.0) + (k % 7) * 5 + F.floor(k / 1_000_000) * SIDE
-    return x0, y0
+def corner(k: str) -> tuple[str, str]:
+    return (
+        f"(-120D + ({k} % 1000000) * {SIDE})",
+        f"(-21D + ({k} % 7) * 5 + ({k} div 1000000) * {SIDE})",
+    )
 
 
-def location(k: Column) -> tuple[Column, Column]:
+def location(k: str) -> tuple[str, str]:
     """Coordinates of facility ``k``, never on a tract border."""
     x0, y0 = corner(k)
-    x = x0 + ((k * 37) % 97 + F.lit(0.3)) / 97 * SIDE
-    y = y0 + ((k * 53) % 89 + F.lit(0.3)) / 89 * SIDE
-    return F.when(k % 11 == 0, x - 50).otherwise(x), y
+    x = f"({x0} + (({k} * 37) % 97 + 0.3D) / 97 * {SIDE} - if({k} % 11 = 0, 50, 0))"
+    return x, f"({y0} + (({k} * 53) % 89 + 0.3D) / 89 * {SIDE})"
 
 
-def rectangle(x1: Column, y1: Column, x2: Column, y2: Column, clockwise: bool = False) -> Column:
+def rectangle(x1: str, y1: str, x2: str, y2: str, clockwise: bool = False) -> str:
     corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]
-    if clockwise:
-        corners.reverse()
-    return F.array(*[F.array(x, y) for x, y in corners])
+    ordered = reversed(corners) if clockwise else corners
+    return f"array({', '.join(f'array({x}, {y})' for x, y in ordered)})"
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facility key and point of every customer."""
-    k = F.col("c_custkey")
-    x, y = location(k)
-    return table(spark, sf_dir, "customer").select(
-        (k + 10_000_000).cast("string").alias("facilityid"),
-        x.alias("longitude"),
-        y.alias("latitude"),
+    x, y = location("c_custkey")
+    return table(spark, sf_dir, "customer").selectExpr(
+        "string(c_custkey + 10000000) as facilityid", f"{x} as longitude", f"{y} as latitude"
     )
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facility boundaries with the attributes of the national layer."""
-    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
-    x, y = location(k)
+    x, y = location("c_custkey")
     h = HALF_FOOTPRINT
-    kinds = F.array(*[F.lit(t) for t in ("LOCAL", "COUNTY", "STATE", "STATE")])
-    name = F.concat(
-        F.col("c_mktsegment"),
-        F.lit(" MEN'S STATE PRISON"),
-        F.when(k % 4 == 0, " CAMPUS").otherwise(""),
-        F.when(k % 5 != 0, F.concat(F.lit(" ( s"), F.floor(k / 15).cast("string"), F.lit(" )"))).otherwise(""),
-        F.when(k % 3 == 0, " (WEST)").otherwise(""),
-    )
-    capacity = F.when(k % 13 == 0, -999.0).when(k % 17 == 0, 0.0).otherwise(200.0 + (k * 7) % 1000)
-    return table(spark, sf_dir, "customer").select(
-        text.alias("FID"),
-        text.alias("OBJECTID"),
-        (k + 10_000_000).cast("string").alias("FACILITYID"),
-        name.alias("NAME"),
-        F.concat(F.col("c_nationkey").cast("string"), F.lit("TH o'brien-road")).alias("ADDRESS"),
-        F.concat(F.lit("city of "), F.lower("c_mktsegment")).alias("CITY"),
-        F.when(F.col("c_nationkey") % 4 == 0, "NV").otherwise("CA").alias("STATE"),
-        text.alias("ZIP4"),
-        F.col("c_name").alias("TELEPHONE"),
-        kinds[(k % 4).cast("int")].alias("TYPE"),
-        F.when(k % 10 == 9, "CLOSED").otherwise("OPEN").alias("STATUS"),
-        F.when(k % 9 == 0, -999.0).otherwise(100.0 + k % 900).alias("POPULATION"),
-        capacity.alias("CAPACITY"),
-        text.alias("NAICS_CODE"),
-        text.alias("NAICS_DESC"),
-        text.alias("SOURCE"),
-        text.alias("SOURCEDATE"),
-        text.alias("VAL_METHOD"),
-        text.alias("VAL_DATE"),
-        F.array(F.array(rectangle(x - h, y - h, x + h, y + h))).alias("geometry"),
+    unused = ("FID", "OBJECTID", "ZIP4", "NAICS_CODE", "NAICS_DESC", "SOURCE", "SOURCEDATE", "VAL_METHOD", "VAL_DATE")
+    return (
+        table(spark, sf_dir, "customer")
+        .selectExpr("*", f"{x} as x", f"{y} as y")
+        .selectExpr(
+            *[f"string(c_custkey) as {name}" for name in unused],
+            "string(c_custkey + 10000000) as FACILITYID",
+            """concat(c_mktsegment, " MEN'S STATE PRISON", if(c_custkey % 4 = 0, ' CAMPUS', ''),
+               if(c_custkey % 5 <> 0, concat(' ( s', c_custkey div 15, ' )'), ''),
+               if(c_custkey % 3 = 0, ' (WEST)', '')) as NAME""",
+            """concat(c_nationkey, "TH o'brien-road") as ADDRESS""",
+            "concat('city of ', lower(c_mktsegment)) as CITY",
+            "if(c_nationkey % 4 = 0, 'NV', 'CA') as STATE",
+            "c_name as TELEPHONE",
+            "case c_custkey % 4 when 0 then 'LOCAL' when 1 then 'COUNTY' else 'STATE' end as TYPE",
+            "if(c_custkey % 10 = 9, 'CLOSED', 'OPEN') as STATUS",
+            "if(c_custkey % 9 = 0, -999D, 100D + c_custkey % 900) as POPULATION",
+            """case when c_custkey % 13 = 0 then -999D when c_custkey % 17 = 0 then 0D
+               else 200D + (c_custkey * 7) % 1000 end as CAPACITY""",
+            f"array(array({rectangle(f'x - {h}', f'y - {h}', f'x + {h}', f'y + {h}')})) as geometry",
+        )
     )
 
 
-def tract_id(k: Column) -> Column:
-    return zero_pad((k + 6_000_000_000).cast("string"), 11)
+def tract_id(k: str) -> str:
+    return f"lpad(string({k} + 6000000000), 11, '0')"
 
 
 def tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Census tracts: triangle, square with a hole, or two strips."""
-    k = F.col("p_partkey")
-    x0, y0 = corner(k)
+    x0, y0 = corner("p_partkey")
     s = SIDE
-    triangle = F.array(F.array(F.array(
-        F.array(x0, y0), F.array(x0 + s, y0), F.array(x0, y0 + s), F.array(x0, y0)
-    )))
-    holed = F.array(
-        F.array(
-            rectangle(x0, y0, x0 + s, y0 + s),
-            rectangle(x0 + s * 0.25, y0 + s * 0.25, x0 + s * 0.75, y0 + s * 0.75),
+    east, north = f"x0 + {s}", f"y0 + {s}"
+    triangle = f"array(array(array(array(x0, y0), array({east}, y0), array(x0, {north}), array(x0, y0))))"
+    hole = rectangle(f"x0 + {s} * 0.25D", f"y0 + {s} * 0.25D", f"x0 + {s} * 0.75D", f"y0 + {s} * 0.75D")
+    holed = f"array(array({rectangle('x0', 'y0', east, north)}, {hole}))"
+    west_strip = rectangle("x0", "y0", f"x0 + {s} * 0.4D", north)
+    east_strip = rectangle(f"x0 + {s} * 0.6D", "y0", east, north, clockwise=True)
+    return (
+        table(spark, sf_dir, "part")
+        .selectExpr("p_partkey", f"{x0} as x0", f"{y0} as y0")
+        .selectExpr(
+            "p_partkey",
+            f"{tract_id('p_partkey')} as GEOID",
+            f"""case p_partkey % 3 when 0 then {triangle} when 1 then {holed}
+                else array(array({west_strip}), array({east_strip})) end as geometry""",
         )
     )
-    strips = F.array(
-        F.array(rectangle(x0, y0, x0 + s * 0.4, y0 + s)),
-        F.array(rectangle(x0 + s * 0.6, y0, x0 + s, y0 + s, clockwise=True)),
-    )
-    shape = F.when(k % 3 == 0, triangle).when(k % 3 == 1, holed).otherwise(strips)
-    return table(spark, sf_dir, "part").select(k, tract_id(k).alias("GEOID"), shape.alias("geometry"))
 
 
 def overlapping_tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles 7.5 sides wide: the left half of a tract is also covered by its west neighbour."""
-    k = F.col("p_partkey")
-    x0, y0 = corner(k)
-    shape = F.array(F.array(rectangle(x0, y0, x0 + SIDE * 7.5, y0 + SIDE)))
-    return table(spark, sf_dir, "part").select(tract_id(k).alias("GEOID"), shape.alias("geometry"))
-
-
-def _supplier_code(k: Column) -> Column:
-    return F.concat(F.lit("S"), k.cast("string"))
+    x0, y0 = corner("p_partkey")
+    shape = rectangle(x0, y0, f"{x0} + {SIDE} * 7.5D", f"{y0} + {SIDE}")
+    return table(spark, sf_dir, "part").selectExpr(
+        f"{tract_id('p_partkey')} as GEOID", f"array(array({shape})) as geometry"
+    )
 
 
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average population per code; codes carry stray spaces."""
-    k = F.col("s_suppkey")
-    population = F.when(k % 19 == 0, 0.0).when(k % 23 != 0, 1000.0 + (k * 37) % 4000)
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_name").alias("Facility_Name"),
-        F.concat(F.lit(" "), _supplier_code(k), F.lit("\t")).alias("Facility_Code"),
-        population.alias("Average_2025_Population"),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_name as Facility_Name",
+        "concat(' S', s_suppkey, '\t') as Facility_Code",
+        """case when s_suppkey % 19 = 0 then 0D
+           when s_suppkey % 23 <> 0 then 1000D + (s_suppkey * 37) % 4000 end as Average_2025_Population""",
     )
 
 
@@ -155,93 +155,83 @@ ALIASES = {"T5": "S5", "T7": "S7"}
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed facts per code; two codes go by another name."""
-    k = F.col("s_suppkey")
-    code = F.when(k.isin(5, 7), F.concat(F.lit("T"), k.cast("string"))).otherwise(_supplier_code(k))
-    return table(spark, sf_dir, "supplier").select(
-        F.concat(code, F.lit(" ")).alias("Acronym"),
-        (k % 170 + 1850).cast("int").alias("Year_opened"),
-        F.when(k % 4 == 0, F.concat(F.lit('Opened as "'), "s_name", F.lit('", later renamed'))).alias("Year_opened_notes"),
-        F.when(k % 3 == 0, "Yes").alias("Reentry_hub"),
-        F.when(k % 31 == 0, "Yes").alias("Planned_closure"),
-        F.when(k % 5 == 0, "Yes").alias("California_model_facility"),
-        F.when(k % 8 == 0, "Yes").alias("cdcr_air_cooling_pilot"),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "concat(if(s_suppkey in (5, 7), 'T', 'S'), s_suppkey, ' ') as Acronym",
+        "int(s_suppkey % 170 + 1850) as Year_opened",
+        """if(s_suppkey % 4 = 0, concat('Opened as "', s_name, '", later renamed'), null) as Year_opened_notes""",
+        "if(s_suppkey % 3 = 0, 'Yes', null) as Reentry_hub",
+        "if(s_suppkey % 31 = 0, 'Yes', null) as Planned_closure",
+        "if(s_suppkey % 5 = 0, 'Yes', null) as California_model_facility",
+        "if(s_suppkey % 8 = 0, 'Yes', null) as cdcr_air_cooling_pilot",
     )
 
 
-def count_text() -> Column:
-    """Published count of a line item: suppressed, blank, missing, or a number with commas."""
-    k = F.col("l_orderkey")
-    n = (k * 31 + F.col("l_linenumber") * 7) % 5000
-    thousands = F.concat(
-        F.lit(" "), F.floor(n / 1000).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0")
-    )
-    return (
-        F.when(k % 11 == 0, "(Blank)")
-        .when(k % 13 == 0, "*")
-        .when(k % 17 == 0, "**")
-        .when(k % 19 == 0, F.lit(None).cast("string"))
-        .when(n >= 1000, thousands)
-        .otherwise(F.concat(n.cast("string"), F.lit(" ")))
-    )
+# Published count of a line item: suppressed, blank, missing, or a number with commas.
+_NUMBER = "((l_orderkey * 31 + l_linenumber * 7) % 5000)"
+COUNT_TEXT = f"""
+case when l_orderkey % 11 = 0 then '(Blank)' when l_orderkey % 13 = 0 then '*'
+  when l_orderkey % 17 = 0 then '**' when l_orderkey % 19 = 0 then null
+  when {_NUMBER} >= 1000 then concat(' ', {_NUMBER} div 1000, ',', lpad(string({_NUMBER} % 1000), 3, '0'))
+  else concat({_NUMBER}, ' ') end"""
+
+
+def _one_of(values: tuple[str, ...], index: str) -> str:
+    return f"array({', '.join(repr(v) for v in values)})[{index}]"
 
 
-def _item_panel(spark: SparkSession, sf_dir: str, name: str, category: Column) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.year("l_shipdate").alias("Year"),
-        F.month("l_shipdate").alias("Month"),
-        _supplier_code(F.col("l_suppkey")).alias("Location"),
-        category.alias(name),
-        count_text().alias("Population"),
+def _item_panel(spark: SparkSession, sf_dir: str, name: str, category: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "year(l_shipdate) as Year",
+        "month(l_shipdate) as Month",
+        "concat('S', l_suppkey) as Location",
+        f"{category} as `{name}`",
+        f"{COUNT_TEXT} as Population",
     )
 
 
 def age_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    band = F.floor((F.col("l_quantity") - 1) / 5).cast("int")
-    return _item_panel(spark, sf_dir, "Age Group", F.array(*map(F.lit, AGE_BANDS))[band])
+    return _item_panel(spark, sf_dir, "Age Group", _one_of(AGE_BANDS, "int(floor((l_quantity - 1) / 5))"))
 
 
 def gender_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _item_panel(
-        spark, sf_dir, "Gender", F.when(F.col("l_linestatus") == "F", "Female").otherwise("Male")
-    )
+    return _item_panel(spark, sf_dir, "Gender", "if(l_linestatus = 'F', 'Female', 'Male')")
 
 
 def race_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    race = F.when(F.col("l_returnflag") == "A", "White").when(F.col("l_returnflag") == "N", "Black")
-    return _item_panel(spark, sf_dir, "Race", race.otherwise("Hispanic/Latino"))
+    race = "case l_returnflag when 'A' then 'White' when 'N' then 'Black' else 'Hispanic/Latino' end"
+    return _item_panel(spark, sf_dir, "Race", race)
 
 
 def birth_country_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders give the fourth panel; it names more locations than the other three."""
-    country = F.array(*map(F.lit, COUNTRIES))[(F.col("o_orderkey") % 4).cast("int")]
-    return table(spark, sf_dir, "orders").select(
-        _supplier_code(F.floor(F.col("o_custkey") / 10)).alias("Location"),
-        country.alias("Country of Birth"),
-        (F.col("o_custkey") % 500).cast("string").alias("Population"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('S', o_custkey div 10) as Location",
+        f"{_one_of(COUNTRIES, 'int(o_orderkey % 4)')} as `Country of Birth`",
+        "string(o_custkey % 500) as Population",
     )
 
 
 def heat_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heat days per tract, summed from line items shipped before and after 1998."""
-    early = F.year("l_shipdate") <= 1998
-    sums = []
-    for threshold, least in ((80, 0), (90, 20), (100, 40)):
-        hot = F.when(F.col("l_quantity") > least, F.col("l_quantity"))
-        for when, test in (("historic", early), ("midcentury", ~early)):
-            sums.append(
-                F.sum(F.when(test, hot)).alias(f"days_over_{threshold}_{when}")
-            )
-    items = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*sums)
-    return items.select(tract_id(F.col("l_partkey")).alias("GEOID"), *items.columns[1:])
+    sums = [
+        f"sum(l_quantity) filter (where l_quantity > {least} and year(l_shipdate) {test} 1998)"
+        f" as days_over_{threshold}_{when}"
+        for threshold, least in ((80, 0), (90, 20), (100, 40))
+        for when, test in (("historic", "<="), ("midcentury", ">"))
+    ]
+    items = table(spark, sf_dir, "lineitem")
+    return spark.sql(
+        f"select {tract_id('l_partkey')} as GEOID, {', '.join(sums)} from {{items}} group by l_partkey",
+        items=items,
+    )
 
 
 def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per tract with gaps; every tenth tract goes by another, unmatched number."""
-    k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
-        (k + F.when(k % 10 == 9, 7_000_000_000).otherwise(6_000_000_000)).alias("tract"),
-        (F.col("p_size") * 2.0).alias("PollutionP"),
-        F.when(k % 7 != 0, ((k * 13) % 101).cast("double")).alias("ozoneP"),
-        F.when(k % 5 != 0, ((k * 29) % 101).cast("double")).alias("pmP"),
-        F.when((k % 3 != 0) & (k % 35 != 0), ((k * 31) % 101).cast("double")).alias("dieselP"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey + if(p_partkey % 10 = 9, 7000000000, 6000000000) as tract",
+        "p_size * 2D as PollutionP",
+        "if(p_partkey % 7 <> 0, double((p_partkey * 13) % 101), null) as ozoneP",
+        "if(p_partkey % 5 <> 0, double((p_partkey * 29) % 101), null) as pmP",
+        "if(p_partkey % 3 <> 0 and p_partkey % 35 <> 0, double((p_partkey * 31) % 101), null) as dieselP",
     )

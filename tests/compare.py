@@ -6,7 +6,7 @@ import math
 
 import duckdb
 
-from catalog.queries import TABLES
+from catalog.standins import TABLES
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
