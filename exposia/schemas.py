@@ -52,6 +52,8 @@ BOUNDARY_PROPERTIES = _struct(
     STATUS=_TEXT,
     POPULATION=_NUMBER,
     COUNTY=_TEXT,
+    COUNTYFIPS=_TEXT,
+    COUNTRY=_TEXT,
     NAICS_CODE=_TEXT,
     NAICS_DESC=_TEXT,
     SOURCE=_TEXT,
