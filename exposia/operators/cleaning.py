@@ -101,16 +101,21 @@ def extract_name_attributes(
     code: str = "cdcr_code",
     flag: str = "cdcr_firecamp",
     flag_text: str = "CAMP",
+    flag_pattern: str | None = None,
 ) -> DataFrame:
     """Derive code and camp flag from a facility name and remove the parentheses from the name.
 
     The code is the first text in parentheses unless ``overrides`` gives one for the key. The flag
-    tests the full name.
+    tests the full name for ``flag_text`` anywhere, or for ``flag_pattern`` where a stricter test is
+    wanted, such as a whole word.
     """
+    flagged = text.contains_ignoring_case(name, flag_text)
+    if flag_pattern is not None:
+        flagged = F.coalesce(F.col(name).rlike(flag_pattern), F.lit(False))
     return df.withColumns(
         {
             code: F.coalesce(mapped(key, overrides), text.parenthesised_code(name)),
-            flag: text.contains_ignoring_case(name, flag_text),
+            flag: flagged,
             name: text.without_parentheses(name),
         }
     )

@@ -159,6 +159,11 @@ def test_name_attributes(spark):
         ("10000826", "ASP", False, "AVENAL STATE PRISON"),
         ("2", None, False, None),
     ]
+    campus = spark.createDataFrame([("1", "NORTH CAMPUS"), ("2", "Oak Camp 5")], "facilityid string, name string")
+    loose = cleaning.extract_name_attributes(campus, {})
+    strict = cleaning.extract_name_attributes(campus, {}, flag_pattern=r"(?i)\bcamp\b")
+    assert rows(loose, "cdcr_firecamp") == [(True,), (True,)]
+    assert rows(strict, "facilityid", "cdcr_firecamp") == [("1", False), ("2", True)]
 
 
 def test_schema_guards(spark):
