@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from exposia.functions.geometry import bound
 from exposia.schemas import GEOMETRY
 
 _COLLECTION = "collection"
@@ -35,6 +36,18 @@ def _feature_type(properties: T.StructType, geometry: bool) -> T.StructType:
     return T.StructType(fields)
 
 
+def _is_feature(line: Column) -> Column:
+    """Whether a line is one feature; lines that hold a part of one, or several, are an error.
+
+    Other lines open and close the collection around the features.
+    """
+    whole = line.startswith("{") & line.endswith("}")
+    several = whole & line.rlike(r'^\{[^\[]*"type"\s*:\s*"FeatureCollection"')
+    part = ~whole & line.rlike(r'^(\{\s*)?"type"\s*:\s*"Feature"')
+    message = F.lit("features are not one per line; read them with the collection layout")
+    return F.when(several | part, F.raise_error(message).cast("boolean")).otherwise(whole)
+
+
 def read_geojson(
     spark: SparkSession,
     path: str | list[str],
@@ -48,7 +61,7 @@ def read_geojson(
     ``layout="collection"`` reads FeatureCollection documents, one task per file. Use
     ``layout="lines"`` for large layers: one feature per line, either bare (line-delimited and
     sequence GeoJSON) or inside a FeatureCollection as common exporters write it. Lines split
-    across tasks. With ``geometry=False`` the shapes are never parsed.
+    across tasks; a file laid out otherwise fails. With ``geometry=False`` the shapes are never parsed.
     """
     feature = _feature_type(properties, geometry)
     if layout == _COLLECTION:
@@ -58,13 +71,9 @@ def read_geojson(
             F.explode("features").alias("feature")
         )
     elif layout == _LINES:
-        line = F.regexp_replace("value", r"^[\s\x1E]+|[\s,]+$", "")
-        features = (
-            spark.read.text(path)
-            .select(line.alias("line"))
-            .filter(F.col("line").rlike(r'^\{\s*"type"\s*:\s*"Feature"\s*,'))
-            .select(F.from_json("line", feature, {"mode": "FAILFAST"}).alias("feature"))
-        )
+        line = F.trim("value", F.lit(" \t\r\x1e,"))
+        lines = spark.read.text(path).filter(bound(line, _is_feature))
+        features = lines.select(F.from_json(line, feature, {"mode": "FAILFAST"}).alias("feature"))
     else:
         raise ValueError(f"unknown layout {layout!r}")
     columns = [F.col(f"feature.properties.`{f.name}`").alias(f.name) for f in properties.fields]

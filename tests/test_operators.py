@@ -272,6 +272,22 @@ def test_regions_match_brute_force(spark, cell, small):
     assert {r.id: r.tract_geoid for r in assigned.collect()} == {p[0]: best.get(p[0]) for p in points}
 
 
+def test_regions_without_adaptive_execution(spark, monkeypatch):
+    monkeypatch.setattr(joins.salted_left_join, "__kwdefaults__", {"condition": None, "max_hot": 20, "min_rows": 10})
+    rng = random.Random(2)
+    points = [(i, rng.uniform(0, 4), rng.uniform(0, 4)) for i in range(300)] + [(500, None, 1.0), (501, 90.0, 90.0)]
+    regions = spark.createDataFrame(REGIONS, f"rid string, geometry {SHAPE}")
+    left = spark.createDataFrame(points, "id int, longitude double, latitude double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = spatial.join_regions(left, regions, region_id="rid", cell=5.0, small=False)
+        found = [(r.id, r.rid) for r in got.select("id", "rid").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(f for f in found if f[1]) == sorted(brute_force(points))
+    assert {i for i, _ in found} == {p[0] for p in points}
+
+
 def test_regions_in_another_coordinate_system(spark):
     regions = spark.createDataFrame([("r", [[box(-13_200_000.0, 4_000_000.0, -13_100_000.0, 4_100_000.0)]])], f"rid string, geometry {SHAPE}")
     points = spark.createDataFrame([(1, -118.25, 34.05), (2, 0.0, 0.0)], "id int, longitude double, latitude double")

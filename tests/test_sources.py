@@ -92,6 +92,7 @@ def documents():
     return {
         "collection": ("collection", one),
         "exported": ("lines", exported),
+        "other key order": ("lines", "\n".join(json.dumps({"id": 7, **dict(reversed(f.items()))}) for f in FEATURES)),
         "bare lines": ("lines", "\n".join(map(json.dumps, FEATURES))),
         "sequence": ("lines", "".join(f"\x1e{json.dumps(f)}\n" for f in FEATURES)),
     }
@@ -119,6 +120,14 @@ def test_geojson_of_points_fails_loudly(spark, tmp_path):
         layer.collect()
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_geojson_that_is_not_one_feature_per_line_fails(spark, tmp_path, indent):
+    content = json.dumps({"type": "FeatureCollection", "features": FEATURES}, indent=indent)
+    layer = read_geojson(spark, write(tmp_path, "c.geojson", content), PROPERTIES, layout="lines")
+    with pytest.raises(Exception, match="collection layout"):
+        layer.collect()
+
+
 def test_features_written_as_lines_read_back(spark, tmp_path):
     df = spark.createDataFrame([("a", [SQUARE]), ("b", None)], "GEOID string, geometry array<array<array<array<double>>>>")
     path = str(tmp_path / "lines")
