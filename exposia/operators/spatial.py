@@ -79,6 +79,13 @@ def region_cells(outlines: DataFrame, region_id: str, cell: float) -> DataFrame:
     )
 
 
+def default_cell(crs: str | None) -> float:
+    """About five kilometres, in the units of the coordinate system."""
+    if crs is None:
+        raise ValueError("give a cell size for coordinates of unknown units")
+    return 5_000.0 if crs == geo.WEB_MERCATOR else 0.05
+
+
 def _cells_fit(outlines: DataFrame, cell: float) -> bool:
     """Whether the cells surely fit the broadcast threshold, from an upper bound of their size."""
 
@@ -100,18 +107,20 @@ def join_regions(
     y: str = "latitude",
     points_crs: str | None = geo.WGS84,
     regions_crs: str | None = geo.WGS84,
-    cell: float = 0.05,
+    cell: float | None = None,
     small: bool | None = None,
 ) -> DataFrame:
     """Left join of points to the regions they lie within, adding ``region_id``.
 
-    Both sides meet on grid cells of ``cell`` units, an equi-join; the exact test runs inside it.
+    Both sides meet on grid cells of ``cell`` units of the points' coordinates, an equi-join; the
+    exact test runs inside it. Cells about as large as the smaller regions serve best.
     A point is in one cell, so each region matches it at most once; overlapping regions each give
     a row. Whether the cells are broadcast is decided by an upper bound of their size, measured
     over the regions, unless ``small`` says so.
     """
     if not geo.same_crs(points_crs, regions_crs):
         regions = regions.withColumn(geometry, geo.project(geometry, regions_crs, points_crs))
+    cell = default_cell(points_crs) if cell is None else cell
     outlines = region_outlines(regions, region_id, geometry)
     if small is None:
         small = _cells_fit(outlines, cell)

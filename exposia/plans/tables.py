@@ -60,7 +60,7 @@ def facilities(
     crs: str | None = "EPSG:4326",
     tracts_crs: str | None = "EPSG:4269",
     types: Mapping[str, str] = REVIEWED_TYPES,
-    cell: float = 0.05,
+    cell: float | None = None,
     disjoint_tracts: bool = False,
     **selection,
 ) -> DataFrame:

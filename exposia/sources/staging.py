@@ -11,13 +11,14 @@ _FOLDER = "spark.checkpoint.dir"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only a local session may fall back to a temp folder."""
-    root = spark.conf.get(_FOLDER, None)
+    """A new path under the checkpoint folder; only a local session may fall back to a temp folder."""
+    context = spark.sparkContext
+    root = spark.conf.get(_FOLDER, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {_FOLDER} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="exposia-")
-        spark.conf.set(_FOLDER, root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="exposia-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/exposia/{label}-{uuid.uuid4().hex}"
 
 

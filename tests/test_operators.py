@@ -295,6 +295,12 @@ def test_regions_in_another_coordinate_system(spark):
     assert rows(got, "id", "rid") == [(1, "r"), (2, None)]
 
 
+def test_cell_size_follows_the_units(spark):
+    assert spatial.default_cell("EPSG:4326") == 0.05 and spatial.default_cell("EPSG:3857") == 5000.0
+    with pytest.raises(ValueError, match="cell size"):
+        spatial.default_cell(None)
+
+
 def test_centroid_of_a_convex_shape_lies_inside(spark):
     df = spark.createDataFrame([("a", [[box(-118.0, 34.0, -117.0, 35.0)]])], f"rid string, geometry {SHAPE}")
     placed = spatial.with_centroid(df)
