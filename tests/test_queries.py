@@ -25,3 +25,20 @@ def test_every_query_has_a_counterpart():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) == ""
+
+
+SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+SALTED = {**SHUFFLED, "spark.sql.adaptive.enabled": "false"}
+
+
+@pytest.mark.parametrize("settings", [SHUFFLED, SALTED], ids=["shuffled", "salted"])
+@pytest.mark.parametrize("name", ["q11_lookup_enrich", "q16_one_vs_rest", "q24_point_in_polygon", "q25_lookup_back", "q36_exposure_table"])
+def test_query_matches_sql_without_broadcast(spark, con, name, settings):
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) == ""
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
