@@ -25,11 +25,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from exposia.llm.components import components
+from exposia.llm.groups import apply_to_groups
 from exposia.llm.text import group_sums, mix, shingle_sets, signed, text_chunks
 from exposia.sources.staging import materialize
 
@@ -76,22 +76,24 @@ def lowest(values: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np
 class SignatureTree:
     """Sets as leaves of a tree whose nodes hold OR-ed bitmaps, size ranges and component spans."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, extra: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, extra: np.ndarray, labels: np.ndarray):
         """Sets must come in the wanted order. ``extra``: shingles that share their bit with others."""
-        self.sizes, self.bits, self.extra = sizes, bits, extra
-        self.levels = [self._level(np.arange(0, len(sizes), LEAF), bits, sizes, sizes, extra)]
+        self.sizes, self.bits, self.extra, self.labels = sizes, bits, extra, labels
+        self.levels = [self._level(np.arange(0, len(sizes), LEAF), bits, sizes, sizes, extra, labels, labels)]
         while len(self.levels[-1][1]) > 1:
-            _, below, low, high, more = self.levels[-1]
-            self.levels.append(self._level(np.arange(0, len(low), FAN), below, low, high, more))
+            below = self.levels[-1][1:]
+            self.levels.append(self._level(np.arange(0, len(below[0]), FAN), *below))
 
     @staticmethod
-    def _level(starts, bits, low, high, extra):
+    def _level(starts, bits, low, high, extra, first, last):
         return (
             starts,
             np.bitwise_or.reduceat(bits, starts, axis=0),
             np.minimum.reduceat(low, starts),
             np.maximum.reduceat(high, starts),
             np.maximum.reduceat(extra, starts),
+            np.minimum.reduceat(first, starts),
+            np.maximum.reduceat(last, starts),
         )
 
     def children(self, level: int, node: int) -> range:
@@ -118,7 +120,8 @@ def walk(left: SignatureTree, right: SignatureTree, same: bool) -> Iterator[tupl
             common = np.bitwise_count(left.bits[r, None, :] & right.bits[None, c, :]).sum(axis=2, dtype=np.int64)
             extra = np.minimum(left.extra[r][:, None], right.extra[c][None, :])
             sa, sb = left.sizes[r][:, None], right.sizes[c][None, :]
-            x, y = np.nonzero(may_link(sa, sa, sb, sb, common, extra))
+            apart = left.labels[r][:, None] != right.labels[c][None, :]
+            x, y = np.nonzero(apart & may_link(sa, sa, sb, sb, common, extra))
             x, y = x + rows.start, y + cols.start
             if same:
                 x, y = x[x < y], y[x < y]
@@ -133,11 +136,12 @@ def walk(left: SignatureTree, right: SignatureTree, same: bool) -> Iterator[tupl
         if j >= i:
             second, nj = right.children(j, b), j - 1
         fa, fb = np.asarray(list(first)), np.asarray(list(second))
-        _, bits_a, low_a, high_a, extra_a = left.levels[ni]
-        _, bits_b, low_b, high_b, extra_b = right.levels[nj]
+        _, bits_a, low_a, high_a, extra_a, first_a, last_a = left.levels[ni]
+        _, bits_b, low_b, high_b, extra_b, first_b, last_b = right.levels[nj]
         common = np.bitwise_count(bits_a[fa][:, None, :] & bits_b[fb][None, :, :]).sum(axis=2, dtype=np.int64)
         extra = np.minimum(extra_a[fa][:, None], extra_b[fb][None, :])
         ok = may_link(low_a[fa][:, None], high_a[fa][:, None], low_b[fb][None, :], high_b[fb][None, :], common, extra)
+        ok &= (first_a[fa][:, None] != last_b[fb][None, :]) | (last_a[fa][:, None] != first_b[fb][None, :])
         for x, y in zip(*np.nonzero(ok)):
             if not same or ni != nj or fa[x] <= fb[y]:
                 stack.append((ni, int(fa[x]), nj, int(fb[y])))
@@ -189,49 +193,48 @@ def _sets_of(packed) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(pa.array([zlib.decompress(z).decode() for z in packed], pa.large_string()))
 
 
-def _linked_in_group(frame: pd.DataFrame) -> pd.DataFrame:
-    """Exact links that join the components of one group: set_id, label, z (and side: 0, or 1 against 0)."""
-    values, offsets = _sets_of(frame["z"])
-    sizes, ids = np.diff(offsets), frame["set_id"].to_numpy()
+def _pairs(found: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
+    table = np.asarray(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(table[:, 0].copy()), pa.array(table[:, 1].copy())], names=["a", "b"])
+
+
+def _linked_in_group(group: pa.Table) -> pa.RecordBatch:
+    """Exact links that join the sets of one group: set_id, z."""
+    values, offsets = _sets_of(group["z"].to_pylist())
+    sizes, ids = np.diff(offsets), group["set_id"].to_numpy()
     order = np.argsort(sizes, kind="stable")
-    trees = _trees(order, values, offsets, sizes, frame["side"].to_numpy() if "side" in frame else None)
-    union, found = Union(frame["label"].to_numpy()), []
-    for left, right, a, b, same in trees:
-        for x, y in walk(left, right, same):
-            for i, j in zip(a[x], b[y]):
-                if union.root(i) == union.root(j):
-                    continue
-                overlap = len(np.intersect1d(values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]], True))
-                if links(sizes[i], sizes[j], overlap):
-                    union.join(i, j)
-                    found.append((ids[i], ids[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def _trees(order, values, offsets, sizes, side):
-    """The pairs of trees to walk: one with itself, or one side's with the other's."""
-    width = _width(sizes)
-    bits, extra = signatures(values, offsets, width)
-    if side is None or side.min() == side.max():
-        tree = SignatureTree(sizes[order], bits[order], extra[order])
-        return [(tree, tree, order, order, True)]
-    parts = [order[side[order] == s] for s in (0, 1)]
-    left, right = (SignatureTree(sizes[p], bits[p], extra[p]) for p in parts)
-    return [(left, right, *parts, False)]
-
-
-def _dealt(rows: DataFrame, key: str, pairs: bool) -> DataFrame:
-    """Rows with a ``task``: a group above BLOCK rows is split into blocks, or into pairs of blocks."""
-    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
-    rows = rows.join(count, key).withColumn("_n", F.ceil(F.col("_rows") / BLOCK).cast("int"))
+    bits, extra = signatures(values, offsets, _width(sizes))
+    tree = SignatureTree(sizes[order], bits[order], extra[order], ids[order])
+    union, found = Union(ids), []
+    for x, y in walk(tree, tree, True):
+        i_all, j_all = order[x], order[y]
+        if len({union.root(i) for i in {*i_all.tolist(), *j_all.tolist()}}) == 1:
+            continue
+        for i, j in zip(i_all, j_all):
+            if union.root(i) == union.root(j):
+                continue
+            overlap = len(np.intersect1d(values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]], True))
+            if links(sizes[i], sizes[j], overlap):
+                union.join(i, j)
+                found.append((ids[i], ids[j]))
+    return _pairs(found)
+
+
+TASK = ("key", "low", "high")
+
+
+def _dealt(rows: DataFrame, pairs: bool) -> DataFrame:
+    """Rows with a task: a group above BLOCK rows is split into blocks, or into pairs of blocks.
+
+    ``side`` tells the two blocks of a pair apart.
+    """
+    count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    rows = rows.join(count, "key").withColumn("_n", F.ceil(F.col("_rows") / BLOCK).cast("int"))
     rows = rows.withColumn("_p", F.pmod(F.xxhash64("set_id"), F.col("_n")).cast("int"))
-    if not pairs:
-        return rows.withColumn("task", F.struct(key, "_p")).withColumn("side", F.lit(0)).drop("_rows", "_n", "_p")
-    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    rows = rows.withColumn("_q", other)
-    ends = F.least("_p", "_q").alias("low"), F.greatest("_p", "_q").alias("high")
-    task = F.struct(F.col(key), *ends)
-    return rows.withColumn("task", task).withColumn("side", (F.col("_p") > F.col("_q")).cast("int")).drop("_rows", "_n", "_p", "_q")
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)) if pairs else F.col("_p")
+    rows = rows.withColumn("_q", other).withColumn("side", (F.col("_p") > F.col("_q")).cast("int"))
+    ends = {"low": F.least("_p", "_q"), "high": F.greatest("_p", "_q")}
+    return rows.withColumns(ends).drop("_rows", "_n", "_p", "_q")
 
 
 def _relabel(sets: DataFrame, edges: list[DataFrame]) -> DataFrame:
@@ -245,10 +248,13 @@ def _relabel(sets: DataFrame, edges: list[DataFrame]) -> DataFrame:
     return sets.join(label, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
 
 
-def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """Rows under keys where more than one component meets."""
-    keys = rows.groupBy(key).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a != _b")
-    return rows.join(keys.select(key), key, "left_semi")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows under keys where more than one component meets; of keys over the same sets, one stays."""
+    over = [F.bit_xor(F.xxhash64("set_id", F.lit(i))).alias(f"_x{i}") for i in range(2)]
+    label = F.min("label").alias("_a"), F.max("label").alias("_b")
+    keys = rows.groupBy("key").agg(*label, *over, F.count(F.lit(1)).alias("_c")).filter("_a != _b")
+    keys = keys.groupBy("_x0", "_x1", "_c").agg(F.min("key").alias("key"))
+    return rows.join(keys.select("key"), "key", "left_semi")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,9 +350,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     hashed = [F.array_min(F.transform("keys", lambda k: F.xxhash64(k, F.lit(i)))) for i in range(2)]
     rows = routed.select("set_id", F.col("set_id").alias("label"), F.explode(F.array(*hashed)).alias("key"))
-    edges = [_links(rows, texts, "key")]
+    edges = [_first_links(_mixed(rows.distinct()), texts)]
     rows = _relabel(routed.select("set_id", F.explode("keys").alias("key")), edges)
-    edges.append(_last_links(_mixed(rows, "key"), texts))
+    edges.append(_last_links(_mixed(rows), texts))
     label = _relabel(members, edges).withColumn("label", F.when(F.col("n") > 0, F.col("label")))
     least_id = label.groupBy("label").agg(F.min("doc_id").alias("component_id")).filter("label is not null")
     result = label.join(least_id, "label", "left")
@@ -354,10 +360,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return result.select("doc_id", F.col("n").alias("n_shingles"), component)
 
 
-def _links(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    tasks = _dealt(rows.distinct(), key, pairs=False).join(texts, "set_id")
-    found = tasks.groupBy("task").applyInPandas(lambda f: _linked_in_group(f), "a long, b long")
-    return materialize(found, "links")
+def _first_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    tasks = _dealt(rows, pairs=False).join(texts, "set_id")
+    return materialize(apply_to_groups(tasks, TASK, _linked_in_group, "a long, b long"), "links")
 
 
 def _with_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,24 +386,21 @@ def _fold(cells: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(cells, _U).reshape(-1, width), axis=0)
 
 
-def _candidates_in_group(frame: pd.DataFrame) -> pd.DataFrame:
+def _candidates_in_group(group: pa.Table) -> pa.RecordBatch | None:
     """Pairs of sets of different components that the bitmaps allow; the narrowest width counts."""
-    frame = frame.sort_values("n", kind="stable")
-    width = min(len(b) for b in frame["bits"]) // 8
-    bits = np.stack([_fold(b, width) for b in frame["bits"]])
-    sizes, label, ids = (frame[c].to_numpy() for c in ("n", "label", "set_id"))
+    sizes, label, ids, side = (group[c].to_numpy() for c in ("n", "label", "set_id", "side"))
+    order = np.lexsort((sizes, label))
+    cells = group["bits"].to_pylist()
+    width = min(map(len, cells)) // 8
+    bits = np.stack([_fold(b, width) for b in cells])
     extra = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    side = frame["side"].to_numpy()
-    parts = [np.flatnonzero(side == s) for s in (0, 1)]
-    parts = [p for p in parts if len(p)]
-    trees = [SignatureTree(sizes[p], bits[p], extra[p]) for p in parts]
+    parts = [p for s in (0, 1) if len(p := order[side[order] == s])]
+    trees = [SignatureTree(sizes[p], bits[p], extra[p], label[p]) for p in parts]
     found = []
     for x, y in walk(trees[0], trees[-1], len(trees) == 1):
         i, j = parts[0][x], parts[-1][y]
-        apart = label[i] != label[j]
-        found.append(np.stack([np.minimum(ids[i], ids[j])[apart], np.maximum(ids[i], ids[j])[apart]], axis=1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+        found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+    return _pairs(np.concatenate(found)) if found else None
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,8 +418,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _last_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components that still meet under a key, none left out."""
     bits = materialize(texts.mapInArrow(_with_signatures, "set_id long, n long, bits binary"), "bits")
-    tasks = _dealt(rows.select("key", "set_id", "label"), "key", pairs=True).join(bits, "set_id")
-    pairs = tasks.groupBy("task").applyInPandas(lambda f: _candidates_in_group(f), "a long, b long")
+    tasks = _dealt(rows.select("key", "set_id", "label"), pairs=True).join(bits, "set_id")
+    pairs = apply_to_groups(tasks, TASK, _candidates_in_group, "a long, b long")
     pairs = materialize(pairs.distinct(), "pairs")
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("set_id").alias(end), F.col("z").alias(f"z{end}")), end)
