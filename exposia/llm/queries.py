@@ -7,7 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from exposia.llm.fingerprints import fingerprints
 from exposia.llm.jaccard_join import jaccard_join
+from exposia.llm.mixing import mix_sources
 from exposia.llm.suffix_dedup import remove_repeats
 
 
@@ -30,5 +32,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op3_suffix_dedup)}
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_jaccard_join, op3_suffix_dedup, op5_document_fingerprints, op10_mix_sources,
+)}
 ORACLES: dict[str, str] = {}
