@@ -11,6 +11,10 @@ from exposia.llm.fingerprints import fingerprints
 from exposia.llm.jaccard_join import jaccard_join
 from exposia.llm.mixing import mix_sources
 from exposia.llm.suffix_dedup import remove_repeats
+from exposia.llm.token_files import VOCABULARY, read_documents, write_tokens
+from exposia.llm.warc import read_captures, write_archives
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -36,12 +40,22 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return read_documents(write_tokens(_table(spark, sf_dir, "documents"), f"{tokenizers}/{VOCABULARY}"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return read_captures(write_archives(pages), pages)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_jaccard_join, op3_suffix_dedup, op5_document_fingerprints, op10_mix_sources,
+    op1_jaccard_join, op3_suffix_dedup, op5_document_fingerprints, op6_token_files, op7_warc,
+    op10_mix_sources,
 )}
 ORACLES: dict[str, str] = {}
