@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from exposia.llm import language, transducer
 from exposia.llm.fingerprints import fingerprints
 from exposia.llm.jaccard_join import jaccard_join
 from exposia.llm.mixing import mix_sources
@@ -31,11 +32,30 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def _remainder(divisor: int) -> Column:
+    """crc32 of the doc_id as text, modulo a divisor."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _remainder(4) == 2
+    model = language.fit(docs, f"{tokenizers}/{language.VOCABULARY}", ~held_out)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    path = f"{tokenizers}/{transducer.VOCABULARY}"
+    encoded = transducer.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return transducer.decode(encoded, path).select("row.doc_id", "n_ids", "ids_crc32", "text_sha256")
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +75,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_jaccard_join, op3_suffix_dedup, op5_document_fingerprints, op6_token_files, op7_warc,
+    op1_jaccard_join, op2_language_id, op3_suffix_dedup, op4_sentencepiece, op5_document_fingerprints, op6_token_files, op7_warc,
     op10_mix_sources,
 )}
 ORACLES: dict[str, str] = {}
