@@ -7,10 +7,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from exposia.llm import language, transducer
+from exposia.llm import bloom_lm, language, transducer
 from exposia.llm.fingerprints import fingerprints
 from exposia.llm.jaccard_join import jaccard_join
 from exposia.llm.mixing import mix_sources
+from exposia.llm.near_vectors import near_vectors
 from exposia.llm.suffix_dedup import remove_repeats
 from exposia.llm.token_files import VOCABULARY, read_documents, write_tokens
 from exposia.llm.warc import read_captures, write_archives
@@ -69,6 +70,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_captures(write_archives(pages), pages)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(7) == 2
+    found = bloom_lm.score(docs, ~held_out)
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return found.select("row.doc_id", *columns).select("doc_id", held_out.alias("held_out"), *columns)
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -76,6 +89,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_jaccard_join, op2_language_id, op3_suffix_dedup, op4_sentencepiece, op5_document_fingerprints, op6_token_files, op7_warc,
-    op10_mix_sources,
+    op8_language_model, op9_near_vectors, op10_mix_sources,
 )}
 ORACLES: dict[str, str] = {}
