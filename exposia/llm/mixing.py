@@ -62,9 +62,9 @@ def mix_sources(
     importance: str | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+    """``doc_id, source, mark, size, source_size, target, copies, taken`` for every row of ``docs``.
 
-    ``copies`` is how often the mix takes the document, ``taken`` the words that makes. A null text
+    ``copies`` is how often the mix takes the document, ``taken`` the words that makes, ``mark`` a hash of the text. A null text
     or one without words has size 0 and 0 copies. A null source is a source of its own, after the others.
     A document is taken at most ``most`` times, a whole number. Reruns agree: chance comes from a
     hash of doc_id and text, and rows equal in both share a rank and are told apart by no order that
@@ -72,7 +72,8 @@ def mix_sources(
     """
     key = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
     weight = F.coalesce(F.col(importance).cast("double"), F.lit(0.0)) if importance else F.lit(1.0)
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), weight.alias("_imp"))
+    mark = F.xxhash64("text").alias("mark")
+    base = docs.select("doc_id", "source", mark, word_count(F.col("text")).alias("size"), key.alias("_key"), weight.alias("_imp"))
     base = materialize(base, "sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_imp")).alias("_mass"))
     mass = by_source.select(F.col("source").alias("_source"), "_mass")
@@ -113,5 +114,17 @@ def mix_sources(
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.col("_more")).otherwise(0).cast("long")
     both = rest.unionByName(cut).withColumn("copies", copies)
     return both.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "mark", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mixed`` takes it. Rows equal in doc_id, source and
+    text share their copies evenly, rounded down."""
+    names = {"doc_id": "_id", "source": "_source", "mark": "_mark"}
+    keys = [F.col(a).alias(b) for a, b in names.items()]
+    copies = mixed.groupBy(*keys).agg(F.floor(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = docs.join(copies, same & (F.xxhash64("text") == F.col("_mark")))
+    repeated = rows.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

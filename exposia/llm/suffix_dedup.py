@@ -303,7 +303,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each document."""
     for batch in text_chunks(batches):
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "spans")}
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = (text or "").encode()
             ends = np.array([(s["start"], s["stop"]) for s in spans or []], np.int64).reshape(-1, 2)
@@ -313,17 +313,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest.append(raw[at:a])
                 at = b
             left = b"".join([*rest, raw[at:]])
-            values = (len(raw), len(raw) - len(left), len(start), hashlib.sha256(left).hexdigest(), left)
+            values = (len(raw), len(raw) - len(left), len(start), hashlib.sha256(left).hexdigest(), left, left.decode(errors="ignore"))
             for name, value in zip(out, (*values, [{"start": a, "stop": b} for a, b in zip(start.tolist(), stop.tolist())])):
                 out[name].append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
         columns = [batch.column("row"), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]]
         yield pa.RecordBatch.from_arrays(columns, names=["row", *out])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` (doc_id, text and any others) as struct ``row``, and per document
-    ``n_bytes, n_removed, n_spans, kept_sha256, kept`` (bytes left) and ``spans`` (removed runs).
+    ``n_bytes, n_removed, n_spans, kept_sha256, kept`` (bytes left), ``kept_text`` (the same without
+    characters that were cut through) and ``spans`` (removed runs).
 
     A null text is empty. A null doc_id comes after all others. Rows with one doc_id are ordered by
     a hash of their text; rows equal in both are one document, neither earlier than the other, and
@@ -366,7 +367,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     spans = found.filter("stop is not null").select("doc", "pack", "stop").union(maximal).union(later)
     spans = spans.select("doc", mark, start, "stop").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans array<struct<start:long,stop:long>>"
     row_type = docs.drop("text").schema.simpleString()
     joined = docs.select(doc, th, "text", row).join(spans, ["doc", "th"], "left")
     return joined.select("row", "text", "spans").mapInArrow(_kept, f"row {row_type}, {schema}")
