@@ -4,8 +4,8 @@ Counts of one- and two-token n-grams of the training texts are quantised to ``q
 and each n-gram is entered with every level up to its q. A look-up probes level after level until
 one is missing, so a count is never underestimated, and overestimated only by chance. The filter has
 a stated size and is broadcast; n-grams rarer than a cutoff are left out of it, the lowest cutoff
-for which the entries fit. The cutoff follows from counts over all texts. Left-out pairs fall back
-to single tokens, and left-out tokens to the add-one mass.
+for which the entries fit. The cutoff follows from counts over all texts. Pairs seen once are never
+entered. Left-out pairs fall back to single tokens, and left-out tokens to the add-one mass.
 
 Exact token counts, for the base score, are joined: the most frequent ``TOP`` tokens are broadcast,
 the few other occurrences are joined by token.
@@ -28,6 +28,7 @@ from exposia.sources.staging import materialize
 FILTER_BITS = 28
 TOP = 1 << 17
 PAIR_WEIGHT = 0.7
+LEAST_PAIR = 2
 _BLOCK_BITS = 20
 _PROBES = 3
 _U = np.uint64
@@ -176,7 +177,7 @@ def score(docs: DataFrame, train: Column, bits: int = FILTER_BITS, top: int = TO
     sc = docs.sparkSession.sparkContext
     used = docs.filter(train).select("text")
     counts = used.mapInArrow(_count, "name long, ngram byte, n long").groupBy("name", "ngram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "counts")
+    counts = materialize(counts.filter((F.col("ngram") == 1) | (F.col("n") >= LEAST_PAIR)), "counts")
     begin = int(np.array([_BEGIN]).view(np.int64)[0])
     single = counts.filter((F.col("ngram") == 1) & (F.col("name") != begin)).select("name", "n")
     sums = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
