@@ -5,7 +5,8 @@ and each n-gram is entered with every level up to its q. A look-up probes level
 one is missing, so a count is never underestimated, and overestimated only by chance. The filter has
 a stated size and is broadcast; n-grams rarer than a cutoff are left out of it, the lowest cutoff
 for which the entries fit. The cutoff follows from counts over all texts. Pairs seen once are never
-entered. Left-out pairs fall back to single tokens, and left-out tokens to the add-one mass.
+entered. Left-out pairs fall back to single tokens, and left-out tokens to the add-one mass. Pairs
+weigh as much as the share of training tokens whose pair would be known without that token.
 
 Exact token counts, for the base score, are joined: the most frequent ``TOP`` tokens are broadcast,
 the few other occurrences are joined by token.
@@ -27,7 +28,6 @@ from exposia.sources.staging import materialize
 
 FILTER_BITS = 28
 TOP = 1 << 17
-PAIR_WEIGHT = 0.7
 LEAST_PAIR = 2
 _BLOCK_BITS = 20
 _PROBES = 3
@@ -131,7 +131,7 @@ def build_filter(counts: DataFrame, bits: int = FILTER_BITS) -> LogFrequencyFilt
     return LogFrequencyFilter(cells, shift, cutoff)
 
 
-def _score(model, top, total: int):
+def _score(model, top, total: int, weight: float):
     """Per text: tokens, sums over the top tokens, the model's score, and the other tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _score(model, top, total: int):
             double, place = np.unique(pairs(token, offsets), return_inverse=True)
             two = lookup.counts(double)[place]
             share = np.where(two > 0, np.minimum(1.0, two / np.maximum(context, np.maximum(two, 1.0))), 0.0)
-            chance = PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (one + 1) / total
+            chance = weight * share + (1 - weight) * (one + 1) / total
             rare = np.flatnonzero(~known)
             count = np.bincount(np.searchsorted(offsets, rare, "right") - 1, minlength=len(batch))
             columns = [
@@ -183,6 +183,8 @@ def score(docs: DataFrame, train: Column, bits: int = FILTER_BITS, top: int = TO
     sums = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"]
     total = n + v + 1
+    again = counts.filter((F.col("ngram") == 2) & (F.col("n") > LEAST_PAIR)).agg(F.sum("n").alias("n")).first()["n"] or 0
+    weight = min(0.95, max(0.01, again / max(n, 1)))
     model = sc.broadcast(build_filter(counts.filter("n > 0").select("name", "n"), bits))
     head = single.orderBy(F.desc("n"), "name").limit(top).toPandas().sort_values("name", key=lambda s: s.to_numpy().view(_U))
     names = head["name"].to_numpy(np.int64).view(_U)
@@ -191,7 +193,7 @@ def score(docs: DataFrame, train: Column, bits: int = FILTER_BITS, top: int = TO
     other = docs.drop("text")
     row = F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("row")
     schema = f"row {other.schema.simpleString()}, id long, n_tokens long, known long, base double, score double, rare array<long>"
-    scored = docs.select(row, F.col("text").alias("text")).mapInArrow(_score(model, frequent, total), schema)
+    scored = docs.select(row, F.col("text").alias("text")).mapInArrow(_score(model, frequent, total, weight), schema)
     scored = materialize(scored, "scored")
     rare = scored.select("id", F.explode("rare").alias("name")).groupBy("id", "name").agg(F.count(F.lit(1)).alias("tf"))
     found = rare.join(single, "name").groupBy("id").agg(
