@@ -123,9 +123,19 @@ class WordEncoder:
         return out, per_text
 
 
+_LOADED: dict[str, WordEncoder] = {}
+
+
+def load(path: str) -> WordEncoder:
+    """One encoder per worker, with the words it knows by now."""
+    if path not in _LOADED:
+        _LOADED[path] = WordEncoder(path)
+    return _LOADED[path]
+
+
 def _write(folder: str, vocabulary: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(vocabulary)
+        encode = load(vocabulary)
         path, sizes, ids, total = new_name(folder, "ids", ".bin"), [], [], 0
         shard = TaskContext.get().partitionId()
         with writer(path) as out:
