@@ -59,6 +59,8 @@ class Transducer:
         self.pieces = Pieces(list(best))
         self.costs = np.array([c for c, _ in best.values()])
         self.ids = np.array([i for _, i in best.values()], np.int32)
+        self.bytes = np.frombuffer(b"".join(self.output), np.uint8)
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in self.output])]).astype(np.int64)
         self.known: dict[int, np.ndarray] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +96,13 @@ class Transducer:
         per_text = np.bincount(owner, count, minlength=n).astype(np.int64)
         return flat[place], np.concatenate([[0], np.cumsum(per_text)])
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of some ids; bytes that make no character are replaced."""
-        return b"".join([self.output[i] for i in ids.tolist()]).decode(errors="replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of some ids, those of each between two offsets; bytes that make no character
+        are replaced."""
+        ends = self.ends[ids + 1]
+        data, places = spans_of(self.bytes, self.ends[ids], ends)
+        raw, places = data.tobytes(), places[offsets].tolist()
+        return [raw[a:b].decode(errors="replace").removeprefix(" ") for a, b in zip(places[:-1], places[1:])]
 
 
 _LOADED: dict[str, Transducer] = {}
@@ -135,8 +141,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
-                ids = [np.asarray(x, "<i4") for x in pc.fill_null(part.column("ids"), pa.scalar([], pa.list_(pa.int32())))]
-                texts = [model.decode(x) for x in ids]
+                lists = part.column("ids")
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).astype(np.int64)
+                flat = np.asarray(pc.list_flatten(lists), "<i4")
+                ids = np.split(flat, offsets[1:-1])
+                texts = model.decode(flat, offsets)
                 columns = [
                     part.column("row"),
                     pa.array([len(x) for x in ids], pa.int64()),
