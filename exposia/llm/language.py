@@ -9,6 +9,7 @@ maximisation on word counts of labelled texts. A word is its lower-cased bytes a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,28 +139,47 @@ def fit(docs: DataFrame, path: str, use: Column, max_docs: int = FIT_DOCS, round
     return LanguageModel(pieces, langs, logs)
 
 
+class _Words:
+    """Log probabilities of words by language, each kind of word summed once per worker."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.pieces = model, Pieces(model.pieces)
+        self.known: dict[int, int] = {}
+        self.table = np.zeros((1024, len(model.langs)))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        name, at, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        names, known = name.tolist(), self.known
+        if len(known) > _CACHED_WORDS:
+            known.clear()
+        fresh = [i for i, h in enumerate(names) if h not in known]
+        if fresh:
+            lattice = Lattice.of(self.pieces, *_spaced(data, starts[at[fresh]], ends[at[fresh]]))
+            used = len(known)
+            while used + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[used : used + len(fresh)] = lattice.log_sums(self.model.logs[lattice.piece])[lattice.last]
+            known.update(zip([names[i] for i in fresh], range(used, used + len(fresh))))
+        return self.table[[known[h] for h in names]][back] if names else self.table[:0]
+
+
+_LOADED: dict[str, _Words] = {}
+
+
 def _predict(model: LanguageModel):
+    mark = uuid.uuid4().hex
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known, table, used = Pieces(model.pieces), {}, np.zeros((1024, len(model.langs))), 0
+        if mark not in _LOADED:
+            _LOADED.clear()  # a worker keeps one model
+            _LOADED[mark] = _Words(model)
+        scores = _LOADED[mark]
         for batch in text_chunks(batches):
             data, starts, ends, owner = _words(batch.column("text"))
-            name, at, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-            names = name.tolist()
-            if used > _CACHED_WORDS:
-                known, used = {}, 0
-            fresh = [i for i, h in enumerate(names) if h not in known]
-            if fresh:
-                lattice = Lattice.of(pieces, *_spaced(data, starts[at[fresh]], ends[at[fresh]]))
-                value = lattice.log_sums(model.logs[lattice.piece])[lattice.last]
-                while used + len(fresh) > len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                table[used : used + len(fresh)] = value
-                known.update(zip([names[i] for i in fresh], range(used, used + len(fresh))))
-                used += len(fresh)
-            word = table[[known[h] for h in names]] if names else np.zeros((0, table.shape[1]))
+            word = scores(data, starts, ends)
             total = np.zeros((len(batch), len(model.langs)))
             for k in range(len(model.langs)):
-                total[:, k] = np.bincount(owner, word[back, k], minlength=len(batch))
+                total[:, k] = np.bincount(owner, word[:, k], minlength=len(batch))
             best = total.argmax(axis=1)
             odds = np.exp(total - total.max(axis=1, keepdims=True))
             score = 1 / odds.sum(axis=1)
