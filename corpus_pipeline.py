@@ -53,8 +53,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they give back."""
     queries.workers_find_package(spark)
     path = f"{queries.TOKENIZERS}/{transducer.VOCABULARY}"
-    ids = transducer.encode(docs, path).select(F.struct("row.*", "ids").alias("row"), "ids")
-    return transducer.decode(ids, path).select("row.*", "n_ids", "text")
+    found = transducer.decode(transducer.encode(docs, path), path)
+    return found.select("row.*", "ids", "n_ids", "text")
 
 
 STAGES = [

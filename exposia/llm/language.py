@@ -28,7 +28,7 @@ FIT_DOCS = 3000  # labelled texts used per language, at most about so many
 ROUNDS = 4
 WORD_BYTES = 64
 _SMOOTHING = 0.01
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 150_000
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -174,7 +174,7 @@ def _predict(model: LanguageModel):
             _LOADED.clear()  # a worker keeps one model
             _LOADED[mark] = _Words(model)
         scores = _LOADED[mark]
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=1 << 20):
             data, starts, ends, owner = _words(batch.column("text"))
             word = scores(data, starts, ends)
             total = np.zeros((len(batch), len(model.langs)))

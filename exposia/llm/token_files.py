@@ -25,7 +25,7 @@ END = 1
 VOCABULARY = "word_bpe_49k.json"
 MARK_EVERY = 256
 _MAGIC = b"EFIDS001"
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 300_000
 _READ_IDS = 1 << 20
 
 
@@ -105,13 +105,14 @@ class WordEncoder:
             self.known.clear()
         names, known = name.tolist(), self.known
         fresh = [i for i, h in enumerate(names) if h not in known]
+        kind = np.dtype(np.uint32 if self.wide else np.uint16)
         raw = data.tobytes()
         texts = [raw[starts[j] : ends[j]].decode() for j in at[fresh]] if fresh else []
         for i, code in zip(fresh, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            known[names[i]] = np.array(code.ids, np.uint32 if self.wide else np.uint16)
+            known[names[i]] = np.array(code.ids, kind).tobytes()
         tables = [known[h] for h in names]
-        sizes = np.fromiter(map(len, tables), np.int64, len(tables))
-        flat = np.concatenate(tables) if tables else np.zeros(0, np.uint16)
+        sizes = np.fromiter(map(len, tables), np.int64, len(tables)) // kind.itemsize
+        flat = np.frombuffer(b"".join(tables), kind)
         begin, count = (np.cumsum(sizes) - sizes)[back], sizes[back]
         n = len(offsets) - 1
         per_text = np.bincount(owner, count, minlength=n).astype(np.int64) + 1

@@ -26,7 +26,8 @@ from exposia.llm.text import prefix_hash, span_hash, text_chunks, utf8
 
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_COST = 1e7
-_CACHED_PARTS = 400_000
+_CACHED_PARTS = 120_000
+_CHUNK = 1 << 20
 
 
 class Transducer:
@@ -61,7 +62,7 @@ class Transducer:
         self.ids = np.array([i for _, i in best.values()], np.int32)
         self.bytes = np.frombuffer(b"".join(self.output), np.uint8)
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x in self.output])]).astype(np.int64)
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and where each text's start."""
@@ -85,12 +86,13 @@ class Transducer:
         if fresh:
             lattice = Lattice.of(self.pieces, *spans_of(data, starts[at[fresh]], ends[at[fresh]]))
             path, count = lattice.shortest(self.costs[lattice.piece])
-            for i, ids in zip(fresh, np.split(self.ids[path], np.cumsum(count)[:-1])):
-                known[names[i]] = ids
+            raw, stops = self.ids[path].tobytes(), (4 * np.cumsum(count)).tolist()
+            for i, a, b in zip(fresh, [0, *stops], stops):
+                known[names[i]] = raw[a:b]
         tables = [known[h] for h in names]
-        sizes = np.fromiter(map(len, tables), np.int64, len(tables))
+        sizes = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
         begin, count = (np.cumsum(sizes) - sizes)[back], sizes[back]
-        flat = np.concatenate(tables)
+        flat = np.frombuffer(b"".join(tables), np.int32)
         place = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
         owner = np.searchsorted(offsets, starts, "right") - 1
         per_text = np.bincount(owner, count, minlength=n).astype(np.int64)
@@ -122,7 +124,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=_CHUNK):
             ids, offsets = model.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["row", "ids"])
@@ -133,14 +135,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``row``, ``n_ids``, ``ids_crc32`` (of the ids as little-endian 32-bit), ``text`` and its
+    """``row``, ``ids``, ``n_ids``, ``ids_crc32`` (of the ids as little-endian 32-bit), ``text`` and its
     ``text_sha256``; null ids are no ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            for start in range(0, len(batch), 250):
+                part = batch.slice(start, 250)
                 lists = part.column("ids")
                 offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).astype(np.int64)
                 flat = np.asarray(pc.list_flatten(lists), "<i4")
@@ -148,12 +150,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = model.decode(flat, offsets)
                 columns = [
                     part.column("row"),
+                    lists,
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     pa.array(texts, pa.string()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "n_ids", "ids_crc32", "text", "text_sha256"])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "n_ids", "ids_crc32", "text", "text_sha256"])
 
     kind = encoded.select("row").schema["row"].dataType.simpleString()
-    return encoded.select("row", "ids").mapInArrow(rows, f"row {kind}, n_ids long, ids_crc32 long, text string, text_sha256 string")
+    return encoded.select("row", "ids").mapInArrow(rows, f"row {kind}, ids array<int>, n_ids long, ids_crc32 long, text string, text_sha256 string")
