@@ -3,8 +3,9 @@
 Three parts are compiled once: the normaliser (a space before the text, spaces as the mark), the
 pieces with their costs, and the bytes of characters that no piece has. Each input is composed with
 them and the cheapest path in the tropical semiring (costs add, the least counts) gives the ids.
-Costs are the negated scores of the vocabulary file; a byte costs more than any pieces for the
-same characters would. Equal costs go to the longer last piece.
+The scores of the vocabulary file are ranks and not log
+probabilities, so a piece of rank r costs ``4 + ln(r + 10)``, as frequencies fall with ranks; a byte
+is used only where no piece has the character. Equal costs go to the longer last piece.
 
 No piece crosses the start of a run of spaces or a control character, so paths are sums over the
 parts between, and each kind of part is solved once per worker.
@@ -13,6 +14,7 @@ parts between, and each kind of part is solved once per worker.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +28,7 @@ from exposia.llm.text import prefix_hash, span_hash, text_chunks, utf8
 
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_COST = 1e7
+RESERVED = 1e6  # ranks above mark pieces that the vocabulary sets apart
 _CACHED_PARTS = 120_000
 _CHUNK = 1 << 20
 
@@ -47,10 +50,13 @@ class Transducer:
                 edges.append((self.output[i], i, BYTE_COST))
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.output[i] = piece.replace(MARK, " ").encode()
-                edges.append((self.output[i], i, -model.get_score(i)))
+                rank = -model.get_score(i)
+                edges.append((self.output[i], i, 4 + math.log(rank + 10) if rank < RESERVED else RESERVED))
         best: dict[bytes, tuple[float, int]] = {}
         for text, i, cost in edges:
-            best[text] = min(best.get(text, (np.inf, 0)), (cost, i))
+            own = text in best and model.is_byte(best[text][1]) == model.is_byte(i)
+            if text not in best or own and (cost, i) < best[text] or model.is_byte(best[text][1]) and not own:
+                best[text] = cost, i  # a character's own piece goes before its byte
             if b" " in text.lstrip(b" "):
                 raise ValueError(f"a piece crosses a border: {text!r}")
         inside = {c for text in best if len(text) > 1 for c in text}
