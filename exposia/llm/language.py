@@ -28,7 +28,7 @@ FIT_DOCS = 3000  # labelled texts used per language, at most about so many
 ROUNDS = 4
 WORD_BYTES = 64
 _SMOOTHING = 0.01
-_CACHED_WORDS = 150_000
+_CACHED_WORDS = 400_000
 
 
 def vocabulary(path: str) -> list[bytes]:
