@@ -69,11 +69,11 @@ def floor_small(value: Column | str, threshold: float) -> Column:
 
 def row_sum(values: Sequence[Column | str]) -> Column:
     """Sum over columns, skipping missing values; 0 when all are missing."""
-    terms = [F.coalesce(as_column(v).cast("double"), F.lit(0.0)) for v in values]
+    terms = [F.coalesce(nan_to_null(as_column(v).cast("double")), F.lit(0.0)) for v in values]
     return reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
 
 
 def row_mean(values: Sequence[Column | str]) -> Column:
     """Mean over columns, skipping missing values; NULL when all are missing."""
-    present = [as_column(v).isNotNull().cast("int") for v in values]
+    present = [nan_to_null(as_column(v).cast("double")).isNotNull().cast("int") for v in values]
     return F.try_divide(row_sum(values), reduce(lambda a, b: a + b, present).cast("double"))

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from exposia.functions.numeric import parse_suppressed
+from exposia.functions.numeric import nan_to_null, parse_suppressed
 from exposia.functions.text import slug
 from exposia.operators.cleaning import fill_missing
 from exposia.sources.staging import materialize
@@ -41,7 +41,7 @@ def clean_counts(panel: DataFrame, value: str = "Population") -> DataFrame:
 def category_means(panel: DataFrame, keys: Sequence[str], value: str, result: str) -> DataFrame:
     """Mean over the periods present per key combination; rows lacking a key drop out."""
     known = panel.dropna(subset=list(keys))
-    return known.groupBy(*keys).agg(F.avg(value).alias(result))
+    return known.groupBy(*keys).agg(F.avg(nan_to_null(F.col(value).cast("double"))).alias(result))
 
 
 def stacked(families: Sequence[Family], key: str, value: str) -> DataFrame:
@@ -153,9 +153,9 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
 def describe(df: DataFrame, column: str, *, approximate: bool = False) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of a column as one row.
 
-    Quartiles are exact unless ``approximate``, which answers in a single pass.
+    NaN counts as missing. Quartiles are exact unless ``approximate``, which answers in a single pass.
     """
-    c = F.col(column).cast("double")
+    c = nan_to_null(F.col(column).cast("double"))
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     basic = [
         F.count(c).alias("count"),

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from exposia.functions.numeric import row_mean
+from exposia.functions.numeric import nan_to_null, row_mean
 
 _STATS = "_extremes"
 
@@ -17,18 +17,18 @@ def min_max_scale(
     """Add each column scaled to 0..``to`` by its global minimum and maximum.
 
     A column with one single value scales to 0 in every row, also where it is missing; one without
-    any value stays missing. The extremes of all columns come from one aggregate, used as a scalar
+    any value stays missing, and NaN counts as missing. The extremes of all columns come from one aggregate, used as a scalar
     subquery: no join and no ordering.
     """
     extremes = []
     for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
+        value = nan_to_null(F.col(c).cast("double"))
         extremes += [F.min(value).alias(f"low{i}"), F.max(value).alias(f"high{i}")]
     stats = df.agg(F.struct(*extremes)).scalar()
 
     def scaled(i: int, c: str) -> Column:
         low, high = F.col(f"{_STATS}.low{i}"), F.col(f"{_STATS}.high{i}")
-        value = F.col(c).cast("double")
+        value = nan_to_null(F.col(c).cast("double"))
         return (
             F.when(high.isNull(), F.lit(None).cast("double"))
             .when(high != low, F.try_divide(value - low, high - low) * to)

@@ -49,7 +49,7 @@ def build(
         return read_geojson(spark, path, properties, layout=layout, geometry=geometry)
 
     def panel(path: str, category: str) -> DataFrame:
-        return read_csv(spark, path, schemas.panel(category), multi_line=False)
+        return read_csv(spark, path, schemas.panel(category))
 
     facilities = materialize(
         tables.facilities(
@@ -62,14 +62,14 @@ def build(
     base = tables.state_facilities_base(facilities)
     state = tables.state_facilities(
         base,
-        read_csv(spark, inputs.averages, schemas.POPULATION_AVERAGES, multi_line=False),
-        read_csv(spark, inputs.metadata, schemas.FACILITY_METADATA),
+        read_csv(spark, inputs.averages, schemas.POPULATION_AVERAGES),
+        read_csv(spark, inputs.metadata, schemas.FACILITY_METADATA, multi_line=True),
         age=panel(inputs.age, "Age Group"),
         gender=panel(inputs.gender, "Gender"),
         race=panel(inputs.race, "Race"),
     )
     hazard = tables.heat_air_hazard(
-        read_csv(spark, inputs.heat_days, schemas.HEAT_DAYS, multi_line=False),
+        read_csv(spark, inputs.heat_days, schemas.HEAT_DAYS),
         layer(inputs.screening, schemas.SCREENING_PROPERTIES, geometry=False),
     )
     built = {

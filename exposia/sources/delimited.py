@@ -20,17 +20,23 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType,
     *,
-    multi_line: bool = True,
+    multi_line: bool = False,
     missing: Sequence[str] = MISSING_TEXT,
-    mode: str = "PERMISSIVE",
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Read CSV files with a header under ``schema``; the header must name its columns in order.
 
-    ``multi_line`` lets quoted fields hold line breaks but makes each file one (streamed) task.
-    Turn it off for data without such fields, as monthly panels: their files then split by block.
+    A cell that does not fit its type, or a row with more or fewer cells, is an error; ``mode="PERMISSIVE"``
+    makes such cells NULL. Files split by block. ``multi_line`` lets quoted fields hold line breaks
+    but makes each file one (streamed) task.
     """
+    # Numbers are read as text, so that texts for missing are told from cells that do not fit.
+    numeric = (T.NumericType,)
+    plain = T.StructType(
+        [T.StructField(f.name, T.StringType()) if isinstance(f.dataType, numeric) else f for f in schema.fields]
+    )
     frame = (
-        spark.read.schema(schema)
+        spark.read.schema(plain)
         .option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
@@ -44,8 +50,16 @@ def read_csv(
         if isinstance(field.dataType, T.StringType) and missing:
             cell = F.col(field.name)
             cleaned[field.name] = F.when(~cell.isin(*missing), cell)
-        elif isinstance(field.dataType, T.DoubleType):
-            cleaned[field.name] = nan_to_null(field.name)
+        elif isinstance(field.dataType, numeric):
+            cell = F.trim(field.name)
+            cell = F.when(~cell.isin(*missing), cell) if missing else cell
+            number = cell.try_cast(field.dataType)
+            if mode == "FAILFAST":
+                message = F.concat(F.lit(f"not a number in {field.name}: "), cell)
+                number = F.when(cell.isNotNull() & number.isNull(), F.raise_error(message)).otherwise(number)
+            if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+                number = nan_to_null(number).cast(field.dataType)
+            cleaned[field.name] = number.cast(field.dataType)
     return frame.withColumns(cleaned)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from exposia.functions.geometry import bound
+from exposia.functions.numeric import nan_to_null
 from exposia.schemas import GEOMETRY
 
 _COLLECTION = "collection"
@@ -26,7 +27,7 @@ def _parsed_geometry(kind: Column, coordinates: Column) -> Column:
 
 
 def _feature_type(properties: T.StructType, geometry: bool) -> T.StructType:
-    fields = [T.StructField("properties", properties)]
+    fields = [T.StructField("type", T.StringType()), T.StructField("properties", properties)]
     if geometry:
         # Coordinates nest to a different depth per geometry type, so they are read as text first.
         shape = T.StructType(
@@ -36,16 +37,24 @@ def _feature_type(properties: T.StructType, geometry: bool) -> T.StructType:
     return T.StructType(fields)
 
 
-def _is_feature(line: Column) -> Column:
-    """Whether a line is one feature; lines that hold a part of one, or several, are an error.
+def _holds_features(line: Column) -> Column:
+    """Whether a line is whole features; one that holds only a part of one is an error.
 
     Other lines open and close the collection around the features.
     """
     whole = line.startswith("{") & line.endswith("}")
-    several = whole & line.rlike(r'^\{[^\[]*"type"\s*:\s*"FeatureCollection"')
-    part = ~whole & line.rlike(r'^(\{\s*)?"type"\s*:\s*"Feature"')
-    message = F.lit("features are not one per line; read them with the collection layout")
-    return F.when(several | part, F.raise_error(message).cast("boolean")).otherwise(whole)
+    part = ~whole & ~line.startswith('"crs"') & line.rlike(r'"(properties|geometry)"\s*:|:\s*"Feature"')
+    message = F.lit("features are not on lines of their own; read them with the collection layout")
+    return F.when(part, F.raise_error(message).cast("boolean")).otherwise(whole)
+
+
+def _is_feature(kind: Column) -> Column:
+    """True for a feature, an error for anything else, as a whole collection on one line."""
+    message = F.concat(
+        F.lit("not a feature, read whole collections with the collection layout: "),
+        F.coalesce(kind, F.lit("no type")),
+    )
+    return F.when(kind == "Feature", F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
 
 
 def read_geojson(
@@ -59,9 +68,10 @@ def read_geojson(
     """Read features as their properties plus ``geometry``; a property a feature lacks is NULL.
 
     ``layout="collection"`` reads FeatureCollection documents, one task per file. Use
-    ``layout="lines"`` for large layers: one feature per line, either bare (line-delimited and
-    sequence GeoJSON) or inside a FeatureCollection as common exporters write it. Lines split
-    across tasks; a file laid out otherwise fails. With ``geometry=False`` the shapes are never parsed.
+    ``layout="lines"`` for large layers: features on lines of their own, one or several to a line,
+    either bare (line-delimited and sequence GeoJSON) or inside a FeatureCollection as common
+    exporters write it. Lines split across tasks; a file laid out otherwise fails, and so does
+    anything but a feature. NaN is missing. With ``geometry=False`` the shapes are never parsed.
     """
     feature = _feature_type(properties, geometry)
     if layout == _COLLECTION:
@@ -72,11 +82,19 @@ def read_geojson(
         )
     elif layout == _LINES:
         line = F.trim("value", F.lit(" \t\r\x1e,"))
-        lines = spark.read.text(path).filter(bound(line, _is_feature))
-        features = lines.select(F.from_json(line, feature, {"mode": "FAILFAST"}).alias("feature"))
+        lines = spark.read.text(path).filter(bound(line, _holds_features))
+        objects = F.concat(F.lit("["), line, F.lit("]"))
+        features = lines.select(
+            F.explode(F.from_json(objects, T.ArrayType(feature), {"mode": "FAILFAST"})).alias("feature")
+        )
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    columns = [F.col(f"feature.properties.`{f.name}`").alias(f.name) for f in properties.fields]
+    features = features.filter(_is_feature(F.col("feature.type")))
+    columns = []
+    for f in properties.fields:
+        value = F.col(f"feature.properties.`{f.name}`")
+        number = isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        columns.append((nan_to_null(value).cast(f.dataType) if number else value).alias(f.name))
     if geometry:
         shape = F.col("feature.geometry")
         columns.append(_parsed_geometry(shape["type"], shape["coordinates"]).alias("geometry"))

@@ -31,7 +31,7 @@ def test_quoted_breaks_doubled_quotes_and_line_ends(spark, tmp_path):
             "NA,,,,,,",
         ]
     )
-    got = read_csv(spark, write(tmp_path, "m.csv", content), schemas.FACILITY_METADATA)
+    got = read_csv(spark, write(tmp_path, "m.csv", content), schemas.FACILITY_METADATA, multi_line=True)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(
         [
             ("ASP", 1987, 'said "yes", twice', "Yes", None, None, None),
@@ -70,7 +70,7 @@ def test_written_csv_reads_back(spark, tmp_path):
     df = spark.createDataFrame(rows, "k string, t string, v double, f boolean")
     path = str(tmp_path / "out")
     write_csv(df, path)
-    assert sorted(map(tuple, read_csv(spark, path, df.schema).collect()), key=repr) == sorted(rows, key=repr)
+    assert sorted(map(tuple, read_csv(spark, path, df.schema, multi_line=True).collect()), key=repr) == sorted(rows, key=repr)
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert "True" in text and "true" not in text
     with pytest.raises(ValueError, match="nested"):
@@ -149,3 +149,44 @@ def test_wkt_goes_to_csv(spark, tmp_path):
     write_csv(df.withColumn("geometry", geo.to_wkt("geometry")), path)
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("geometry", T.StringType())])
     assert read_csv(spark, path, schema).first().geometry == "MULTIPOLYGON (((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0)))"
+
+
+def _feature(name, kind="Feature"):
+    return json.dumps({"type": kind, "properties": {"NAME": name}, "geometry": None})
+
+
+NAMED = T.StructType([T.StructField("NAME", T.StringType())])
+
+
+@pytest.mark.parametrize(
+    "content",
+    [
+        f"{_feature('a')},{_feature('b')}\n{_feature('c')}",
+        '{"bbox": [1,2],\n"features": [\n' + f"{_feature('a')},\n{_feature('b')},\n{_feature('c')}" + '\n],\n"type": "FeatureCollection"}',
+    ],
+)
+def test_no_feature_of_a_line_is_lost(spark, tmp_path, content):
+    layer = read_geojson(spark, write(tmp_path, "l.geojson", content), NAMED, layout="lines", geometry=False)
+    assert sorted(r.NAME for r in layer.collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize(
+    "content",
+    [
+        '{"features": [' + _feature("a") + '], "type": "FeatureCollection"}',
+        '{"bbox": [0, 1], "type": "FeatureCollection", "features": [' + _feature("a") + "]}",
+        json.dumps({"properties": {"NAME": "a"}, "geometry": None, "type": "Feature"}, indent=1),
+        _feature("a", "Thing"),
+    ],
+)
+def test_other_layouts_fail(spark, tmp_path, content):
+    with pytest.raises(Exception):
+        read_geojson(spark, write(tmp_path, "l.geojson", content), NAMED, layout="lines").collect()
+
+
+@pytest.mark.parametrize("cell", ['"3,891"', "1,2"])
+def test_cells_that_do_not_fit_fail(spark, tmp_path, cell):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.DoubleType())])
+    path = write(tmp_path, "c.csv", f"k,v\na,1\nb,{cell}\n")
+    with pytest.raises(Exception):
+        read_csv(spark, path, schema).collect()
