@@ -321,7 +321,7 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
     path = scratch_path(spark, "csv")
     write_csv(source, path)
-    return read_csv(spark, path, source.schema)
+    return read_csv(spark, path, source.schema, multi_line=True)
 
 
 def panel_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
