@@ -25,7 +25,7 @@ END = 1
 VOCABULARY = "word_bpe_49k.json"
 MARK_EVERY = 256
 _MAGIC = b"EFIDS001"
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 900_000
 _READ_IDS = 1 << 20
 
 
