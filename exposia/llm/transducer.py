@@ -29,7 +29,7 @@ from exposia.llm.text import prefix_hash, span_hash, text_chunks, utf8
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_COST = 1e7
 RESERVED = 1e6  # ranks above mark pieces that the vocabulary sets apart
-_CACHED_PARTS = 120_000
+_CACHED_PARTS = 350_000
 _CHUNK = 1 << 20
 
 
