@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from exposia.llm.lattice import MARK, Lattice, Pieces, spans_of
-from exposia.llm.text import prefix_hash, span_hash, text_chunks, utf8, words
+from exposia.llm.lattice import MARK, Known, Lattice, Pieces, spans_of
+from exposia.llm.text import give_back, prefix_hash, span_hash, text_chunks, utf8, words
 from exposia.sources.staging import materialize
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -29,6 +29,7 @@ ROUNDS = 4
 WORD_BYTES = 64
 _SMOOTHING = 0.01
 _CACHED_WORDS = 300_000
+_WORDS_AT_ONCE = 20_000  # words of one lattice
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -144,37 +145,43 @@ class _Words:
 
     def __init__(self, model: LanguageModel):
         self.model, self.pieces = model, Pieces(model.pieces)
-        self.known: dict[int, int] = {}
+        self.known = Known(_CACHED_WORDS)
         self.table = np.zeros((1024, len(model.langs)))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         name, at, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        names, known = name.tolist(), self.known
-        if len(known) > _CACHED_WORDS:
-            known.clear()
-        fresh = [i for i, h in enumerate(names) if h not in known]
-        if fresh:
-            lattice = Lattice.of(self.pieces, *_spaced(data, starts[at[fresh]], ends[at[fresh]]))
-            used = len(known)
-            while used + len(fresh) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[used : used + len(fresh)] = lattice.log_sums(self.model.logs[lattice.piece])[lattice.last]
-            known.update(zip([names[i] for i in fresh], range(used, used + len(fresh))))
-        return self.table[[known[h] for h in names]][back] if names else self.table[:0]
+        if self.known.full:
+            self.known.clear()
+        number, fresh = self.known.find(name)
+        at, place = at[fresh], number[fresh]
+        while len(self.known.names) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for k in range(0, len(at), _WORDS_AT_ONCE):
+            some = at[k : k + _WORDS_AT_ONCE]
+            lattice = Lattice.of(self.pieces, *_spaced(data, starts[some], ends[some]))
+            self.table[place[k : k + _WORDS_AT_ONCE]] = lattice.log_sums(self.model.logs[lattice.piece])[lattice.last]
+        return self.table[number][back]
 
 
 _LOADED: dict[str, _Words] = {}
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, text: int):
+    """``text``: which field of the row holds the text, so that it is sent once."""
     mark = uuid.uuid4().hex
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            columns = [row, pc.struct_field(row, text), batch.column("letters")]
+            yield from text_chunks([pa.RecordBatch.from_arrays(columns, names=["row", "text", "letters"])], limit=1 << 20)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _LOADED:
             _LOADED.clear()  # a worker keeps one model
             _LOADED[mark] = _Words(model)
         scores = _LOADED[mark]
-        for batch in text_chunks(batches, limit=1 << 20):
+        for batch in chunks(batches):
             data, starts, ends, owner = _words(batch.column("text"))
             word = scores(data, starts, ends)
             total = np.zeros((len(batch), len(model.langs)))
@@ -187,6 +194,7 @@ def _predict(model: LanguageModel):
             lang = [model.langs[b] if some else UNKNOWN for b, some in zip(best, letters)]
             columns = [batch.column("row"), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score"])
+        give_back()
 
     return rows
 
@@ -200,8 +208,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("text").alias("text"), letters)
+    rows = docs.select(row, letters)
+    text = [c.lower() for c in docs.columns].index("text")
     if not model.langs:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = f"row {docs.schema.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(_predict(model), schema)
+    return rows.mapInArrow(_predict(model, text), schema)

@@ -51,6 +51,34 @@ class Pieces:
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(numbers)
 
 
+class Known:
+    """Numbers of hashed names in order of arrival; a few bytes a name, looked up by sorted search."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    @property
+    def full(self) -> bool:
+        return len(self.names) > self.limit
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each of some sorted names, and which are new; these get the next numbers in order."""
+        place = np.searchsorted(self.names, names)
+        fresh = np.ones(len(names), bool)
+        inside = place < len(self.names)
+        fresh[inside] = self.names[place[inside]] != names[inside]
+        number = np.empty(len(names), np.int64)
+        number[~fresh] = self.numbers[place[~fresh]]
+        number[fresh] = len(self.names) + np.arange(int(fresh.sum()))
+        self.names = np.insert(self.names, place[fresh], names[fresh])
+        self.numbers = np.insert(self.numbers, place[fresh], number[fresh])
+        return number, fresh
+
+
 @dataclass
 class Lattice:
     """Edges in order of their end's distance from the start of its string, then of the end."""

@@ -23,13 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from exposia.llm.lattice import MARK, Lattice, Pieces, spans_of
-from exposia.llm.text import prefix_hash, span_hash, text_chunks, utf8
+from exposia.llm.lattice import MARK, Known, Lattice, Pieces, spans_of
+from exposia.llm.text import give_back, prefix_hash, span_hash, text_chunks, utf8
 
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_COST = 1e7
 RESERVED = 1e6  # ranks above mark pieces that the vocabulary sets apart
 _CACHED_PARTS = 350_000
+_PARTS_AT_ONCE = 20_000  # parts of one lattice
 _CHUNK = 1 << 20
 
 
@@ -68,7 +69,24 @@ class Transducer:
         self.ids = np.array([i for _, i in best.values()], np.int32)
         self.bytes = np.frombuffer(b"".join(self.output), np.uint8)
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x in self.output])]).astype(np.int64)
-        self.known: dict[int, bytes] = {}
+        self.known = Known(_CACHED_PARTS)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.solved, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)  # ids of all known parts
+
+    def _solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add the cheapest paths of some parts."""
+        found, counts = [self.solved], [np.zeros(0, np.int64)]
+        for k in range(0, len(starts), _PARTS_AT_ONCE):
+            some = slice(k, k + _PARTS_AT_ONCE)
+            lattice = Lattice.of(self.pieces, *spans_of(data, starts[some], ends[some]))
+            path, count = lattice.shortest(self.costs[lattice.piece])
+            found.append(self.ids[path])
+            counts.append(count)
+        self.solved = np.concatenate(found)
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(counts))])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and where each text's start."""
@@ -85,24 +103,17 @@ class Transducer:
         starts = np.flatnonzero(border)
         ends = np.append(starts[1:], len(data))
         name, at, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > _CACHED_PARTS:
-            self.known.clear()
-        names, known = name.tolist(), self.known
-        fresh = [i for i, h in enumerate(names) if h not in known]
-        if fresh:
-            lattice = Lattice.of(self.pieces, *spans_of(data, starts[at[fresh]], ends[at[fresh]]))
-            path, count = lattice.shortest(self.costs[lattice.piece])
-            raw, stops = self.ids[path].tobytes(), (4 * np.cumsum(count)).tolist()
-            for i, a, b in zip(fresh, [0, *stops], stops):
-                known[names[i]] = raw[a:b]
-        tables = [known[h] for h in names]
-        sizes = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
-        begin, count = (np.cumsum(sizes) - sizes)[back], sizes[back]
-        flat = np.frombuffer(b"".join(tables), np.int32)
+        if self.known.full:
+            self._forget()
+        number, fresh = self.known.find(name)
+        if fresh.any():
+            self._solve(data, starts[at[fresh]], ends[at[fresh]])
+        number = number[back]
+        begin, count = self.bounds[number], np.diff(self.bounds)[number]
         place = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
         owner = np.searchsorted(offsets, starts, "right") - 1
         per_text = np.bincount(owner, count, minlength=n).astype(np.int64)
-        return flat[place], np.concatenate([[0], np.cumsum(per_text)])
+        return self.solved[place], np.concatenate([[0], np.cumsum(per_text)])
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of some ids, those of each between two offsets; bytes that make no character
@@ -134,6 +145,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids, offsets = model.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["row", "ids"])
+        give_back()
 
     other = docs.drop("text")
     row = F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("row")
@@ -163,6 +175,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "n_ids", "ids_crc32", "text", "text_sha256"])
+        give_back()
 
     kind = encoded.select("row").schema["row"].dataType.simpleString()
     return encoded.select("row", "ids").mapInArrow(rows, f"row {kind}, ids array<int>, n_ids long, ids_crc32 long, text string, text_sha256 string")
