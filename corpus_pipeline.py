@@ -18,7 +18,7 @@ ORACLE_SQL = None  # no stage but the counting part of the mix can be said in SQ
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the model; texts without a letter, empty or null go."""
-    queries.workers_find_package(spark)
+    queries.prepare_workers(spark)
     model = language.fit(docs, f"{queries.TOKENIZERS}/{language.VOCABULARY}", F.lit(True))
     found = language.identify(docs, model)
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select("row.*")
@@ -29,7 +29,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Rows without doc_id stay if one of them is of no named group.
     """
-    queries.workers_find_package(spark)
+    queries.prepare_workers(spark)
     found = materialize(jaccard_join(docs), "joined")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
@@ -39,7 +39,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without bytes that an earlier 100-byte string covers; ``n_chars`` is counted again."""
-    queries.workers_find_package(spark)
+    queries.prepare_workers(spark)
     left = remove_repeats(docs).select("row.*", F.col("kept_text").alias("text"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -51,7 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they give back."""
-    queries.workers_find_package(spark)
+    queries.prepare_workers(spark)
     path = f"{queries.TOKENIZERS}/{transducer.VOCABULARY}"
     found = transducer.decode(transducer.encode(docs, path), path)
     return found.select("row.*", "ids", "n_ids", "text")

@@ -17,15 +17,21 @@ from exposia.llm.token_files import VOCABULARY, read_documents, write_tokens
 from exposia.llm.warc import read_captures, write_archives
 
 TOKENIZERS = "/opt/tokenizers"
+BATCH_BYTES = 4 << 20  # of rows sent to a Python worker at once, at most about so many
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where it lies on their disk but not on their path."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package where it lies on their disk but not on their path, and
+    send them whole texts in batches bounded by bytes as well as by rows."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    size = spark.conf.get(_BATCH_SETTING, None)
+    if size is None or not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    workers_find_package(spark)
+    prepare_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

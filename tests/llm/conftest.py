@@ -33,6 +33,6 @@ def none(spark):
 
 @pytest.fixture(scope="session", autouse=True)
 def _workers(spark):
-    from exposia.llm.queries import workers_find_package
+    from exposia.llm.queries import prepare_workers
 
-    workers_find_package(spark)
+    prepare_workers(spark)
