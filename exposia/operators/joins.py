@@ -15,7 +15,6 @@ HOT_KEYS = 10_000
 MIN_PIECE_ROWS = 1_000_000
 
 _PIECES, _PIECE = "_pieces", "_piece"
-_HASHABLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -43,6 +42,15 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size is not None and size <= broadcast_limit(df)
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark hashes a type: all but maps, at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], max_hot: int = HOT_KEYS, min_rows: int = MIN_PIECE_ROWS
 ) -> DataFrame:
@@ -78,7 +86,7 @@ def salted_left_join(
     right_keys = [k for _, k in on]
     hot = F.broadcast(hot_keys(left, left_keys, max_hot, min_rows))
 
-    hashable = [f.name for f in left.schema.fields if isinstance(f.dataType, _HASHABLE)]
+    hashable = [f.name for f in left.schema.fields if _hashable(f.dataType)]
     row_hash = F.xxhash64(*hashable)
     no_key = F.lit(False)
     for k in left_keys:

@@ -41,8 +41,8 @@ def build(
 ) -> dict[str, DataFrame]:
     """Build all tables and write each as CSV under ``output``.
 
-    ``layout`` is that of the three GeoJSON layers. The facility table is stored once as parquet and
-    feeds the others; geometry becomes text only in the CSV. Returns the tables by name.
+    ``layout`` is that of the three GeoJSON layers. The facility, state and hazard tables are stored once as
+    parquet and feed the others; geometry becomes text only in the CSV. Returns the tables by name.
     """
 
     def layer(path: str, properties: T.StructType, geometry: bool = True) -> DataFrame:
@@ -72,6 +72,8 @@ def build(
         read_csv(spark, inputs.heat_days, schemas.HEAT_DAYS),
         layer(inputs.screening, schemas.SCREENING_PROPERTIES, geometry=False),
     )
+    # Both feed several tables below.
+    state, hazard = materialize(state, "state"), materialize(hazard, "hazard")
     built = {
         "facilities": facilities,
         "state_facilities_base": base,

@@ -305,3 +305,19 @@ def test_centroid_of_a_convex_shape_lies_inside(spark):
     df = spark.createDataFrame([("a", [[box(-118.0, 34.0, -117.0, 35.0)]])], f"rid string, geometry {SHAPE}")
     placed = spatial.with_centroid(df)
     assert rows(spatial.join_regions(placed.drop("geometry", "rid"), df, region_id="rid"), "rid") == [("a",)]
+
+
+def test_salting_deals_rows_that_differ_only_in_nested_columns(spark):
+    left = spark.range(4000).selectExpr(
+        "'hot' as left_k", "array(id) as list", "struct(id as i) as pair", "cast(string(id) as binary) as raw"
+    )
+    right = spark.createDataFrame([("hot", 1)], "k string, v int")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.salted_left_join(left, right, [("left_k", "k")], max_hot=10, min_rows=100)
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count("v").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sum(t.n for t in tasks) == 4000
+    assert max(t.n for t in tasks) < 4000
