@@ -170,18 +170,18 @@ def _predict(model: LanguageModel, text: int):
     """``text``: which field of the row holds the text, so that it is sent once."""
     mark = uuid.uuid4().hex
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row")
             columns = [row, pc.struct_field(row, text), batch.column("letters")]
-            yield from text_chunks([pa.RecordBatch.from_arrays(columns, names=["row", "text", "letters"])], limit=1 << 20)
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "letters"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _LOADED:
             _LOADED.clear()  # a worker keeps one model
             _LOADED[mark] = _Words(model)
         scores = _LOADED[mark]
-        for batch in chunks(batches):
+        for batch in text_chunks(with_text(batches), limit=1 << 20):
             data, starts, ends, owner = _words(batch.column("text"))
             word = scores(data, starts, ends)
             total = np.zeros((len(batch), len(model.langs)))

@@ -35,7 +35,8 @@ LENGTH = 100
 GRAM = 40
 HOT_SHARE = 300
 GROUP = 4000
-PIECE = 4 << 20
+CHUNK_BYTES = 1 << 20  # text cut into slices at once; each byte takes about 90 more for a while
+PIECE = 1 << 20
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 _BATCH_BYTES = 1 << 20
@@ -76,7 +77,7 @@ def _slices(data: np.ndarray, offsets: np.ndarray):
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, offsets, doc, th and start within the document, long documents in overlapping pieces."""
-    for batch in text_chunks(batches):
+    for batch in text_chunks(batches, limit=CHUNK_BYTES):
         data, offsets = utf8(batch.column("text"))
         doc, th = (np.asarray(batch.column(c), np.int64) for c in ("doc", "th"))
         if len(data) <= PIECE:
@@ -99,7 +100,7 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, whole, *_ = _slices(data, offsets)
         kinds = np.unique(np.stack([anchor, whole]), axis=1)[0] if len(anchor) else anchor
         name, count = np.unique(kinds, return_counts=True)
-        often = count >= max(8, len(doc) / HOT_SHARE)
+        often = count >= max(4, len(doc) / HOT_SHARE)
         yield pa.RecordBatch.from_arrays([signed(name[often]), pa.array(count[often].astype(np.int64))], names=["anchor", "n"])
 
 

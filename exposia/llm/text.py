@@ -25,7 +25,7 @@ LOWER[65:91] += 32
 
 
 def give_back() -> None:
-    """At the end of a task, return freed memory to the system: workers live on and their stages add up."""
+    """Return freed memory to the system: workers live on and their stages add up."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -98,7 +98,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose texts together are within ``limit`` bytes, one row at least."""
+    """The same rows in slices whose texts together are within ``limit`` bytes, one row at least.
+
+    To be called once in a task: it gives back memory before the first slice and after the last.
+    """
+    give_back()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         total = np.cumsum(np.asarray(lengths, np.int64))
@@ -108,6 +112,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = max(start + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
