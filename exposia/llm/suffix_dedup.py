@@ -98,8 +98,11 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors that head many different slices of a chunk."""
     for data, offsets, doc, _, _ in _parts(batches):
         anchor, whole, *_ = _slices(data, offsets)
-        kinds = np.unique(np.stack([anchor, whole]), axis=1)[0] if len(anchor) else anchor
-        name, count = np.unique(kinds, return_counts=True)
+        order = np.lexsort((whole, anchor))
+        anchor, whole = anchor[order], whole[order]
+        kind = np.ones(len(anchor), bool)
+        kind[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+        name, count = np.unique(anchor[kind], return_counts=True)
         often = count >= max(4, len(doc) / HOT_SHARE)
         yield pa.RecordBatch.from_arrays([signed(name[often]), pa.array(count[often].astype(np.int64))], names=["anchor", "n"])
 
