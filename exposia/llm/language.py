@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from exposia.llm.lattice import MARK, Known, Lattice, Pieces, spans_of
-from exposia.llm.text import give_back, prefix_hash, span_hash, text_chunks, utf8, words
+from exposia.llm.text import prefix_hash, span_hash, text_chunks, utf8, words, worker_state
 from exposia.sources.staging import materialize
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -163,9 +163,6 @@ class _Words:
         return self.table[number][back]
 
 
-_LOADED: dict[str, _Words] = {}
-
-
 def _predict(model: LanguageModel, text: int):
     """``text``: which field of the row holds the text, so that it is sent once."""
     mark = uuid.uuid4().hex
@@ -177,11 +174,8 @@ def _predict(model: LanguageModel, text: int):
             yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "letters"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _LOADED:
-            _LOADED.clear()  # a worker keeps one model
-            _LOADED[mark] = _Words(model)
-        scores = _LOADED[mark]
-        for batch in text_chunks(with_text(batches), limit=1 << 20):
+        scores = worker_state(mark, lambda: _Words(model))
+        for batch in text_chunks(with_text(batches), limit=1 << 20, keep=mark):
             data, starts, ends, owner = _words(batch.column("text"))
             word = scores(data, starts, ends)
             total = np.zeros((len(batch), len(model.langs)))
@@ -194,7 +188,6 @@ def _predict(model: LanguageModel, text: int):
             lang = [model.langs[b] if some else UNKNOWN for b, some in zip(best, letters)]
             columns = [batch.column("row"), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score"])
-        give_back()
 
     return rows
 

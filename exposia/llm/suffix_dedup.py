@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from exposia.llm.groups import runs
-from exposia.llm.text import mix, powers, prefix_hash, signed, span_hash, text_chunks, utf8
+from exposia.llm.text import give_back, mix, powers, prefix_hash, signed, span_hash, text_chunks, utf8
 from exposia.sources.staging import materialize
 
 LENGTH = 100
@@ -39,7 +39,7 @@ CHUNK_BYTES = 1 << 20  # text cut into slices at once; each byte takes about 90
 PIECE = 1 << 20
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
-_BATCH_BYTES = 1 << 20
+_BATCH_BYTES = 1 << 19
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -260,6 +260,7 @@ def _spans_of(tables: list[pa.Table]) -> pa.RecordBatch | None:
 
 
 def _maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     held, size = [], 0
     for group in runs(batches, ["anchor"]):
         held.append(group)

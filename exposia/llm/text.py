@@ -7,7 +7,7 @@ than space and 0x09-0x0D, with A-Z lower-cased.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 # Text handled at once in a task; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 SHINGLE_WORDS = 5
+_KEPT_POWERS = (1 << 20) + (1 << 16)
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -24,8 +25,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def give_back() -> None:
-    """Return freed memory to the system: workers live on and their stages add up."""
+_STATE: dict[str, object] = {}
+
+
+def worker_state(mark: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by this worker for later tasks; a worker keeps one such thing."""
+    if mark not in _STATE:
+        _STATE.clear()
+        _STATE[mark] = make()
+    return _STATE[mark]
+
+
+def give_back(keep: str | None = None) -> None:
+    """Drop the worker's state unless it is ``keep``, and return freed memory to the system: workers
+    live on and their stages add up."""
+    if keep not in _STATE:
+        _STATE.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -62,10 +77,10 @@ _CACHE: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and their inverses."""
     if "up" not in _CACHE or len(_CACHE["up"]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = max(n, _KEPT_POWERS)
         up, down = _powers(_STEP, size), _powers(_STEP_INVERSE, size)
-        if n > 4 * CHUNK_BYTES:  # a very long text: not kept
-            return up[:n], down[:n]
+        if n > _KEPT_POWERS:  # a long chunk: not kept
+            return up, down
         _CACHE["up"], _CACHE["down"] = up, down
     return _CACHE["up"][:n], _CACHE["down"][:n]
 
@@ -97,12 +112,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts together are within ``limit`` bytes, one row at least.
 
-    To be called once in a task: it gives back memory before the first slice and after the last.
+    To be called once in a task: it gives back memory before the first slice and after the last,
+    the worker's state too if it is not ``keep``.
     """
-    give_back()
+    give_back(keep)
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         total = np.cumsum(np.asarray(lengths, np.int64))
@@ -112,7 +128,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = max(start + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
-    give_back()
+    give_back(keep)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
