@@ -4,9 +4,9 @@ Counts of one- and two-token n-grams of the training texts are quantised to ``q
 and each n-gram is entered with every level up to its q. A look-up probes level after level until
 one is missing, so a count is never underestimated, and overestimated only by chance. The filter has
 a stated size and is broadcast; n-grams rarer than a cutoff are left out of it, the lowest cutoff
-for which the entries fit. The cutoff follows from counts over all texts. Pairs seen once are never
-entered. Left-out pairs fall back to single tokens, and left-out tokens to the add-one mass. Pairs
-weigh as much as the share of training tokens whose pair would be known without that token.
+for which the entries fit. The cutoff follows from counts over all texts. Left-out pairs fall back
+to single tokens, and left-out tokens to the add-one mass. Pairs weigh as much as the share of
+training tokens whose pair would be known without that token. Of a pair only its level is stored.
 
 Exact token counts, for the base score, are joined: the most frequent ``TOP`` tokens are broadcast,
 the few other occurrences are joined by token.
@@ -28,7 +28,6 @@ from exposia.sources.staging import materialize
 
 FILTER_BITS = 28
 TOP = 1 << 17
-LEAST_PAIR = 2
 _BLOCK_BITS = 20
 _PROBES = 3
 _U = np.uint64
@@ -112,10 +111,15 @@ class LogFrequencyFilter:
         return np.where(level > 0, np.sqrt(np.exp2(level - 1.0) * (np.exp2(level * 1.0) - 1)), 0.0)
 
 
+def level_of(n: str) -> Column:
+    return (F.floor(F.log2(n) + 1e-9) + 1).cast("int")
+
+
 def build_filter(counts: DataFrame, bits: int = FILTER_BITS) -> LogFrequencyFilter:
-    """The filter over ``name, n``. Only its blocks, ``2 ** bits`` bits in all, come to the driver."""
-    level = (F.floor(F.log2("n") + 1e-9) + 1).cast("int")
-    leveled = counts.select("name", level.alias("level"))
+    """The filter over ``name`` and ``n``, or ``level`` in its place. Only its blocks, ``2 ** bits``
+    bits in all, come to the driver."""
+    level = F.col("level") if "level" in counts.columns else level_of("n").alias("level")
+    leveled = counts.select("name", level)
     sums = {r["level"]: r["n"] for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
     room, cutoff = (1 << bits) * np.log(2) / _PROBES, 1
     while sum(q * n for q, n in sums.items() if q >= cutoff) > room:
@@ -177,15 +181,16 @@ def score(docs: DataFrame, train: Column, bits: int = FILTER_BITS, top: int = TO
     sc = docs.sparkSession.sparkContext
     used = docs.filter(train).select("text")
     counts = used.mapInArrow(_count, "name long, ngram byte, n long").groupBy("name", "ngram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.filter((F.col("ngram") == 1) | (F.col("n") >= LEAST_PAIR)), "counts")
+    exact = F.when(F.col("ngram") == 1, F.col("n")).alias("n")
+    counts = materialize(counts.filter("n > 0").select("name", "ngram", level_of("n").alias("level"), exact), "counts")
     begin = int(np.array([_BEGIN]).view(np.int64)[0])
     single = counts.filter((F.col("ngram") == 1) & (F.col("name") != begin)).select("name", "n")
     sums = single.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"]
     total = n + v + 1
-    again = counts.filter((F.col("ngram") == 2) & (F.col("n") > LEAST_PAIR)).agg(F.sum("n").alias("n")).first()["n"] or 0
-    weight = min(0.95, max(0.01, again / max(n, 1)))
-    model = sc.broadcast(build_filter(counts.filter("n > 0").select("name", "n"), bits))
+    once = counts.filter("ngram = 2 and level = 1").count()  # every token ends one pair
+    weight = min(0.95, max(0.01, (n - once) / max(n, 1)))
+    model = sc.broadcast(build_filter(counts.select("name", "level"), bits))
     head = single.orderBy(F.desc("n"), "name").limit(top).toPandas().sort_values("name", key=lambda s: s.to_numpy().view(_U))
     names = head["name"].to_numpy(np.int64).view(_U)
     frequent = sc.broadcast((names, np.log10(head["n"].to_numpy(float) + 1)))

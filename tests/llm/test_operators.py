@@ -333,6 +333,36 @@ def test_filter_never_underestimates(spark):
     assert np.mean(levels > [1 + math.floor(math.log2(n)) for _, n in data]) < 0.05
 
 
+def brute_scores(texts, train):
+    """Scores with the level of every n-gram of the training texts."""
+    known = Counter(w for i in train for w in ["<s>", *words(texts[i]), "</s>"])
+    double = Counter(p for i in train for p in itertools.pairwise(["<s>", *words(texts[i]), "</s>"]))
+    n = sum(known.values()) - known["<s>"]
+    total = n + len(known.keys() - {"<s>"}) + 1
+    weight = min(0.95, max(0.01, sum(c for c in double.values() if c > 1) / n))
+
+    def middle(c):
+        level = c.bit_length()
+        return math.sqrt(2 ** (level - 1) * (2**level - 1)) if c else 0.0
+
+    out = {}
+    for i, text in texts.items():
+        out[i] = 0.0
+        for a, b in itertools.pairwise(["<s>", *words(text), "</s>"]):
+            one, context, two = middle(known[b]), middle(known[a]), middle(double[a, b])
+            share = min(1.0, two / max(context, two, 1.0)) if two else 0.0
+            out[i] += math.log10(weight * share + (1 - weight) * (one + 1) / total)
+    return out
+
+
+def test_language_model_scores_pairs_seen_once(spark):
+    texts = {2: "red green blue", 4: "red green grey", 6: "one two", 1: "one two blue", 3: "two one grey", 5: None}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["score"] for r in rows(bloom_lm.score(frame, F.col("doc_id") % 2 == 0))}
+    want = brute_scores(texts, [i for i in texts if i % 2 == 0])
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in texts)
+
+
 def test_language_model_of_odd_rows(odd, none):
     got = {r["row"]["doc_id"]: r for r in rows(bloom_lm.score(odd, F.col("doc_id") < 9))}
     assert got[3]["n_tokens"] == got[4]["n_tokens"] == got[5]["n_tokens"] == 1
