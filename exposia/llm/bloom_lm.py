@@ -4,9 +4,10 @@ Counts of one- and two-token n-grams of the training texts are quantised to ``q
 and each n-gram is entered with every level up to its q. A look-up probes level after level until
 one is missing, so a count is never underestimated, and overestimated only by chance. The filter has
 a stated size and is broadcast; n-grams rarer than a cutoff are left out of it, the lowest cutoff
-for which the entries fit. The cutoff follows from counts over all texts. Left-out pairs fall back
-to single tokens, and left-out tokens to the add-one mass. Pairs weigh as much as the share of
-training tokens whose pair would be known without that token. Of a pair only its level is stored.
+for which the entries fit. The cutoff follows from counts over all texts. Of what the filter does not
+know, texts send the n-grams that may still have a level below the cutoff to a join with the stored
+levels, so the size of the filter changes no score. Pairs weigh as much as the share of training
+tokens whose pair would be known without that token. Of a pair only its level is stored.
 
 Exact token counts, for the base score, are joined: the most frequent ``TOP`` tokens are broadcast,
 the few other occurrences are joined by token.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -105,10 +107,17 @@ class LogFrequencyFilter:
                 return np.where(level < self.cutoff, 0, level)
             level[alive] = j
 
-    def counts(self, name: np.ndarray) -> np.ndarray:
-        """A middle value of the level: exact for 1, between its bounds above."""
-        level = self.levels(name)
-        return np.where(level > 0, np.sqrt(np.exp2(level - 1.0) * (np.exp2(level * 1.0) - 1)), 0.0)
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """A middle count of the level: exact for 1, between its bounds above."""
+    return np.where(level > 0, np.sqrt(np.exp2(level - 1.0) * (np.exp2(level * 1.0) - 1)), 0.0)
+
+
+def log_chance(one: np.ndarray, before: np.ndarray, two: np.ndarray, total: int, weight: float) -> np.ndarray:
+    """Log of each token's chance, from the levels of the token, of the one before and of the pair."""
+    one, before, two = middle(one), middle(before), middle(two)
+    share = np.where(two > 0, np.minimum(1.0, two / np.maximum(before, np.maximum(two, 1.0))), 0.0)
+    return np.log10(weight * share + (1 - weight) * (one + 1) / total)
 
 
 def level_of(n: str) -> Column:
@@ -135,8 +144,19 @@ def build_filter(counts: DataFrame, bits: int = FILTER_BITS) -> LogFrequencyFilt
     return LogFrequencyFilter(cells, shift, cutoff)
 
 
+def _lists(count: np.ndarray, **fields: pa.Array) -> pa.ListArray:
+    """So many structs for each row."""
+    items = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), items)
+
+
 def _score(model, top, total: int, weight: float):
-    """Per text: tokens, sums over the top tokens, the model's score, and the other tokens."""
+    """Per text: tokens, sums over the top tokens, the model's score, and the other tokens.
+
+    ``score`` is over the tokens all whose levels are known here; ``open`` are the others, one entry
+    for each pair of the text, and ``probes`` the names to look up for them. What a text was trained
+    on has level 1 at least, so nothing is open there when only level 1 is left out.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, (names, logs) = model.value, top.value
@@ -146,28 +166,65 @@ def _score(model, top, total: int, weight: float):
             at = np.minimum(np.searchsorted(names, token), max(len(names) - 1, 0))
             known = names[at] == token if len(names) else np.zeros(len(token), bool)
             base = np.where(known, logs[at], 0.0) if len(names) else np.zeros(len(token))
+            double = pairs(token, offsets)
+            before = np.empty_like(token)
+            before[1:] = token[:-1]
+            before[offsets[:-1]] = _BEGIN
             single, back = np.unique(token, return_inverse=True)
-            one = lookup.counts(single)[back]
-            context = np.empty(len(token))
-            context[1:] = one[:-1]
-            context[offsets[:-1]] = lookup.counts(np.array([_BEGIN]))[0]
-            double, place = np.unique(pairs(token, offsets), return_inverse=True)
-            two = lookup.counts(double)[place]
-            share = np.where(two > 0, np.minimum(1.0, two / np.maximum(context, np.maximum(two, 1.0))), 0.0)
-            chance = weight * share + (1 - weight) * (one + 1) / total
+            pair, place = np.unique(double, return_inverse=True)
+            level = np.empty((3, len(token)), np.int64)
+            level[0], level[2] = lookup.levels(single)[back], lookup.levels(pair)[place]
+            level[1, 1:] = level[0, :-1]
+            level[1, offsets[:-1]] = lookup.levels(np.array([_BEGIN]))[0]
+            owner = np.repeat(np.arange(len(batch)), np.diff(offsets))
+            least = np.asarray(batch.column("trained").cast(pa.int8()), np.int64)[owner]
+            unsure = (level == 0) & (least < lookup.cutoff - 1)
+            level = np.where((level == 0) & ~unsure, least, level)
+            late = unsure.any(axis=0)
+            score = np.where(late, 0.0, log_chance(*level, total, weight))
+            late = np.flatnonzero(late)
+            _, first, tf = np.unique(mix(double[late] ^ mix(owner[late].astype(_U))), return_index=True, return_counts=True)
+            order = np.argsort(first)
+            late, tf = late[first[order]], tf[order]
+            n_late = np.bincount(owner[late], minlength=len(batch))
+            nth = np.arange(len(late)) - (np.cumsum(n_late) - n_late)[owner[late]]
+            entry, kind = np.nonzero(unsure[:, late].T)
+            name = np.stack([token[late], before[late], double[late]])[kind, entry]
+            n_probes = np.bincount(owner[late][entry], minlength=len(batch))
             rare = np.flatnonzero(~known)
             count = np.bincount(np.searchsorted(offsets, rare, "right") - 1, minlength=len(batch))
+            one, context, two = (pa.array(x.astype(np.int8)) for x in level[:, late])
             columns = [
                 batch.column("row"),
                 pa.array(np.arange(row, row + len(batch))),
                 pa.array(np.diff(offsets)),
                 pa.array(group_sums(known.astype(np.int64), offsets)),
                 pa.array(group_sums(base, offsets)),
-                pa.array(group_sums(np.log10(chance), offsets)),
+                pa.array(group_sums(score, offsets)),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), signed(token[rare])),
+                _lists(n_late, tf=pa.array(tf.astype(np.int32)), one=one, before=context, two=two),
+                _lists(n_probes, name=signed(name), at=pa.array(nth[entry].astype(np.int32)), kind=pa.array(kind.astype(np.int8))),
             ]
             row += len(batch)
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_tokens", "known", "base", "score", "rare"])
+            names_out = ["row", "id", "n_tokens", "known", "base", "score", "rare", "open", "probes"]
+            yield pa.RecordBatch.from_arrays(columns, names=names_out)
+
+    return rows
+
+
+def _close(total: int, weight: float):
+    """The score of the open tokens of each text, with the levels found for them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (np.asarray(pc.fill_null(pc.list_value_length(batch.column(c)), 0), np.int64) for c in ("open", "found"))
+            entry, found = batch.column("open").flatten(), batch.column("found").flatten()
+            tf, *level = (np.asarray(entry.field(c), np.int64) for c in ("tf", "one", "before", "two"))
+            level = np.stack(level)
+            at, kind, known = (np.asarray(found.field(c), np.int64) for c in ("at", "kind", "level"))
+            level[kind, np.repeat(np.cumsum(n) - n, m) + at] = known
+            late = group_sums(tf * log_chance(*level, total, weight), np.concatenate([[0], np.cumsum(n)]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(late)], names=["id", "_late"])
 
     return rows
 
@@ -179,6 +236,7 @@ def score(docs: DataFrame, train: Column, bits: int = FILTER_BITS, top: int = TO
     training text every count is 0. Repeated rows each count and each give a row.
     """
     sc = docs.sparkSession.sparkContext
+    train = F.coalesce(train, F.lit(False))
     used = docs.filter(train).select("text")
     counts = used.mapInArrow(_count, "name long, ngram byte, n long").groupBy("name", "ngram").agg(F.sum("n").alias("n"))
     exact = F.when(F.col("ngram") == 1, F.col("n")).alias("n")
@@ -190,7 +248,8 @@ def score(docs: DataFrame, train: Column, bits: int = FILTER_BITS, top: int = TO
     total = n + v + 1
     once = counts.filter("ngram = 2 and level = 1").count()  # every token ends one pair
     weight = min(0.95, max(0.01, (n - once) / max(n, 1)))
-    model = sc.broadcast(build_filter(counts.select("name", "level"), bits))
+    lookup = build_filter(counts.select("name", "level"), bits)
+    model = sc.broadcast(lookup)
     head = single.orderBy(F.desc("n"), "name").limit(top).toPandas().sort_values("name", key=lambda s: s.to_numpy().view(_U))
     names = head["name"].to_numpy(np.int64).view(_U)
     frequent = sc.broadcast((names, np.log10(head["n"].to_numpy(float) + 1)))
@@ -198,15 +257,26 @@ def score(docs: DataFrame, train: Column, bits: int = FILTER_BITS, top: int = TO
     other = docs.drop("text")
     row = F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("row")
     schema = f"row {other.schema.simpleString()}, id long, n_tokens long, known long, base double, score double, rare array<long>"
-    scored = docs.select(row, F.col("text").alias("text")).mapInArrow(_score(model, frequent, total, weight), schema)
+    schema += ", open array<struct<tf:int,one:byte,before:byte,two:byte>>, probes array<struct<name:long,at:int,kind:byte>>"
+    scored = docs.select(row, F.col("text").alias("text"), train.alias("trained")).mapInArrow(_score(model, frequent, total, weight), schema)
     scored = materialize(scored, "scored")
     rare = scored.select("id", F.explode("rare").alias("name")).groupBy("id", "name").agg(F.count(F.lit(1)).alias("tf"))
     found = rare.join(single, "name").groupBy("id").agg(
         F.sum("tf").alias("_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("_base")
     )
+    joined = scored.join(found, "id", "left")
+    score = F.col("score")
+    if lookup.cutoff > 1:
+        probes = scored.select("id", F.explode("probes").alias("p")).select("id", "p.*")
+        levels = probes.join(counts.filter(F.col("level") < lookup.cutoff).select("name", "level"), "name")
+        levels = levels.groupBy("id").agg(F.collect_list(F.struct("at", "kind", "level")).alias("found"))
+        late = scored.filter(F.size("open") > 0).select("id", "open").join(levels, "id", "left")
+        late = late.mapInArrow(_close(total, weight), "id long, _late double")
+        joined = joined.join(late, "id", "left")
+        score = (score + F.coalesce("_late", F.lit(0.0))).alias("score")
     zero = F.lit(0)
     base = F.col("base") + F.coalesce("_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total))
-    return scored.join(found, "id", "left").select(
+    return joined.select(
         "row", "n_tokens", (F.col("known") + F.coalesce("_known", zero)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score,
     )

@@ -363,6 +363,24 @@ def test_language_model_scores_pairs_seen_once(spark):
     assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in texts)
 
 
+@pytest.mark.parametrize("bits", [6, 28])
+def test_size_of_the_filter_changes_no_score(spark, bits):
+    texts = {i: " ".join(f"w{(i * j * j + j) % (3 + j)}" for j in range(30)) for i in range(40)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["score"] for r in rows(bloom_lm.score(frame, F.col("doc_id") % 3 > 0, bits=bits))}
+    want = brute_scores(texts, [i for i in texts if i % 3])
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in texts)
+
+
+@pytest.mark.parametrize("bits", [7, 8])
+def test_scores_where_only_the_lowest_levels_are_left_out(spark, bits):
+    texts = {i: f"a b {'c d' if i < 4 else f'x{i} y{i}'}" for i in range(9)} | {20: "a b x5 z y6"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["score"] for r in rows(bloom_lm.score(frame, F.col("doc_id") < 9, bits=bits))}
+    want = brute_scores(texts, [i for i in texts if i < 9])
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in texts)
+
+
 def test_language_model_of_odd_rows(odd, none):
     got = {r["row"]["doc_id"]: r for r in rows(bloom_lm.score(odd, F.col("doc_id") < 9))}
     assert got[3]["n_tokens"] == got[4]["n_tokens"] == got[5]["n_tokens"] == 1
