@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from exposia.llm import language, mixing, queries, transducer
-from exposia.llm.jaccard_join import jaccard_join
+from exposia.llm.jaccard_join import jaccard_groups
 from exposia.llm.suffix_dedup import remove_repeats
 from exposia.sources.staging import materialize
 
@@ -27,14 +27,18 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of near copies; rows that repeat another go too.
 
-    Rows without doc_id stay if one of them is of no named group.
+    Rows without doc_id come after all others, rows with one doc_id are ordered by a hash of their text.
     """
     queries.prepare_workers(spark)
-    found = materialize(jaccard_join(docs), "joined")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    found = materialize(jaccard_groups(docs), "joined")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    least = found.filter("label is not null").groupBy("label").agg(F.min(order).alias("least"))
+    alone = found.filter("label is null").select("doc_id", "mark")
+    kept = least.select("least.doc_id", "least.mark").union(alone).toDF("_id", "_mark")
+    if not found.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    return docs.join(kept, same, "left_semi")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,9 +184,12 @@ def _width(sizes: np.ndarray) -> int:
 
 
 def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different texts of each chunk, named by their hash."""
     for batch in text_chunks(batches):
-        z = [zlib.compress((t or "").encode(), 6) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
+        mark, at = np.unique(np.asarray(batch.column("mark"), np.int64), return_index=True)
+        texts = batch.column("text").take(pa.array(at)).to_pylist()
+        z = [zlib.compress((t or "").encode(), 6) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(z, pa.binary())], names=["mark", "z"])
 
 
 def _sets_of(packed) -> tuple[np.ndarray, np.ndarray]:
@@ -271,11 +274,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(pad, pa.int64())]),
+                pa.concat_arrays([batch.column("mark"), pa.nulls(pad, pa.int64())]),
                 pa.concat_arrays([pa.array(n), pa.array(count.astype(np.int64))]),
                 pa.concat_arrays([signed(ids), signed(token)]),
                 pa.array(np.r_[np.zeros(len(n), bool), np.ones(pad, bool)]),
             ],
-            names=["doc_id", "n", "value", "is_token"],
+            names=["doc_id", "mark", "n", "value", "is_token"],
         )
 
 
@@ -310,11 +314,21 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     row and takes the smallest known id of its component, null if there is none. Shingles and sets
     are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
+    label = jaccard_groups(docs)
+    least_id = label.groupBy("label").agg(F.min("doc_id").alias("component_id")).filter("label is not null")
+    result = label.join(least_id, "label", "left")
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), component)
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, n, label`` for every row of ``docs``: a hash of the text, the number of its
+    shingles, and a name of its component, null for a text without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = docs.mapInArrow(_scan, "doc_id long, n long, value long, is_token boolean")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    scan = marked.mapInArrow(_scan, "doc_id long, mark long, n long, value long, is_token boolean")
     scan = materialize(scan, "sets")
-    members = scan.filter("not is_token").select("doc_id", "n", F.col("value").alias("set_id"))
+    members = scan.filter("not is_token").select("doc_id", "mark", "n", F.col("value").alias("set_id"))
 
     # Fewer than HOT_SHARE * (mean prefix) shingles can stand in a HOT_SHARE-th of all documents.
     total = members.count()
@@ -342,10 +356,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     per_set = per_set.select("set_id", "n", F.slice("keys", 1, F.col("_keys")).alias("keys"))
     routed = materialize(per_set.select("set_id", "n", F.transform("keys", lambda k: k["token"]).alias("keys")), "routed")
 
-    first = members.filter("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    first = members.filter("n > 0").groupBy("set_id").agg(F.min("mark").alias("mark"))
     wanted = routed.select("set_id").join(first, "set_id")
-    packed = docs.mapInArrow(pack_texts, "doc_id long, z binary")
-    texts = packed.join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "z")
+    packed = marked.mapInArrow(pack_texts, "mark long, z binary")
+    texts = packed.join(wanted, "mark").dropDuplicates(["set_id"]).select("set_id", "z")
     texts = materialize(texts, "texts")
 
     hashed = [F.array_min(F.transform("keys", lambda k: F.xxhash64(k, F.lit(i)))) for i in range(2)]
@@ -354,10 +368,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = _relabel(routed.select("set_id", F.explode("keys").alias("key")), edges)
     edges.append(_last_links(_mixed(rows), texts))
     label = _relabel(members, edges).withColumn("label", F.when(F.col("n") > 0, F.col("label")))
-    least_id = label.groupBy("label").agg(F.min("doc_id").alias("component_id")).filter("label is not null")
-    result = label.join(least_id, "label", "left")
-    component = F.coalesce("component_id", "doc_id").alias("component_id")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), component)
+    return label.select("doc_id", "mark", "n", "label")
 
 
 def _first_links(rows: DataFrame, texts: DataFrame) -> DataFrame:

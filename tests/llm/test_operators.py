@@ -98,6 +98,26 @@ def test_jaccard_join_of_odd_rows(odd, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def near_words(name, *edits):
+    """100 words; each edit far from others changes five of the 96 shingles."""
+    return " ".join(f"{name}e{k}" if k in edits else f"{name}{k}" for k in range(100))
+
+
+def test_jaccard_join_through_rows_without_doc_id(spark):
+    data = [(1, near_words("a", 10, 20)), (2, near_words("a", 50, 60)), (None, near_words("a")), (None, near_words("b"))]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((r["n_shingles"], r["doc_id"] or 9, r["component_id"] or 9) for r in rows(jaccard_join.jaccard_join(frame)))
+    assert got == [(96, 1, 1), (96, 2, 1), (96, 9, 1), (96, 9, 9)]
+
+
+def test_jaccard_join_of_texts_under_one_doc_id(spark):
+    names = "abcdefgh"
+    data = [(50, near_words(x)) for x in names] + [(60 + i, near_words(x, 30)) for i, x in enumerate(names)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in rows(jaccard_join.jaccard_join(frame)))
+    assert got == sorted((i, 50) for i, _ in data)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 99), (99, 98), (7, 7), (200, 200)]
     got = {r["id"]: r["component"] for r in rows(components(spark.createDataFrame(edges, "a long, b long")))}

@@ -33,6 +33,18 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
         assert kept >= 2 if table is odd else kept == 0
 
 
+def test_one_of_near_copies_without_doc_id_stays(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = [" ".join(base[:k] + ["edit"] + base[k + 1 :]) for k in (10, 30, 50)]
+    far = " ".join(f"f{k}" for k in range(100))
+    data = [(None, t) for t in (*near, near[0], far)] + [(4, near[0] + " end"), (4, far + " end"), (7, far), (None, "")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    kept = corpus_pipeline.without_near_copies(spark, frame, SF)
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(4, near[0] + " end"), (4, far + " end"), (None, "")}
+    unnamed = corpus_pipeline.without_near_copies(spark, frame.filter("doc_id is null"), SF).collect()
+    assert len(unnamed) == 3 and sum(r["text"] in near for r in unnamed) == 1
+
+
 def test_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
