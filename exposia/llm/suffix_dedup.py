@@ -89,9 +89,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 yield piece, np.array([0, len(piece)]), doc[i : i + 1], th[i : i + 1], np.array([a - offsets[i]])
 
 
-def _pack(th: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Text mark, start and length in one number that sorts by text, then start."""
-    return (th << 40) | (start << 8) | length
+def _pack(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Start and length in one number that sorts by start."""
+    return (start << 8) | length
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +143,13 @@ def _anchors(hot: np.ndarray):
         for data, offsets, doc, th, base in _parts(batches):
             anchor, whole, owner, first, length = _windows(*_slices(data, offsets), hot)
             start = first - offsets[owner] + base[owner]
-            pack = _pack(th[owner], start, length)
-            order = np.lexsort((pack, doc[owner], whole, anchor))
+            pack = _pack(start, length)
+            order = np.lexsort((pack, th[owner], doc[owner], whole, anchor))
             again = np.zeros(len(order), bool)
             again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (whole[order][1:] == whole[order][:-1])
             lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-            repeat = again & ((doc[owner][order] != doc[owner][lead]) | (pack[order] != pack[lead]))
+            same = (doc[owner][order] == doc[owner][lead]) & (th[owner][order] == th[owner][lead])
+            repeat = again & (~same | (pack[order] != pack[lead]))
             keep, gone = order[~again], order[repeat]
             o, a, b = _merged(owner[gone], start[gone], start[gone] + length[gone])
             key = np.r_[anchor[keep], mix(doc[o].astype(_U) * _U(31) + a.astype(_U))]
@@ -158,10 +159,11 @@ def _anchors(hot: np.ndarray):
                     signed(key),
                     signed(np.r_[whole[keep], np.zeros(m, _U)]),
                     pa.array(np.r_[doc[owner[keep]], doc[o]]),
-                    pa.array(np.r_[pack[keep], _pack(th[o], a, np.zeros(m, np.int64))]),
+                    pa.array(np.r_[th[owner[keep]], th[o]]),
+                    pa.array(np.r_[pack[keep], _pack(a, np.zeros(m, np.int64))]),
                     pa.array(np.r_[np.zeros(n, np.int64), b], mask=np.r_[np.ones(n, bool), np.zeros(m, bool)]),
                 ],
-                names=["anchor", "whole", "doc", "pack", "stop"],
+                names=["anchor", "whole", "doc", "th", "pack", "stop"],
             )
 
     return rows
@@ -239,9 +241,9 @@ def repeats(texts: list[bytes], group: np.ndarray) -> list[tuple[np.ndarray, np.
 def _spans_of(tables: list[pa.Table]) -> pa.RecordBatch | None:
     """All but the first occurrence of every maximal repeat, for some anchors at once."""
     table = pa.concat_tables(tables)
-    doc, pack = (table[c].to_numpy() for c in ("doc", "pack"))
+    doc, th, pack = (table[c].to_numpy() for c in ("doc", "th", "pack"))
     group = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
-    base, th = (pack >> 8) & 0xFFFFFFFF, pack >> 40
+    base = pack >> 8
     owners, starts, stops = [], [], []
     for owner, start, size in repeats(table["slice"].to_pylist(), group):
         at = base[owner] + start
@@ -255,7 +257,8 @@ def _spans_of(tables: list[pa.Table]) -> pa.RecordBatch | None:
         return None
     owner, start, stop = _merged(np.concatenate(owners), np.concatenate(starts), np.concatenate(stops))
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[owner]), pa.array(_pack(th[owner], start, np.zeros(len(start), np.int64))), pa.array(stop)], names=["doc", "pack", "stop"]
+        [pa.array(doc[owner]), pa.array(th[owner]), pa.array(_pack(start, np.zeros(len(start), np.int64))), pa.array(stop)],
+        names=["doc", "th", "pack", "stop"],
     )
 
 
@@ -278,12 +281,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches):
         data, offsets = utf8(batch.column("text"))
         wanted = batch.column("wanted")
-        doc = np.repeat(np.asarray(batch.column("doc"), np.int64), np.diff(np.asarray(wanted.offsets)))
+        doc, th = (np.repeat(np.asarray(batch.column(c), np.int64), np.diff(np.asarray(wanted.offsets))) for c in ("doc", "th"))
         owner = np.repeat(np.arange(len(batch)), np.diff(np.asarray(wanted.offsets)))
         flat = wanted.flatten()
         anchor, pack = (np.asarray(flat.field(c), np.int64) for c in ("anchor", "pack"))
         large = np.asarray(flat.field("large").cast(pa.int8())).astype(bool)
-        start = offsets[owner] + ((pack >> 8) & 0xFFFFFFFF)
+        start = offsets[owner] + (pack >> 8)
         length = pack & 0xFF
         raw = data.tobytes()
         texts = [None if w else raw[a : a + n] for a, n, w in zip(start.tolist(), length.tolist(), large.tolist())]
@@ -297,11 +300,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = span_hash(running, at, at + LENGTH).view(np.int64)
             moved = (pack[again] & ~0xFF) + (step << 8) + LENGTH
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name), pa.array(doc[again]), pa.array(moved), pa.nulls(len(again), pa.binary())], names=["anchor", "doc", "pack", "slice"]
+                [pa.array(name), pa.array(doc[again]), pa.array(th[again]), pa.array(moved), pa.nulls(len(again), pa.binary())],
+                names=["anchor", "doc", "th", "pack", "slice"],
             )
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor[keep]), pa.array(doc[keep]), pa.array(pack[keep]), pa.array([texts[i] for i in keep], pa.binary())],
-            names=["anchor", "doc", "pack", "slice"],
+            [pa.array(anchor[keep]), pa.array(doc[keep]), pa.array(th[keep]), pa.array(pack[keep]), pa.array([texts[i] for i in keep], pa.binary())],
+            names=["anchor", "doc", "th", "pack", "slice"],
         )
 
 
@@ -332,46 +336,46 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     characters that were cut through) and ``spans`` (removed runs).
 
     A null text is empty. A null doc_id comes after all others. Rows with one doc_id are ordered by
-    a hash of their text; rows equal in both are one document, neither earlier than the other, and
+    a 64-bit hash of their text; rows equal in both are one document, neither earlier than the other, and
     get the same result. Windows never cross documents. Texts under 100 bytes stay as they are.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc")
-    th = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFF)).alias("th")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
-    keyed = docs.select(doc, th, "text")
     total = docs.count()
+    repeated = docs.select(doc).distinct().count() != total
+    th = (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("th")  # needed only to tell rows of one doc apart
+    keyed = docs.select(doc, th, "text")
     often = keyed.mapInArrow(_often, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     # Below HOT_SHARE * (anchors in a mean document) anchors can be so frequent: a bounded list.
     hot = often.filter(F.col("n") >= max(16, total / HOT_SHARE)).select("anchor").toPandas()["anchor"]
     hot = np.sort(hot.to_numpy(np.int64).view(_U))
 
-    slices = keyed.mapInArrow(_anchors(hot), "anchor long, whole long, doc long, pack long, stop long")
-    kind = "rank() over (partition by anchor, whole order by doc, pack) as _place"
+    slices = keyed.mapInArrow(_anchors(hot), "anchor long, whole long, doc long, th long, pack long, stop long")
+    kind = "rank() over (partition by anchor, whole order by doc, th, pack) as _place"
     mixed = "min(whole) over (partition by anchor) != max(whole) over (partition by anchor) as _mixed"
     placed = slices.repartition("anchor").selectExpr("*", kind, mixed)
     found = placed.filter("stop is not null or _place > 1 or _mixed")
-    stop = F.coalesce("stop", F.when(F.col("_place") > 1, F.shiftright("pack", 8).bitwiseAND(F.lit(0xFFFFFFFF)) + F.col("pack").bitwiseAND(F.lit(0xFF))))
-    found = materialize(found.select("anchor", "doc", "pack", stop.alias("stop")), "slices")
+    stop = F.coalesce("stop", F.when(F.col("_place") > 1, F.shiftright("pack", 8) + F.col("pack").bitwiseAND(F.lit(0xFF))))
+    found = materialize(found.select("anchor", "doc", "th", "pack", stop.alias("stop")), "slices")
 
-    open_ = found.filter("stop is null").select("anchor", "doc", "pack")
+    open_ = found.filter("stop is null").select("anchor", "doc", "th", "pack")
     large = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
     open_ = open_.join(large.select("anchor", F.lit(True).alias("large")), "anchor", "left")
-    mark = F.shiftright("pack", 40).alias("th")
     item = F.struct("anchor", "pack", F.coalesce("large", F.lit(False)).alias("large"))
-    wanted = open_.groupBy("doc", mark).agg(F.collect_list(item).alias("wanted"))
-    one = keyed.dropDuplicates(["doc", "th"]) if docs.select("doc_id").distinct().count() != total else keyed
-    cut = one.join(wanted, ["doc", "th"]).mapInArrow(_cut, "anchor long, doc long, pack long, slice binary")
+    wanted = open_.groupBy("doc", "th").agg(F.collect_list(item).alias("wanted"))
+    one = keyed.dropDuplicates(["doc", "th"]) if repeated else keyed
+    cut = one.join(wanted, ["doc", "th"]).mapInArrow(_cut, "anchor long, doc long, th long, pack long, slice binary")
     cut = materialize(cut, "cut")
     text = cut.filter("slice is not null").repartition("anchor").sortWithinPartitions("anchor")
-    maximal = text.mapInArrow(_maximal, "doc long, pack long, stop long")
-    single = cut.filter("slice is null").select("anchor", "doc", "pack")
-    first = single.groupBy("anchor").agg(F.min(F.struct("doc", "pack")).alias("first"))
-    later = single.join(first, "anchor").filter(F.struct("doc", "pack") > F.col("first"))
-    start = F.shiftright("pack", 8).bitwiseAND(F.lit(0xFFFFFFFF)).alias("start")
-    later = later.select("doc", "pack", (start + LENGTH).alias("stop"))
-
-    spans = found.filter("stop is not null").select("doc", "pack", "stop").union(maximal).union(later)
-    spans = spans.select("doc", mark, start, "stop").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    maximal = text.mapInArrow(_maximal, "doc long, th long, pack long, stop long")
+    single = cut.filter("slice is null").select("anchor", "doc", "th", "pack")
+    first = single.groupBy("anchor").agg(F.min(F.struct("doc", "th", "pack")).alias("first"))
+    later = single.join(first, "anchor").filter(F.struct("doc", "th", "pack") > F.col("first"))
+    start = F.shiftright("pack", 8).alias("start")
+    later = later.select("doc", "th", "pack", (start + LENGTH).alias("stop"))
+
+    spans = found.filter("stop is not null").select("doc", "th", "pack", "stop").union(maximal).union(later)
+    spans = spans.select("doc", "th", start, "stop").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans array<struct<start:long,stop:long>>"
     row_type = docs.drop("text").schema.simpleString()
     joined = docs.select(doc, th, "text", row).join(spans, ["doc", "th"], "left")

@@ -216,6 +216,17 @@ def test_repeats_of_odd_rows(odd, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_texts_without_doc_id_whose_hashes_end_alike(spark):
+    text = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(2)])
+    made = spark.range(20_000).select(text.alias("text")).withColumn("end", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFF)))
+    alike = made.groupBy("end").agg(F.sort_array(F.collect_list("text")).alias("texts")).filter("size(texts) > 1").collect()
+    assert len(alike) > 5
+    data = [(i, r["texts"][0]) for i, r in enumerate(alike)] + [(None, t) for r in alike for t in r["texts"]]
+    got = rows(suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")))
+    left = sorted(r["kept_text"] for r in got if r["row"]["doc_id"] is None)
+    assert left == sorted(t for r in alike for t in ["", *r["texts"][1:]])
+
+
 def test_maximal_repeats_need_different_left_neighbours():
     core = bytes(range(97, 97 + 26)) * 4
     texts = [b"X" + core + b"Q", b"Y" + core + b"R", b"Y" + core + b"S"]
