@@ -22,6 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BINS = 4096
+PARTS = 256  # of a group of equal rows
 
 
 def word_count(text: Column) -> Column:
@@ -120,11 +121,31 @@ def mix_sources(
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` takes it. Rows equal in doc_id, source and
-    text share their copies evenly, rounded down."""
+    text share the sum of their copies evenly, the first ``sum mod rows`` of them with one more."""
     names = {"doc_id": "_id", "source": "_source", "mark": "_mark"}
     keys = [F.col(a).alias(b) for a, b in names.items()]
-    copies = mixed.groupBy(*keys).agg(F.floor(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
+    copies = mixed.groupBy(*keys).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")).filter("_sum > 0")
+    copies = copies.select(*names.values(), F.floor(F.col("_sum") / F.col("_rows")).cast("int").alias("_copies"), (F.col("_sum") % F.col("_rows")).alias("_more"))
+    copies = materialize(copies, "copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = docs.join(copies, same & (F.xxhash64("text") == F.col("_mark")))
-    repeated = rows.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    if not copies.filter("_more > 0").isEmpty():
+        uneven = rows.filter("_more > 0").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+        rows = rows.filter("_more = 0").unionByName(_with_one_more(materialize(uneven, "uneven")))
+    repeated = rows.filter("_copies > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _with_one_more(rows: DataFrame) -> DataFrame:
+    """One more copy for ``_more`` rows of each group, numbered part by part so that no task holds a group."""
+    keys = ["_id", "_source", "_mark"]
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    up = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before")
+    sizes = sizes.select(*[F.col(k).alias(f"{k}_") for k in (*keys, "_part")], before)
+    same = F.lit(True)
+    for k in (*keys, "_part"):
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_mark")) + F.col("_before")
+    more = rows.join(sizes, same).withColumn("_copies", F.col("_copies") + (nth <= F.col("_more")).cast("int"))
+    return more.drop("_part", "_before", *[f"{k}_" for k in (*keys, "_part")])

@@ -474,6 +474,15 @@ def test_mix_reaches_its_targets(spark, docs):
     assert all(abs(taken[n] - target[n]) <= largest[n] / 2 + 1 for n in names)
 
 
+def test_equal_rows_share_all_their_copies(spark):
+    data = [(1, "a", "one two three")] * 100 + [(None, None, "four five")] * 7 + [(2, "b", "six")]
+    frame = spark.createDataFrame(data, "doc_id long, source string, text string")
+    mixed = mix_sources(frame, weights=(1, 1, 1), share=0.6, most=1).cache()
+    want = {(r["doc_id"], r["source"]): r["n"] for r in mixed.groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()}
+    got = Counter((r["doc_id"], r["source"]) for r in take(frame, mixed).collect())
+    assert 0 < want[1, "a"] < 100 and got == Counter({k: n for k, n in want.items() if n})
+
+
 def test_mix_of_odd_rows(odd, none):
     mixed = mix_sources(odd)
     got = rows(mixed)
