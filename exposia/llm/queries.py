@@ -7,9 +7,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from exposia.llm import bloom_lm, language, transducer
+from exposia.llm import bloom_lm, language, oracles, transducer
 from exposia.llm.fingerprints import fingerprints
+from exposia.llm.importance import importance_sample
 from exposia.llm.jaccard_join import jaccard_join
+from exposia.llm.lexical import search
 from exposia.llm.mixing import mix_sources
 from exposia.llm.near_vectors import near_vectors
 from exposia.llm.suffix_dedup import remove_repeats
@@ -93,8 +95,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = importance_sample(docs, target, keep=["doc_id"])
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_jaccard_join, op2_language_id, op3_suffix_dedup, op4_sentencepiece, op5_document_fingerprints, op6_token_files, op7_warc,
-    op8_language_model, op9_near_vectors, op10_mix_sources,
+    op8_language_model, op9_near_vectors, op10_mix_sources, op11_importance_sample, op12_lexical_search,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_importance_sample": oracles.IMPORTANCE,
+    "op12_lexical_search": oracles.SEARCH,
+}
