@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from exposia.llm import bloom_lm, language, oracles, transducer
@@ -16,6 +17,7 @@ from exposia.llm.mixing import mix_sources
 from exposia.llm.near_vectors import near_vectors
 from exposia.llm.suffix_dedup import remove_repeats
 from exposia.llm.token_files import VOCABULARY, read_documents, write_tokens
+from exposia.llm.token_machine import count_tokens
 from exposia.llm.warc import read_captures, write_archives
 
 TOKENIZERS = "/opt/tokenizers"
@@ -105,9 +107,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = count_tokens(docs, vocabulary or public_tokenizers.path(VOCABULARY), keep=["doc_id"])
+    return found.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_jaccard_join, op2_language_id, op3_suffix_dedup, op4_sentencepiece, op5_document_fingerprints, op6_token_files, op7_warc,
     op8_language_model, op9_near_vectors, op10_mix_sources, op11_importance_sample, op12_lexical_search,
+    op13_token_counts,
 )}
 ORACLES: dict[str, str] = {
     "op11_importance_sample": oracles.IMPORTANCE,
