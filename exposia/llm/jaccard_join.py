@@ -7,12 +7,14 @@ Documents link when the sets of their five-word shingles have a Jaccard similari
    frequent shingles last. Two linked classes share at least about n / 10 of those, so classes that
    share fewer with all others together cannot link and go. What remains is put under its rarest
    shared shingles, enough that every linked pair meets under one. Nothing is estimated here.
-3. Under one shingle the classes stand in a signature tree: a node holds the OR of the token bitmaps
+3. Under one shingle the classes stand in signature trees: a node holds the OR of the token bitmaps
    and the size range of what is below. Two trees (or a tree and itself) are walked together; a pair
    of nodes is left as soon as the largest overlap it could hold is too small, or when all below it
    is one component already. Large groups are dealt to blocks and each pair of blocks is one task.
-4. A first pass under two min-hashes joins most copies, with exact checks. The second pass looks at
-   every shingle under which two components still meet and leaves no link out.
+4. Candidates never leave a task: it counts their overlaps exactly, unites the linked ones and
+   returns the links that joined two components, fewer than it has classes.
+5. A first pass under two min-hashes joins most copies. The second pass looks at every shingle under
+   which two components still meet.
 
 The list of frequent shingles is broadcast: one in ``HOT_SHARE`` of all documents or more, of the
 shingles in prefixes only, so their number is at most ``HOT_SHARE`` times the mean prefix length
@@ -201,25 +203,91 @@ def _pairs(found: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(table[:, 0].copy()), pa.array(table[:, 1].copy())], names=["a", "b"])
 
 
+def _cells(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The bitmap of each set in its own power-of-two width."""
+    out = []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        bits, _ = signatures(values[a:b], np.array([0, b - a]), _width(np.array([b - a])))
+        out.append(bits.tobytes())
+    return out
+
+
+def _fold(cells: bytes, width: int) -> np.ndarray:
+    """A bitmap in a narrower power-of-two width: the same shingles modulo fewer bits."""
+    return np.bitwise_or.reduce(np.frombuffer(cells, _U).reshape(-1, width), axis=0)
+
+
+def _candidates(sizes: np.ndarray, cells: list[bytes], labels: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of different components that the bitmaps allow, as places in the arrays.
+
+    The sizes of linked sets differ by a quarter at most and so the widths of their bitmaps by one
+    step: sets meet those of their own width and of the next, folded to the narrower of the two.
+    With two sides only pairs across are walked.
+    """
+    width = np.array([len(c) // 8 for c in cells])
+    order = np.lexsort((sizes, labels))
+    two = side.min() != side.max()
+    trees: dict[tuple, tuple[np.ndarray, SignatureTree]] = {}
+
+    def tree(at_side: int, own: int, folded: int) -> tuple[np.ndarray, SignatureTree | None]:
+        key = (at_side, own, folded)
+        if key not in trees:
+            rows = order[(width[order] == own) & ((side[order] == at_side) | (not two))]
+            if not len(rows):
+                trees[key] = rows, None
+            else:
+                bits = np.stack([_fold(cells[r], folded) for r in rows])
+                extra = sizes[rows] - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+                trees[key] = rows, SignatureTree(sizes[rows], bits, extra, labels[rows])
+        return trees[key]
+
+    for w in np.unique(width).tolist():
+        meetings = [((0, w), (1, w)), ((0, w), (1, 2 * w)), ((0, 2 * w), (1, w))] if two else [((0, w), (0, w)), ((0, w), (0, 2 * w))]
+        for left, right in meetings:
+            (rows_a, tree_a), (rows_b, tree_b) = tree(*left, w), tree(*right, w)
+            if tree_a and tree_b:
+                for x, y in walk(tree_a, tree_b, left == right):
+                    yield rows_a[x], rows_b[y]
+        trees.clear()
+
+
+def _with_candidates(group: pa.Table) -> pa.RecordBatch | None:
+    """The sets of one task that have a candidate there, at most as many rows as came in."""
+    sizes, label, side = (group[c].to_numpy() for c in ("n", "label", "side"))
+    marked = np.zeros(len(sizes), bool)
+    for i, j in _candidates(sizes, group["bits"].to_pylist(), label, side):
+        marked[i] = marked[j] = True
+    if not marked.any():
+        return None
+    return group.select(["key", "low", "high", "side", "set_id", "label"]).filter(pa.array(marked)).combine_chunks().to_batches()[0]
+
+
 def _linked_in_group(group: pa.Table) -> pa.RecordBatch:
-    """Exact links that join the sets of one group: set_id, z."""
+    """Exact links that join the components of one task, fewer than it has sets.
+
+    Overlaps of a set with its candidates are counted together; sets that are one component by now are left out.
+    """
     values, offsets = _sets_of(group["z"].to_pylist())
-    sizes, ids = np.diff(offsets), group["set_id"].to_numpy()
-    order = np.argsort(sizes, kind="stable")
-    bits, extra = signatures(values, offsets, _width(sizes))
-    tree = SignatureTree(sizes[order], bits[order], extra[order], ids[order])
-    union, found = Union(ids), []
-    for x, y in walk(tree, tree, True):
-        i_all, j_all = order[x], order[y]
-        if len({union.root(i) for i in {*i_all.tolist(), *j_all.tolist()}}) == 1:
-            continue
-        for i, j in zip(i_all, j_all):
-            if union.root(i) == union.root(j):
+    ids, labels, side = (group[c].to_numpy() for c in ("set_id", "label", "side"))
+    sizes = np.diff(offsets)
+    names = np.unique(values, return_inverse=True)[1]
+    held = np.zeros(int(names.max(initial=0)) + 1, bool)
+    union, found = Union(labels), []
+    for x, y in _candidates(sizes, _cells(values, offsets), labels, side):
+        for i in np.unique(x).tolist():
+            others = np.array([j for j in y[x == i].tolist() if union.root(j) != union.root(i)], np.int64)
+            if not len(others):
                 continue
-            overlap = len(np.intersect1d(values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]], True))
-            if links(sizes[i], sizes[j], overlap):
-                union.join(i, j)
-                found.append((ids[i], ids[j]))
+            own = names[offsets[i] : offsets[i + 1]]
+            held[own] = True
+            at = np.concatenate([[0], np.cumsum(sizes[others])])
+            every = np.concatenate([names[offsets[j] : offsets[j + 1]] for j in others])
+            overlap = np.add.reduceat(held[every].astype(np.int64), at[:-1])
+            held[own] = False
+            for j in others[links(sizes[i], sizes[others], overlap)].tolist():
+                if union.root(i) != union.root(j):
+                    union.join(i, j)
+                    found.append((ids[i], ids[j]))
     return _pairs(found)
 
 
@@ -382,56 +450,18 @@ def _with_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
             values, offsets = _sets_of(part.column("z").to_pylist())
-            bits = []
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                width = _width(np.array([b - a]))
-                cells, _ = signatures(values[a:b], np.array([0, b - a]), width)
-                bits.append(cells.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("set_id"), pa.array(np.diff(offsets)), pa.array(bits, pa.binary())], names=["set_id", "n", "bits"]
-            )
-
-
-def _fold(cells: bytes, width: int) -> np.ndarray:
-    """A bitmap in a narrower power-of-two width: the same shingles modulo fewer bits."""
-    return np.bitwise_or.reduce(np.frombuffer(cells, _U).reshape(-1, width), axis=0)
-
-
-def _candidates_in_group(group: pa.Table) -> pa.RecordBatch | None:
-    """Pairs of sets of different components that the bitmaps allow; the narrowest width counts."""
-    sizes, label, ids, side = (group[c].to_numpy() for c in ("n", "label", "set_id", "side"))
-    order = np.lexsort((sizes, label))
-    cells = group["bits"].to_pylist()
-    width = min(map(len, cells)) // 8
-    bits = np.stack([_fold(b, width) for b in cells])
-    extra = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    parts = [p for s in (0, 1) if len(p := order[side[order] == s])]
-    trees = [SignatureTree(sizes[p], bits[p], extra[p], label[p]) for p in parts]
-    found = []
-    for x, y in walk(trees[0], trees[-1], len(trees) == 1):
-        i, j = parts[0][x], parts[-1][y]
-        found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-    return _pairs(np.concatenate(found)) if found else None
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, len(batch), 256):
-            part = batch.slice(start, 256)
-            (va, oa), (vb, ob) = (_sets_of(part.column(c).to_pylist()) for c in ("za", "zb"))
-            keep = [
-                bool(links(oa[i + 1] - oa[i], ob[i + 1] - ob[i], len(np.intersect1d(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], True))))
-                for i in range(len(part))
-            ]
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            columns = [part.column("set_id"), pa.array(np.diff(offsets)), pa.array(_cells(values, offsets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "bits"])
 
 
 def _last_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components that still meet under a key, none left out."""
+    """Links between components that still meet under a key, none left out that would join two.
+
+    Bitmaps first show which sets of a task have a candidate in it; only those meet again with their
+    texts, and what a task returns joins its components and is no list of pairs.
+    """
     bits = materialize(texts.mapInArrow(_with_signatures, "set_id long, n long, bits binary"), "bits")
     tasks = _dealt(rows.select("key", "set_id", "label"), pairs=True).join(bits, "set_id")
-    pairs = apply_to_groups(tasks, TASK, _candidates_in_group, "a long, b long")
-    pairs = materialize(pairs.distinct(), "pairs")
-    for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("set_id").alias(end), F.col("z").alias(f"z{end}")), end)
-    return materialize(pairs.select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long"), "links")
+    near = apply_to_groups(tasks, TASK, _with_candidates, "key long, low int, high int, side int, set_id long, label long")
+    tasks = materialize(near, "near").join(texts, "set_id")
+    return materialize(apply_to_groups(tasks, TASK, _linked_in_group, "a long, b long"), "links")

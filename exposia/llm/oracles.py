@@ -69,3 +69,25 @@ scores as (
 select item_id, rank::int as rank, doc_id, score
 from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
 where rank <= 20"""
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+
+
+# Documents with equal sets are one class; only classes that share a shingle are compared.
+JACCARD = f"""
+with recursive words as (select doc_id, {_words('text')} as w from documents),
+sets as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end)) as s from words),
+classes as (select s, min(doc_id) as id, len(s) as n from sets where len(s) > 0 group by s),
+rows as (select id, n, unnest(s) as x from classes),
+pairs as (
+  select a.id as a, b.id as b from rows a join rows b on a.x = b.x and a.id < b.id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+  group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select id as a, id as b from classes union select reach.a, links.b from reach join links on reach.b = links.a),
+least as (select a as id, min(b) as component from reach group by a)
+select doc_id, len(sets.s)::bigint as n_shingles, coalesce(component, doc_id) as component_id
+from sets left join classes on sets.s = classes.s and len(sets.s) > 0 left join least using (id)"""

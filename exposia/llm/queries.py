@@ -119,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op13_token_counts,
 )}
 ORACLES: dict[str, str] = {
+    "op1_jaccard_join": oracles.JACCARD,
     "op11_importance_sample": oracles.IMPORTANCE,
     "op12_lexical_search": oracles.SEARCH,
 }
