@@ -277,6 +277,22 @@ _WEST = box_ring("x0", "y0", _at("x", "4e-1"), "y0 + 1e-4")
 _EAST = box_ring(_at("x", "6e-1"), "y0", "x0 + 1e-4", "y0 + 1e-4", clockwise=True)
 _TRIANGLE = ring(("x0", "y0"), ("x0 + 1e-4", "y0"), ("x0", "y0 + 1e-4"), ("x0", "y0"))
 
+LAYER = f"""
+with {using('tract')}
+select p_partkey, geoid as "GEOID", null::varchar as lacking,
+  (case p_partkey % 3 when 2 then 2 else 1 end)::bigint as parts,
+  (case p_partkey % 3 when 0 then 1 else 2 end)::bigint as rings,
+  (case p_partkey % 3 when 0 then 4 else 10 end)::bigint as points,
+  x0 as xmin, y0 as ymin, x0 + 1e-4 as xmax, y0 + 1e-4 as ymax
+from tract"""
+SCREENED = """
+select (p_partkey + case when p_partkey % 10 = 9 then 7000000000 else 6000000000 end)::varchar as tract,
+  p_size * 2.0::double as "PollutionP",
+  case when p_partkey % 7 <> 0 then ((p_partkey * 13) % 101)::double end as "ozoneP",
+  case when p_partkey % 5 <> 0 then ((p_partkey * 29) % 101)::double end as "pmP",
+  case when p_partkey % 3 <> 0 and p_partkey % 35 <> 0 then ((p_partkey * 31) % 101)::double end as "dieselP"
+from part"""
+
 ORACLES: dict[str, str] = {
     "q01_filter_project": """
 select o_orderkey, o_custkey, o_totalprice, o_totalprice * 2 as doubled
@@ -440,14 +456,9 @@ select 'S' || l_suppkey as "Location", case when l_linestatus = 'F' then 'Female
   count(*) filter (where l_orderkey % 19 <> 0 or l_orderkey % 11 = 0 or l_orderkey % 13 = 0 or l_orderkey % 17 = 0) as shown,
   sum({PEOPLE}) as people
 from lineitem group by all""",
-    "q32_geojson_scan": f"""
-with {using('tract')}
-select p_partkey, geoid as "GEOID", null::varchar as lacking,
-  (case p_partkey % 3 when 2 then 2 else 1 end)::bigint as parts,
-  (case p_partkey % 3 when 0 then 1 else 2 end)::bigint as rings,
-  (case p_partkey % 3 when 0 then 4 else 10 end)::bigint as points,
-  x0 as xmin, y0 as ymin, x0 + 1e-4 as xmax, y0 + 1e-4 as ymax
-from tract""",
+    "q32_geojson_scan": LAYER,
+    "q32_geojson_collection": LAYER,
+    "q32_geojson_attributes": SCREENED,
     "q33_facility_table": f"with {using('point', 'tract', 'boundary')}, {FACILITY} select * from placed",
     "q34_state_facility_table": f"""
 with {using('average', 'facts', 'age', 'gender', 'race')}, tiers as ({TIERS}),

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from catalog import standins as st
+from exposia import schemas
 from exposia.functions import geometry as geo, numeric, text
 from exposia.operators import cleaning, joins, measures, reshape, scaling, spatial
 from exposia.plans import tables
 from exposia.sources.delimited import read_csv, write_csv
-from exposia.sources.geojson import feature_lines, read_geojson
+from exposia.sources.geojson import feature_collections, feature_lines, read_geojson
 from exposia.sources.staging import materialize, scratch_path
 
 POPULATION = "average_2025_population"
@@ -334,17 +335,16 @@ def panel_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def geojson_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "geojson")
-    feature_lines(st.tracts(spark, sf)).write.text(path)
-    properties = T.StructType(
-        [
-            T.StructField("p_partkey", T.LongType()),
-            T.StructField("GEOID", T.StringType()),
-            T.StructField("lacking", T.StringType()),
-        ]
-    )
-    layer = read_geojson(spark, path, properties, layout="lines")
+TRACT_PROPERTIES = T.StructType(
+    [
+        T.StructField("p_partkey", T.LongType()),
+        T.StructField("GEOID", T.StringType()),
+        T.StructField("lacking", T.StringType()),
+    ]
+)
+
+
+def _outlined(layer: DataFrame) -> DataFrame:
     outlined = layer.withColumn("edges", geo.edges("geometry"))
     return outlined.withColumn("box", geo.bounds("edges")).select(
         "p_partkey",
@@ -360,6 +360,40 @@ def geojson_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def geojson_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "geojson")
+    feature_lines(st.tracts(spark, sf)).write.text(path)
+    return _outlined(read_geojson(spark, path, TRACT_PROPERTIES, layout="lines"))
+
+
+def _collections(spark: SparkSession, layer: DataFrame, key: str) -> list[str]:
+    """A layer as collections of 500 features: some on one line each, one after the other, some
+    indented, and some features alone."""
+    third, group = F.col(key) % 3, F.expr(f"{key} div 500")
+    texts = [
+        feature_collections(layer.filter(third == 0), group),
+        feature_collections(layer.filter(third == 1), group, indented=True),
+        feature_lines(layer.filter(third == 2)),
+    ]
+    paths = [scratch_path(spark, "collections") for _ in texts]
+    for path, text_lines in zip(paths, texts):
+        text_lines.write.text(path)
+    return paths
+
+
+def geojson_collection(spark: SparkSession, sf: str) -> DataFrame:
+    paths = _collections(spark, st.tracts(spark, sf), "p_partkey")
+    return _outlined(read_geojson(spark, paths, TRACT_PROPERTIES))
+
+
+def geojson_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """The screening layer with its shapes left unread."""
+    layer = st.screening(spark, sf)
+    shape = f"array(array({st.rectangle('0D', '0D', 'double(tract)', '1D')}))"
+    layer = layer.withColumn("geometry", F.expr(shape))
+    return read_geojson(spark, _collections(spark, layer, "tract"), schemas.SCREENING_PROPERTIES, geometry=False)
+
+
 def facility_table(spark: SparkSession, sf: str) -> DataFrame:
     table = tables.facilities(
         st.boundaries(spark, sf),
@@ -450,6 +484,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q31_csv_roundtrip": csv_roundtrip,
     "q31_panel_csv_scan": panel_csv_scan,
     "q32_geojson_scan": geojson_scan,
+    "q32_geojson_collection": geojson_collection,
+    "q32_geojson_attributes": geojson_attributes,
     "q33_facility_table": facility_table,
     "q34_state_facility_table": state_facility_table,
     "q35_heat_air_hazard_table": heat_air_hazard_table,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from exposia.functions.geometry import bound
 from exposia.functions.numeric import nan_to_null
 from exposia.schemas import GEOMETRY
+from exposia.sources.objects import FEATURE, read_objects
 
 _COLLECTION = "collection"
 _LINES = "lines"
@@ -57,6 +58,17 @@ def _is_feature(kind: Column) -> Column:
     return F.when(kind == "Feature", F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
 
 
+def _is_lone_feature(document: Column) -> Column:
+    """Whether a top-level document is a feature; False for the shell of a collection, else an error."""
+    shell = F.from_json(document, "type string, features string", {"mode": "FAILFAST"})
+    message = F.concat(F.lit("neither a collection with features nor a feature: "), F.substring(document, 1, 80))
+    return (
+        F.when((shell["type"] == "FeatureCollection") & shell["features"].isNotNull(), F.lit(False))
+        .when(shell["type"] == "Feature", F.lit(True))
+        .otherwise(F.raise_error(message).cast("boolean"))
+    )
+
+
 def read_geojson(
     spark: SparkSession,
     path: str | list[str],
@@ -67,19 +79,19 @@ def read_geojson(
 ) -> DataFrame:
     """Read features as their properties plus ``geometry``; a property a feature lacks is NULL.
 
-    ``layout="collection"`` reads FeatureCollection documents, one task per file. Use
-    ``layout="lines"`` for large layers: features on lines of their own, one or several to a line,
-    either bare (line-delimited and sequence GeoJSON) or inside a FeatureCollection as common
-    exporters write it. Lines split across tasks; a file laid out otherwise fails, and so does
-    anything but a feature. NaN is missing. With ``geometry=False`` the shapes are never parsed.
+    ``layout="collection"`` reads FeatureCollection documents and lone Features, one or several to a
+    file, on one line or on many. One document is split over tasks, for which its files are read
+    twice; anything else in a file is an error. ``layout="lines"`` reads once and without Python
+    workers: features on lines of their own, one or several to a line, either bare (line-delimited
+    and sequence GeoJSON) or inside a FeatureCollection as common exporters write it. A file laid out
+    otherwise fails, and so does anything but a feature. NaN is missing. With ``geometry=False`` the
+    shapes are never parsed.
     """
     feature = _feature_type(properties, geometry)
     if layout == _COLLECTION:
-        document = T.StructType([T.StructField("features", T.ArrayType(feature))])
-        documents = spark.read.schema(document).option("multiLine", True)
-        features = documents.option("mode", "FAILFAST").json(path).select(
-            F.explode("features").alias("feature")
-        )
+        objects = read_objects(spark, path)
+        objects = objects.filter((F.col("kind") == FEATURE) | bound(F.col("data"), _is_lone_feature))
+        features = objects.select(F.from_json("data", feature, {"mode": "FAILFAST"}).alias("feature"))
     elif layout == _LINES:
         line = F.trim("value", F.lit(" \t\r\x1e,"))
         lines = spark.read.text(path).filter(bound(line, _holds_features))
@@ -101,14 +113,25 @@ def read_geojson(
     return features.select(*columns)
 
 
-def feature_lines(df: DataFrame, geometry: Column | str = "geometry") -> DataFrame:
-    """One line-delimited GeoJSON feature per row, as a ``value`` column ready for ``write.text``."""
-    name = geometry if isinstance(geometry, str) else "geometry"
-    attributes = [c for c in df.columns if c != name]
+def _feature(df: DataFrame, name: str) -> Column:
     shape = F.struct(F.lit("MultiPolygon").alias("type"), F.col(name).alias("coordinates"))
-    feature = F.struct(
+    return F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(*attributes).alias("properties"),
+        F.struct(*[c for c in df.columns if c != name]).alias("properties"),
         F.when(F.col(name).isNotNull(), shape).alias("geometry"),
     )
-    return df.select(F.to_json(feature).alias("value"))
+
+
+def feature_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """One line-delimited GeoJSON feature per row, as a ``value`` column ready for ``write.text``."""
+    return df.select(F.to_json(_feature(df, geometry)).alias("value"))
+
+
+def feature_collections(df: DataFrame, group: Column, geometry: str = "geometry", *, indented: bool = False) -> DataFrame:
+    """One GeoJSON FeatureCollection per group, as a ``value`` column ready for ``write.text``.
+
+    A document is made in one task: groups must be of bounded size.
+    """
+    features = df.groupBy(group.alias("_group")).agg(F.collect_list(_feature(df, geometry)).alias("features"))
+    document = F.struct(F.lit("FeatureCollection").alias("type"), "features")
+    return features.select(F.to_json(document, {"pretty": str(indented).lower()}).alias("value"))
