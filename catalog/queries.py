@@ -113,13 +113,16 @@ def schema_operators(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _coded(spark: SparkSession, sf: str) -> DataFrame:
-    """Facilities with code, cleaned capacity and average population."""
+def _coded(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    """Facilities with code, cleaned capacity and average population, and with counts if there are any."""
     named = cleaning.lower_columns(
         st.boundaries(spark, sf).select("FACILITYID", "NAME", "POPULATION", "CAPACITY")
     )
     coded = cleaning.extract_name_attributes(cleaning.with_capacity(named), {})
-    return tables.with_population(coded, st.averages(spark, sf), "cdcr_code")
+    if counts is None:
+        return tables.with_population(coded, st.averages(spark, sf), "cdcr_code")
+    known = coded.select("facilityid", "cdcr_code")
+    return tables.with_lookups(known, "cdcr_code", averages=st.averages(spark, sf), counts=counts)
 
 
 def _families(spark: SparkSession, sf: str, *prefixes: str) -> list[reshape.Family]:
@@ -135,8 +138,8 @@ def _families(spark: SparkSession, sf: str, *prefixes: str) -> list[reshape.Fami
 
 def clipped_floored_share(spark: SparkSession, sf: str) -> DataFrame:
     counts = reshape.category_means_wide(_families(spark, sf, "gender"))
-    facilities = _coded(spark, sf).select("facilityid", "cdcr_code", POPULATION)
-    return measures.category_shares(facilities, counts, "gender", POPULATION)
+    facilities = _coded(spark, sf, counts)
+    return measures.family_shares(facilities, "gender", POPULATION, clipped=True, smallest=measures.SMALL_SHARE)
 
 
 def lookup_enrich(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,14 +170,12 @@ def align_families(spark: SparkSession, sf: str) -> DataFrame:
 
 def cumulative_tiers(spark: SparkSession, sf: str) -> DataFrame:
     counts = reshape.category_means_wide(_families(spark, sf, "age"))
-    facilities = _coded(spark, sf).select("facilityid", "cdcr_code", POPULATION)
-    return measures.cumulative_tiers(facilities, counts, POPULATION)
+    return measures.tier_shares(_coded(spark, sf, measures.tier_sums(counts)), POPULATION)
 
 
 def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
     counts = reshape.category_means_wide(_families(spark, sf, "race"))
-    facilities = _coded(spark, sf).select("facilityid", "cdcr_code", POPULATION)
-    return measures.one_vs_rest_shares(facilities, counts, POPULATION)
+    return measures.family_shares(_coded(spark, sf, measures.split_sums(counts)), "race", POPULATION)
 
 
 def deltas(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -180,3 +181,46 @@ def enrich(
         lookup = lookup.select(*keep, *columns)
         lookup_key = lookup_key if isinstance(lookup_key, str) else "_enrich_key"
     return left_lookup(df, lookup, [(key, lookup_key)])
+
+
+def aligned_lookups(lookups: Mapping[str, tuple[DataFrame, Column | str]]) -> DataFrame:
+    """Several lookups as one: a row per ``_key`` with an array of each lookup's rows under its name.
+
+    The lookups are stacked, each in a column of its own, and gathered by key in one aggregate, without
+    a join. A key's rows are held in one row, as the rows of one code are repeated for every row that
+    has it in any case. Rows without a key match nothing and go; a key that a lookup lacks has an
+    empty array.
+    """
+    rows = {name: T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema]) for name, (frame, _) in lookups.items()}
+
+    def stacked(name: str, frame: DataFrame, key: Column | str) -> DataFrame:
+        columns = [(F.struct("*") if other == name else F.lit(None).cast(kind)).alias(other) for other, kind in rows.items()]
+        return frame.select(as_column(key).alias("_key"), *columns).filter(F.col("_key").isNotNull())
+
+    every = reduce(DataFrame.unionByName, [stacked(name, *found) for name, found in lookups.items()])
+    return every.groupBy("_key").agg(*[F.collect_list(name).alias(name) for name in rows])
+
+
+def join_aligned(df: DataFrame, key: str, aligned: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Left join to aligned lookups, adding the named columns of each; one join for all of them.
+
+    A row repeats for each combination of its key's rows, as it would in a chain of joins. Rows
+    without a key are dealt by a hash of the row, so that they do not meet in one task.
+    """
+    wanted = [c for names in columns.values() for c in names]
+    repeated = sorted({c for c in wanted if wanted.count(c) > 1 or c in df.columns})
+    if repeated:
+        raise ValueError(f"columns on both sides of the join: {repeated}")
+    hashable = [f.name for f in df.schema.fields if _hashable(f.dataType)]
+    kind = aligned.schema["_key"].dataType
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in hashable]).cast(kind)
+    keyed = df.withColumn("_found_by", F.coalesce(F.col(key).cast(kind), spread))
+    joined = left_lookup(keyed, aligned, [("_found_by", "_key")], condition=F.col(key).isNotNull())
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    for at, (name, names) in enumerate(columns.items()):
+        rest = [n for n in list(columns)[at + 1 :]]
+        joined = joined.select(*kept, *rest, F.explode_outer(name).alias(f"_{name}"))
+        kept = [*kept, *[F.col(f"_{name}.`{c}`").alias(c) for c in names]]
+        joined = joined.select(*kept, *rest)
+        kept = [F.col(f"`{c}`") for c in joined.columns if c not in rest]
+    return joined

@@ -53,9 +53,14 @@ def add_shares(
     return df.withColumns({name: measure(c) for name, c in counts.items()}).drop(*counts.values())
 
 
+def by_location(counts: DataFrame, location: str = "Location") -> tuple[DataFrame, Column]:
+    """Per-location counts and the key that codes meet them by: the trimmed location."""
+    return counts, trim_ws(key_text(location))
+
+
 def attach_counts(df: DataFrame, counts: DataFrame, code: str, location: str) -> DataFrame:
     """Left join per-location counts on the trimmed location."""
-    return left_lookup(df, counts, [(code, trim_ws(key_text(location)))]).drop(location)
+    return left_lookup(df, counts, [(code, by_location(counts, location)[1])]).drop(location)
 
 
 def category_shares(
@@ -72,8 +77,19 @@ def category_shares(
     """Share of each category of a family, by default bounded and with small shares as 0."""
     family = with_prefix(counts, prefix)
     joined = attach_counts(df, counts.select(location, *family), code, location)
-    names = {f"{c}_pct": c for c in family}
-    return add_shares(joined, names, denominator, clipped=clipped, smallest=smallest)
+    return family_shares(joined, prefix, denominator, clipped=clipped, smallest=smallest)
+
+
+def family_shares(df: DataFrame, prefix: str, denominator: str, *, clipped: bool = False, smallest: float | None = None) -> DataFrame:
+    """Turn the attached counts of a family, ``<prefix>_...``, into shares ``<prefix>_..._pct``."""
+    names = {f"{c}_pct": c for c in with_prefix(df, prefix)}
+    return add_shares(df, names, denominator, clipped=clipped, smallest=smallest)
+
+
+def tier_shares(df: DataFrame, denominator: str) -> DataFrame:
+    """Turn the attached sums of tiers, ``..._count``, into shares ``..._pct``."""
+    names = {f"{c.removesuffix('_count')}_pct": c for c in df.columns if c.endswith("_count")}
+    return add_shares(df, names, denominator)
 
 
 def tier_counts(
@@ -99,10 +115,14 @@ def cumulative_tiers(
     location: str = "Location",
 ) -> DataFrame:
     """Share of each nested tier; neither bounded nor floored."""
-    sums = tier_counts(counts, tiers, prefix)
-    summed = counts.select(location, *[c.alias(n) for n, c in sums.items()])
-    names = {n.replace("_count", "_pct"): n for n in sums}
-    return add_shares(attach_counts(df, summed, code, location), names, denominator)
+    return tier_shares(attach_counts(df, tier_sums(counts, tiers, prefix, location), code, location), denominator)
+
+
+def tier_sums(
+    counts: DataFrame, tiers: Mapping[str, Sequence[str]] = AGE_TIERS, prefix: str = "age", location: str = "Location"
+) -> DataFrame:
+    """Per-location sums of all tiers, ``<prefix>_over_<tier>_count``."""
+    return counts.select(location, *[c.alias(n) for n, c in tier_counts(counts, tiers, prefix).items()])
 
 
 def one_vs_rest_shares(
@@ -117,15 +137,20 @@ def one_vs_rest_shares(
     location: str = "Location",
 ) -> DataFrame:
     """Share of one category and of all others of its family; neither bounded nor floored."""
+    summed = split_sums(counts, prefix, one, rest, location)
+    return family_shares(attach_counts(df, summed, code, location), prefix, denominator)
+
+
+def split_sums(
+    counts: DataFrame, prefix: str = "race", one: str = "white", rest: str = "peopleofcolor", location: str = "Location"
+) -> DataFrame:
+    """Per-location count of one category of a family and the sum of all its others."""
     single = f"{prefix}_{one}"
-    others = with_prefix(counts, prefix, but=[single])
-    summed = counts.select(
+    return counts.select(
         location,
-        numeric.row_sum(existing(counts, [single])).alias(one),
-        numeric.row_sum(others).alias(rest),
+        numeric.row_sum(existing(counts, [single])).alias(single),
+        numeric.row_sum(with_prefix(counts, prefix, but=[single])).alias(f"{prefix}_{rest}"),
     )
-    names = {f"{prefix}_{c}_pct": c for c in (one, rest)}
-    return add_shares(attach_counts(df, summed, code, location), names, denominator)
 
 
 def demographic_counts(

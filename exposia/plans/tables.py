@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from exposia.functions.numeric import ratio
 from exposia.functions.text import key_text, trim_ws, zero_pad
 from exposia.operators import cleaning, measures
-from exposia.operators.joins import enrich, left_lookup
+from exposia.operators.joins import aligned_lookups, enrich, join_aligned, left_lookup
 from exposia.operators.reshape import Family, categories, family_means
 from exposia.operators.scaling import heat_air_index
 from exposia.operators.spatial import assign_region, with_centroid
@@ -82,19 +82,64 @@ def state_facilities_base(table: DataFrame) -> DataFrame:
     return cleaning.keep_equal(table, type="STATE")
 
 
+def population_lookup(averages: DataFrame) -> tuple[DataFrame, Column]:
+    """Average population and the code it is found by."""
+    named = averages.withColumnRenamed("Average_2025_Population", _POPULATION)
+    code = trim_ws(key_text("Facility_Code"))
+    return named.select(_POPULATION, code.alias("_code")), F.col("_code")
+
+
+def metadata_lookup(metadata: DataFrame, aliases: Mapping[str, str]) -> tuple[DataFrame, Column]:
+    """Reviewed facts and the code they are found by."""
+    acronym = trim_ws(key_text("Acronym"))
+    acronym = F.coalesce(cleaning.mapped(acronym, aliases), acronym)
+    return metadata.withColumn("Acronym", acronym), F.col("Acronym")
+
+
+def with_lookups(
+    df: DataFrame,
+    code: str,
+    *,
+    averages: DataFrame | None = None,
+    counts: DataFrame | None = None,
+    metadata: DataFrame | None = None,
+    aliases: Mapping[str, str] = CODE_ALIASES,
+    location: str = "Location",
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Add the columns of all given lookups in one join on the code.
+
+    ``stage`` (such as ``materialize``) is applied to the aligned lookups, which shows Catalyst their
+    real size. With ``averages`` comes the ratio of the average population to the capacity, if there is one.
+    """
+    found, columns = {}, {}
+    if averages is not None:
+        found["averages"], columns["averages"] = population_lookup(averages), [_POPULATION]
+    if counts is not None:
+        found["counts"] = measures.by_location(counts, location)
+        columns["counts"] = [c for c in counts.columns if c != location]
+    if metadata is not None:
+        found["metadata"] = metadata_lookup(metadata, aliases)
+        columns["metadata"] = [c for c in metadata.columns if c != "Acronym"]
+    aligned = aligned_lookups(found)
+    joined = join_aligned(df, code, stage(aligned) if stage else aligned, columns)
+    if averages is not None and "capacity" in df.columns:
+        joined = joined.withColumn("capacity_percent_2025", ratio(_POPULATION, "capacity"))
+    return joined
+
+
 def with_population(df: DataFrame, averages: DataFrame, code: str) -> DataFrame:
     """Add the average population of the facility's code and its ratio to the capacity."""
-    lookup = averages.withColumnRenamed("Average_2025_Population", _POPULATION)
-    joined = enrich(df, lookup, code, trim_ws(key_text("Facility_Code")), [_POPULATION])
+    lookup, key = population_lookup(averages)
+    joined = enrich(df, lookup, code, key, [_POPULATION])
     return joined.withColumn("capacity_percent_2025", ratio(_POPULATION, "capacity"))
 
 
 def with_metadata(df: DataFrame, metadata: DataFrame, code: str, aliases: Mapping[str, str]) -> DataFrame:
     """Add the reviewed facts of the facility's code, with lower-case names."""
-    acronym = trim_ws(key_text("Acronym"))
-    acronym = F.coalesce(cleaning.mapped(acronym, aliases), acronym)
+    lookup, key = metadata_lookup(metadata, aliases)
     facts = [c for c in metadata.columns if c != "Acronym"]
-    return cleaning.lower_columns(enrich(df, metadata, code, acronym, facts))
+    return cleaning.lower_columns(enrich(df, lookup, code, key, facts))
 
 
 def state_facilities(
@@ -112,35 +157,28 @@ def state_facilities(
 ) -> DataFrame:
     """State facilities with code, population, demographic shares and reviewed facts.
 
-    The three panels are averaged in one shuffle and joined once. ``stage`` writes the per-location
-    counts, which shows Catalyst their real size, so that facilities do not shuffle to meet a small
-    table; None leaves the choice to adaptive execution.
+    The three panels are averaged in one shuffle; their counts, the averages and the reviewed facts
+    are aligned by code and joined once. ``stage`` writes the aligned lookups, which shows Catalyst
+    their real size, so that facilities do not shuffle to meet a small table; None leaves the choice
+    to adaptive execution.
     """
     named = cleaning.extract_name_attributes(base, overrides)
     code = F.coalesce(cleaning.mapped("cdcr_code", aliases), F.col("cdcr_code"))
-    populated = with_population(named.withColumn("_code", code), averages, "_code")
-
     genders = categories(gender, "Gender") if genders is None else sorted(genders)
     means = family_means(
         [Family(age, "Age Group", "age"), Family(gender, "Gender", "gender"), Family(race, "Race", "race")]
     )
     counts = measures.demographic_counts(means, {"gender": genders})
-    counts = stage(counts) if stage else counts
-    joined = measures.attach_counts(populated, counts, "_code", "Location")
-
+    joined = with_lookups(
+        named.withColumn("_code", code), "_code", averages=averages, counts=counts, metadata=metadata, aliases=aliases, stage=stage
+    )
     tiers = {f"age_over_{t}_pct": f"age_over_{t}_count" for t in measures.AGE_TIERS}
-    gender_columns = cleaning.with_prefix(counts, "gender")
     shared = measures.add_shares(joined, tiers, _POPULATION)
-    shared = measures.add_shares(
-        shared,
-        {f"{c}_pct": c for c in gender_columns},
-        _POPULATION,
-        clipped=True,
-        smallest=measures.SMALL_SHARE,
-    )
+    shared = measures.family_shares(shared, "gender", _POPULATION, clipped=True, smallest=measures.SMALL_SHARE)
     split = {f"{c}_pct": c for c in ("race_white", "race_peopleofcolor")}
     shared = measures.add_shares(shared, split, _POPULATION)
-    return with_metadata(shared, metadata, "_code", aliases).drop("_code")
+    facts = [c for c in metadata.columns if c != "Acronym"]
+    return cleaning.lower_columns(shared.select(*[c for c in shared.columns if c not in (*facts, "_code")], *facts))
 
 
 def population_difference(df: DataFrame) -> DataFrame:

@@ -141,6 +141,54 @@ def test_lookup_refuses_columns_on_both_sides(spark):
         joins.left_lookup(left, right.withColumn("v", F.lit(1)), [("code", "key")])
 
 
+@pytest.fixture
+def lookups(spark):
+    left = [(i, f"c{i % 7}" if i % 4 else None, f"note {i}") for i in range(4000)]
+    one = [("c1", 1.0), ("c2", 2.0), ("c2", 2.5), ("c9", 9.0), (None, 0.0)]
+    two = [(" c2 ", "x"), ("c2", "y"), ("c3", None), ("c1 ", "z"), (None, "n")]
+    return (
+        spark.createDataFrame(left, "id int, code string, note string"),
+        spark.createDataFrame(one, "key string, a double"),
+        spark.createDataFrame(two, "name string, b string"),
+    )
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_aligned_lookups_give_what_a_chain_of_joins_gives(spark, lookups, threshold):
+    left, one, two = lookups
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        aligned = joins.aligned_lookups({"one": (one, "key"), "two": (two, F.trim("name"))})
+        found = joins.join_aligned(left, "code", aligned, {"one": ["a"], "two": ["b"]})
+        chain = left.join(one, left["code"] == one["key"], "left").join(two, left["code"] == F.trim(two["name"]), "left")
+        columns = ["id", "code", "note", "a", "b"]
+        assert found.columns == columns and rows(found, *columns) == rows(chain, *columns)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join ") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    empty = joins.aligned_lookups({"one": (one.limit(0), "key"), "two": (two.limit(0), "name")})
+    assert joins.join_aligned(left, "code", empty, {"one": ["a"], "two": ["b"]}).filter("a is null and b is null").count() == left.count()
+    with pytest.raises(ValueError, match="both sides"):
+        joins.join_aligned(left, "code", aligned, {"one": ["a"], "two": ["a"]})
+
+
+def test_rows_without_a_code_are_spread(spark, lookups):
+    left, one, _ = lookups
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = joins.join_aligned(left, "code", joins.aligned_lookups({"one": (one, "key")}), {"one": ["a"]})
+        parts = found.filter("code is null").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in parts) == 1000 and max(r["count"] for r in parts) < 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_override_by_map_and_by_join(spark):
     df = spark.createDataFrame([("1", "A"), ("2", "B"), (None, "C")], "k string, t string")
     small = cleaning.override(df, "k", "t", {"1": "X"})

@@ -175,3 +175,14 @@ def test_filters_and_columns_reach_the_scan(spark):
         assert plan.count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+@pytest.mark.parametrize("name", ["q10_clipped_floored_share", "q15_cumulative_tiers", "q16_one_vs_rest", "q34_state_facility_table"])
+def test_lookups_meet_facilities_in_one_join(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin ") == 1 and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
