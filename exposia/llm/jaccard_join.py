@@ -11,8 +11,9 @@ Documents link when the sets of their five-word shingles have a Jaccard similari
    and the size range of what is below. Two trees (or a tree and itself) are walked together; a pair
    of nodes is left as soon as the largest overlap it could hold is too small, or when all below it
    is one component already. Large groups are dealt to blocks and each pair of blocks is one task.
-4. Candidates never leave a task: it counts their overlaps exactly, unites the linked ones and
-   returns the links that joined two components, fewer than it has classes.
+4. A task returns candidate pairs only if these are no more than its classes. Else a second task
+   counts their overlaps exactly, unites the linked ones and returns the links that joined two
+   components, fewer than it has classes.
 5. A first pass under two min-hashes joins most copies. The second pass looks at every shingle under
    which two components still meet.
 
@@ -252,14 +253,35 @@ def _candidates(sizes: np.ndarray, cells: list[bytes], labels: np.ndarray, side:
 
 
 def _with_candidates(group: pa.Table) -> pa.RecordBatch | None:
-    """The sets of one task that have a candidate there, at most as many rows as came in."""
-    sizes, label, side = (group[c].to_numpy() for c in ("n", "label", "side"))
-    marked = np.zeros(len(sizes), bool)
+    """The candidates of one task: its pairs (set_id, other) if these are no more than its rows, else
+    the sets that have a candidate there (other null). Either way at most as many rows as came in."""
+    sizes, label, side, ids = (group[c].to_numpy() for c in ("n", "label", "side", "set_id"))
+    marked, pairs, n_pairs = np.zeros(len(sizes), bool), [], 0
     for i, j in _candidates(sizes, group["bits"].to_pylist(), label, side):
         marked[i] = marked[j] = True
-    if not marked.any():
+        n_pairs += len(i)
+        if n_pairs <= len(sizes):
+            pairs.append((i, j))
+    if not n_pairs:
         return None
-    return group.select(["key", "low", "high", "side", "set_id", "label"]).filter(pa.array(marked)).combine_chunks().to_batches()[0]
+    columns = group.select(["key", "low", "high", "side", "set_id", "label"])
+    if n_pairs > len(sizes):
+        rows = columns.filter(pa.array(marked)).combine_chunks().to_batches()[0]
+        return rows.append_column("other", pa.nulls(len(rows), pa.int64()))
+    i, j = (np.concatenate(end) for end in zip(*pairs))
+    low = np.where(ids[i] < ids[j], i, j)
+    rows = columns.take(pa.array(low)).combine_chunks().to_batches()[0]
+    return rows.append_column("other", pa.array(np.maximum(ids[i], ids[j])))
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            part = batch.slice(start, 256)
+            (va, oa), (vb, ob) = (_sets_of(part.column(c).to_pylist()) for c in ("za", "zb"))
+            overlap = [len(np.intersect1d(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], True)) for i in range(len(part))]
+            keep = links(np.diff(oa), np.diff(ob), np.array(overlap, np.int64))
+            yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _linked_in_group(group: pa.Table) -> pa.RecordBatch:
@@ -457,11 +479,17 @@ def _with_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _last_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components that still meet under a key, none left out that would join two.
 
-    Bitmaps first show which sets of a task have a candidate in it; only those meet again with their
-    texts, and what a task returns joins its components and is no list of pairs.
+    Bitmaps first show the candidates of a task. A few pairs are verified one by one, each once for
+    all tasks; the sets of a crowded task meet again with their texts, and what it then returns joins
+    its components and is no list of pairs.
     """
     bits = materialize(texts.mapInArrow(_with_signatures, "set_id long, n long, bits binary"), "bits")
     tasks = _dealt(rows.select("key", "set_id", "label"), pairs=True).join(bits, "set_id")
-    near = apply_to_groups(tasks, TASK, _with_candidates, "key long, low int, high int, side int, set_id long, label long")
-    tasks = materialize(near, "near").join(texts, "set_id")
-    return materialize(apply_to_groups(tasks, TASK, _linked_in_group, "a long, b long"), "links")
+    schema = "key long, low int, high int, side int, set_id long, label long, other long"
+    near = materialize(apply_to_groups(tasks, TASK, _with_candidates, schema), "near")
+    pairs = near.filter("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("set_id").alias(end), F.col("z").alias(f"z{end}")), end)
+    found = pairs.select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long")
+    crowded = near.filter("other is null").join(texts, "set_id")
+    return materialize(found.union(apply_to_groups(crowded, TASK, _linked_in_group, "a long, b long")), "links")

@@ -43,7 +43,8 @@ def table(texts, keys):
 def test_near_texts_that_do_not_link_return_nothing(spark, n):
     texts = near_texts(n)
     group = table(texts, [0] * n)
-    assert len(jaccard_join._with_candidates(group) or []) <= n
+    candidates = jaccard_join._with_candidates(group)
+    assert len(candidates) <= n and candidates["other"].null_count == len(candidates)
     assert len(jaccard_join._linked_in_group(group)) == 0
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(r.component_id == r.doc_id for r in jaccard_join.jaccard_join(docs).collect())
@@ -56,6 +57,12 @@ def test_links_of_a_task_join_it_and_no_more(sides):
     assert len({*found["a"].to_pylist(), *found["b"].to_pylist()}) == 60
 
 
+def test_few_candidates_are_pairs():
+    texts = near_texts(2, apart=False) + [f"{i} " * 30 + "a b c d e f" for i in range(5)]
+    found = jaccard_join._with_candidates(table(texts, [0] * 7))
+    assert [(r["set_id"], r["other"]) for r in found.to_pylist()] == [(3, 10)]
+
+
 def test_candidates_hold_every_link_whatever_the_sizes():
     rng = random.Random(4)
     texts = []
