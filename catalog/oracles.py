@@ -277,6 +277,19 @@ _WEST = box_ring("x0", "y0", _at("x", "4e-1"), "y0 + 1e-4")
 _EAST = box_ring(_at("x", "6e-1"), "y0", "x0 + 1e-4", "y0 + 1e-4", clockwise=True)
 _TRIANGLE = ring(("x0", "y0"), ("x0 + 1e-4", "y0"), ("x0", "y0 + 1e-4"), ("x0", "y0"))
 
+STATE_FACILITY = f"""
+boundary as (
+  select facilityid, {title('name')} as name, {title('address')} as address, {title('city')} as city, population, capacity
+  from ({BOUNDARY}) where state = 'CA' and status = 'OPEN' and type = 'STATE'),
+coded as (
+  select b.facilityid, {unparen('b.name')} as name, b.address, b.city, b.population, b.capacity,
+    b.population / nullif(b.capacity, 0) as capacity_percent, b.code as cdcr_code,
+    contains(upper(b.name), 'CAMP') as cdcr_firecamp, a.average_2025_population,
+    a.average_2025_population / nullif(b.capacity, 0) as capacity_percent_2025
+  from (select *, case when facilityid = '10000826' then 'ASP' else {paren('name')} end as code from boundary) b
+  left join average a on a.code = b.code)"""
+COUNTRY_NAMES = ("el_salvador", "guinea_bissau", "mexico", "us_canada")
+
 LAYER = f"""
 with {using('tract')}
 select p_partkey, geoid as "GEOID", null::varchar as lacking,
@@ -310,6 +323,15 @@ from boundary""",
 select page_id, {paren('html')} as code, {unparen('html')} as rest,
   contains(upper(html), 'SCRIPT') as has_script
 from pages""",
+    "q04_missing_names": f"""
+with {using('boundary')}, named as (
+  select case when facilityid = '10000001' then '10000826' else facilityid end as facilityid,
+    case when facilityid::int % 3 = 0 or facilityid = '10000001' then null else name end as name
+  from boundary where facilityid <> '10000826' or facilityid::int % 3 = 0)
+select facilityid, {unparen('name')} as name,
+  case when facilityid = '10000826' then 'ASP' else {paren('name')} end as cdcr_code,
+  coalesce(contains(name, 'CAMP'), false) as cdcr_firecamp
+from named""",
     "q05_zero_pad_key": """
 select c_custkey,
   repeat('0', greatest(7 - length((c_custkey * 7919)::varchar), 0)) || (c_custkey * 7919) as padded,
@@ -321,6 +343,8 @@ select conv_id, turn, regexp_replace(role || ' ' || text, '^\s+|\s+$', '', 'g')
     "q06_sentinel_to_null": f"""
 with {using('boundary')}
 select facilityid, population, capacity, population / nullif(capacity, 0) as capacity_percent from boundary""",
+    "q06_column_guards": f"""
+with {using('boundary')} select facilityid, population, 0.0::double as share from boundary""",
     "q07_suppressed_counts": f"select l_orderkey, l_linenumber, {PEOPLE} as population from lineitem",
     "q08_plain_ratio": """
 select l_orderkey, l_linenumber, l_tax / nullif(l_discount, 0) as tax_per_discount,
@@ -337,6 +361,19 @@ select p_partkey, 1 as age_old, p_partkey as race_other, null::varchar as code,
 with {using('boundary', 'average', 'gender')}, coded as ({CODED})
 select f.facilityid, f.cdcr_code, f.average_2025_population, {_GENDER_SHARES}
 from coded f left join gender g on g.location = f.cdcr_code""",
+    "q10_small_shares": """
+with counted as (
+  select c_custkey,
+    case when c_custkey % 11 = 0 then null when c_custkey % 7 = 0 then 9000.0::double
+      when c_custkey % 5 = 0 then -3.0::double else (c_custkey % 4)::double end as people,
+    case when c_custkey % 13 = 0 then null when c_custkey % 17 = 0 then 0.0::double
+      else (1000 + (c_custkey * 100) % 3000)::double end as population
+  from customer)
+select c_custkey, population,
+  case when population is null or population <= 0 then 0.0::double when people is null then null
+    when people / population < 1e-3 then 0.0::double when people > population then 1.0::double
+    else people / population end as share
+from counted""",
     "q11_lookup_enrich": f"""
 with {using('boundary', 'average')}, coded as ({CODED})
 select facilityid, cdcr_code, capacity, average_2025_population, capacity_percent_2025 from coded""",
@@ -409,6 +446,11 @@ with {using('tract')}, centre as (
   select geoid, x0 + case p_partkey % 3 when 0 then 1e-4 / 3 else 5e-5 end as x,
     y0 + case p_partkey % 3 when 0 then 1e-4 / 3 else 5e-5 end as y from tract)
 select geoid as "GEOID", round(x, 8) as x, round(y, 8) as y, round(x, 7) as longitude from centre""",
+    "q23_hole_centroid": f"""
+with {using('tract')}
+select geoid as "GEOID", round(x0 + 1e-4 * (5e-1 - 8e-2 * 2e-1) / 92e-2, 8) as x,
+  round(y0 + 1e-4 * (5e-1 - 8e-2 * 4e-1) / 92e-2, 8) as y
+from tract""",
     "q23_footprint_centre": f"""
 with {using('point')}
 select facilityid, round(longitude, 8) as longitude,
@@ -417,6 +459,12 @@ from point""",
     "q24_point_in_polygon": f"""
 with {using('point', 'tract')}, located as ({LOCATED})
 select facilityid, l.geoid as "GEOID" from point left join located l using (facilityid)""",
+    "q24_points_on_borders": f"""
+with {using('point', 'tract')}, located as ({LOCATED})
+select facilityid, 'point' as place, l.geoid as "GEOID" from point left join located l using (facilityid)
+union all
+select facilityid, place, null from point, (
+  select unnest(['corner', 'bottom', 'left', 'top_left', 'bottom_right', 'hole_corner', 'hole_edge']) as place)""",
     "q25_lookup_back": f"""
 with {using('point', 'tract')}
 select p.facilityid, min(t.geoid) as tract_geoid
@@ -456,26 +504,31 @@ select 'S' || l_suppkey as "Location", case when l_linestatus = 'F' then 'Female
   count(*) filter (where l_orderkey % 19 <> 0 or l_orderkey % 11 = 0 or l_orderkey % 13 = 0 or l_orderkey % 17 = 0) as shown,
   sum({PEOPLE}) as people
 from lineitem group by all""",
+    "q31_hazard_csv": f"""
+with {using('heat', 'screen')}, {HAZARD} select geoid, {HAZARD_COLUMNS} from hazard""",
     "q32_geojson_scan": LAYER,
     "q32_geojson_collection": LAYER,
     "q32_geojson_attributes": SCREENED,
     "q33_facility_table": f"with {using('point', 'tract', 'boundary')}, {FACILITY} select * from placed",
     "q34_state_facility_table": f"""
 with {using('average', 'facts', 'age', 'gender', 'race')}, tiers as ({TIERS}),
-boundary as (
-  select facilityid, {title('name')} as name, {title('address')} as address, {title('city')} as city, population, capacity
-  from ({BOUNDARY}) where state = 'CA' and status = 'OPEN' and type = 'STATE'),
-coded as (
-  select b.facilityid, {unparen('b.name')} as name, b.address, b.city, b.population, b.capacity,
-    b.population / nullif(b.capacity, 0) as capacity_percent, b.code as cdcr_code,
-    contains(upper(b.name), 'CAMP') as cdcr_firecamp, a.average_2025_population,
-    a.average_2025_population / nullif(b.capacity, 0) as capacity_percent_2025
-  from (select *, case when facilityid = '10000826' then 'ASP' else {paren('name')} end as code from boundary) b
-  left join average a on a.code = b.code)
+{STATE_FACILITY}
 select joined.* replace ({', '.join(f'round({c}, 9) as {c}' for c in _SHARES)}) from (
 select f.*, {_TIER_SHARES}, {_GENDER_SHARES}, {_RACE_SHARES}, m.* exclude (code)
 from coded f left join tiers t on t.location = f.cdcr_code left join gender g on g.location = f.cdcr_code
   left join race r on r.location = f.cdcr_code left join facts m on m.code = f.cdcr_code) joined""",
+    "q34_birth_country_shares": f"""
+with {using('average', 'facts', 'country', 'gender')}, {STATE_FACILITY}
+select f.facilityid, f.cdcr_code, f.average_2025_population,
+  {', '.join(f"round({share(f'g.gender_{c}', 'f.average_2025_population')}, 9) as gender_{c}_pct" for c in ('female', 'male'))},
+  {', '.join(f"round({bounded_share(f'coalesce(c.cob_{c}, g.gender_male * 0)', 'f.average_2025_population')}, 9) as cob_{c}_pct" for c in COUNTRY_NAMES)}
+from coded f left join gender g on g.location = f.cdcr_code left join country c on c.location = f.cdcr_code""",
+    "q34_share_maps": f"""
+with {using('average', 'facts')}, {STATE_FACILITY}, means as (
+  select location, 'cob_' || category as category, mean from ({COUNTRY_PANEL})
+  union all select location, 'gender_' || category, mean from ({panel(GENDER)}))
+select f.facilityid, m.category, round({bounded_share('m.mean', 'f.average_2025_population')}, 9) as share
+from coded f join means m on m.location = f.cdcr_code""",
     "q35_heat_air_hazard_table": f"""
 with {using('heat', 'screen')}, {HAZARD} select geoid, {HAZARD_COLUMNS} from hazard""",
     "q36_exposure_table": f"""

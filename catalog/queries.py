@@ -43,6 +43,10 @@ def paren_code(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.extract_name_attributes(names, tables.CODE_OVERRIDES)
 
 
+def missing_names(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.extract_name_attributes(st.unnamed(spark, sf), tables.CODE_OVERRIDES)
+
+
 def paren_text(spark: SparkSession, sf: str) -> DataFrame:
     return st.table(spark, sf, "pages").select(
         "page_id",
@@ -76,6 +80,13 @@ def sentinel_to_null(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.with_capacity(named)
 
 
+def column_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps on frames that lack a column: no ratio, a share of 0, other columns cleaned all the same."""
+    named = cleaning.lower_columns(st.boundaries(spark, sf).select("FACILITYID", "POPULATION"))
+    cleaned = cleaning.with_capacity(named).withColumn("people", F.col("population"))
+    return measures.add_shares(cleaned, {"share": "people"}, POPULATION)
+
+
 def suppressed_counts(spark: SparkSession, sf: str) -> DataFrame:
     printed = st.table(spark, sf, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", f"{st.COUNT_TEXT} as printed"
@@ -142,6 +153,11 @@ def clipped_floored_share(spark: SparkSession, sf: str) -> DataFrame:
     return measures.family_shares(facilities, "gender", POPULATION, clipped=True, smallest=measures.SMALL_SHARE)
 
 
+def small_shares(spark: SparkSession, sf: str) -> DataFrame:
+    counts = st.small_counts(spark, sf)
+    return measures.add_shares(counts, {"share": "people"}, "population", clipped=True, smallest=measures.SMALL_SHARE)
+
+
 def lookup_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return _coded(spark, sf).select(
         "facilityid", "cdcr_code", "capacity", POPULATION, "capacity_percent_2025"
@@ -251,6 +267,11 @@ def centroid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def hole_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    placed = spatial.with_centroid(st.squares_with_a_hole(spark, sf), crs=None, x="x", y="y")
+    return placed.select("GEOID", F.round("x", 8).alias("x"), F.round("y", 8).alias("y"))
+
+
 def footprint_centre(spark: SparkSession, sf: str) -> DataFrame:
     named = cleaning.lower_columns(st.boundaries(spark, sf).select("FACILITYID", "geometry"))
     return spatial.with_centroid(named).select(
@@ -265,6 +286,14 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("facilityid", "GEOID")
 
 
+def points_on_borders(spark: SparkSession, sf: str) -> DataFrame:
+    """Corners and edge points of tracts and of their holes, and points within."""
+    joined = spatial.join_regions(
+        st.border_points(spark, sf), st.tracts(spark, sf).drop("p_partkey"), region_id="GEOID", cell=st.CELL
+    )
+    return joined.select("facilityid", "place", "GEOID")
+
+
 def lookup_back(spark: SparkSession, sf: str) -> DataFrame:
     placed = spatial.assign_region(
         st.customers(spark, sf), st.overlapping_tracts(spark, sf), cell=st.CELL
@@ -361,6 +390,13 @@ def _outlined(layer: DataFrame) -> DataFrame:
     )
 
 
+def hazard_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The hazard table written and read back; its key keeps its leading zero."""
+    table, path = heat_air_hazard_table(spark, sf), scratch_path(spark, "hazard")
+    write_csv(table, path)
+    return read_csv(spark, path, table.schema)
+
+
 def geojson_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "geojson")
     feature_lines(st.tracts(spark, sf)).write.text(path)
@@ -417,7 +453,7 @@ def facility_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def state_facility_table(spark: SparkSession, sf: str) -> DataFrame:
+def _state_facilities(spark: SparkSession, sf: str, **options) -> DataFrame:
     cleaned = cleaning.with_capacity(tables.clean_facilities(st.boundaries(spark, sf)))
     typed = cleaning.override(cleaned, "facilityid", "type", tables.REVIEWED_TYPES)
     base = tables.state_facilities_base(typed).drop("geometry", "telephone", "state", "status", "type")
@@ -428,11 +464,35 @@ def state_facility_table(spark: SparkSession, sf: str) -> DataFrame:
         age=st.age_panel(spark, sf),
         gender=st.gender_panel(spark, sf),
         race=st.race_panel(spark, sf),
-        genders=st.GENDERS,
         aliases=st.ALIASES,
+        **options,
     )
     # Tier sums depend on the order of addition in the last digits.
-    return table.withColumns({c: F.round(c, 9) for c in table.columns if c.endswith("_pct")})
+    return table.withColumns({c: F.round(c, 9) for c, kind in table.dtypes if c.endswith("_pct") and kind == "double"})
+
+
+def state_facility_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _state_facilities(spark, sf, genders=st.GENDERS)
+
+
+def birth_country_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """With the fourth family, whose shares are bounded here, while those of gender are not."""
+    table = _state_facilities(
+        spark, sf, birth_country=st.birth_country_panel(spark, sf), birth_countries=st.COUNTRIES, bounded=("cob",)
+    )
+    return table.select("facilityid", "cdcr_code", POPULATION, *[c for c in table.columns if c.startswith(("gender_", "cob_"))])
+
+
+def share_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Families without declared categories, one row for each that a facility's location has."""
+    table = _state_facilities(spark, sf, birth_country=st.birth_country_panel(spark, sf), genders=None, bounded=("cob", "gender"))
+
+    def shares_of(family: str) -> DataFrame:
+        found = table.select("facilityid", F.explode(f"{family}_pct").alias("category", "share"))
+        return found.withColumn("category", F.concat(F.lit(f"{family}_"), "category"))
+
+    shares = shares_of("cob").union(shares_of("gender"))
+    return shares.select("facilityid", "category", F.round("share", 9).alias("share"))
 
 
 def heat_air_hazard_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,14 +511,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q03_title_case": title_case,
     "q04_paren_code": paren_code,
     "q04_paren_text": paren_text,
+    "q04_missing_names": missing_names,
     "q05_zero_pad_key": zero_pad_key,
     "q05_trimmed_text": trimmed_text,
     "q06_sentinel_to_null": sentinel_to_null,
+    "q06_column_guards": column_guards,
     "q07_suppressed_counts": suppressed_counts,
     "q08_plain_ratio": plain_ratio,
     "q09_override_map": override_map,
     "q09_schema_operators": schema_operators,
     "q10_clipped_floored_share": clipped_floored_share,
+    "q10_small_shares": small_shares,
     "q11_lookup_enrich": lookup_enrich,
     "q12_metadata_enrich": metadata_enrich,
     "q13_mean_pivot": mean_pivot,
@@ -474,8 +537,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q21_composite_index": composite_index,
     "q22_mercator": mercator,
     "q23_centroid": centroid,
+    "q23_hole_centroid": hole_centroid,
     "q23_footprint_centre": footprint_centre,
     "q24_point_in_polygon": point_in_polygon,
+    "q24_points_on_borders": points_on_borders,
     "q25_lookup_back": lookup_back,
     "q26_wkt": wkt,
     "q27_attach_hazards": attach_hazards,
@@ -484,11 +549,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q30_row_counts": row_counts,
     "q31_csv_roundtrip": csv_roundtrip,
     "q31_panel_csv_scan": panel_csv_scan,
+    "q31_hazard_csv": hazard_csv,
     "q32_geojson_scan": geojson_scan,
     "q32_geojson_collection": geojson_collection,
     "q32_geojson_attributes": geojson_attributes,
     "q33_facility_table": facility_table,
     "q34_state_facility_table": state_facility_table,
+    "q34_birth_country_shares": birth_country_shares,
+    "q34_share_maps": share_maps,
     "q35_heat_air_hazard_table": heat_air_hazard_table,
     "q36_exposure_table": exposure_table,
 }

@@ -77,6 +77,45 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def border_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every customer the point of :func:`customers`, and for the tract of the same number points
+    on its outline and, for a square with a hole, on the border of the hole."""
+    x, y = location("c_custkey")
+    x0, y0 = corner("c_custkey")
+    s, hole = SIDE, "c_custkey % 3 = 1"
+    places = {
+        "point": (x, y),
+        "corner": (x0, y0),
+        "bottom": (f"{x0} + {s} * 0.3D", y0),
+        "left": (x0, f"{y0} + {s} * 0.7D"),
+        "top_left": (x0, f"{y0} + {s}"),
+        "bottom_right": (f"{x0} + {s}", y0),
+        "hole_corner": (f"if({hole}, {x0} + {s} * 0.25D, {x0})", f"if({hole}, {y0} + {s} * 0.75D, {y0})"),
+        "hole_edge": (f"if({hole}, {x0} + {s} * 0.4D, {x0})", f"if({hole}, {y0} + {s} * 0.25D, {y0})"),
+    }
+    rows = ", ".join(f"struct('{name}' as place, {px} as longitude, {py} as latitude)" for name, (px, py) in places.items())
+    return table(spark, sf_dir, "customer").selectExpr("string(c_custkey + 10000000) as facilityid", f"inline(array({rows}))")
+
+
+def small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts next to populations: a few people, none, too many, fewer than none, or unknown."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        """case when c_custkey % 11 = 0 then null when c_custkey % 7 = 0 then 9000D
+           when c_custkey % 5 = 0 then -3D else double(c_custkey % 4) end as people""",
+        """case when c_custkey % 13 = 0 then null when c_custkey % 17 = 0 then 0D
+           else double(1000 + (c_custkey * 100) % 3000) end as population""",
+    )
+
+
+def unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facility names, every third missing, one of them that of a facility whose code is reviewed."""
+    return boundaries(spark, sf_dir).selectExpr(
+        "if(FACILITYID = '10000001', '10000826', FACILITYID) as facilityid",
+        "if(int(FACILITYID) % 3 = 0 or FACILITYID = '10000001', null, NAME) as name",
+    ).filter("facilityid <> '10000826' or name is null")
+
+
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facility boundaries with the attributes of the national layer."""
     x, y = location("c_custkey")
@@ -131,6 +170,20 @@ def tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def squares_with_a_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares whose hole lies near a corner; outline and hole turn either way."""
+    x0, y0 = corner("p_partkey")
+    s = SIDE
+    at = lambda v, part: f"{v} + {s} * {part}D"
+    corners = ("x0", "y0", at("x0", 1), at("y0", 1)), (at("x0", 0.1), at("y0", 0.2), at("x0", 0.3), at("y0", 0.6))
+    turned = [f"if(p_partkey % {n} = 0, {rectangle(*c)}, {rectangle(*c, clockwise=True)})" for n, c in zip((2, 3), corners)]
+    return (
+        table(spark, sf_dir, "part")
+        .selectExpr("p_partkey", f"{x0} as x0", f"{y0} as y0")
+        .selectExpr(f"{tract_id('p_partkey')} as GEOID", f"array(array({', '.join(turned)})) as geometry")
+    )
+
+
 def overlapping_tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles 7.5 sides wide: the left half of a tract is also covered by its west neighbour."""
     x0, y0 = corner("p_partkey")

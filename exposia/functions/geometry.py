@@ -120,18 +120,100 @@ def bounds(edge_list: Column | str) -> Column:
     )
 
 
+# Of the sum of the two products of an orientation: below this share, rounding may change the sign.
+_DOUBTFUL = 3.3306690738754716e-16
+_SPLITTER = float((1 << 27) + 1)
+
+
+def _two_sum(a: Column, b: Column) -> tuple[Column, Column]:
+    """A sum and exactly what its rounding lost."""
+    total = a + b
+    shifted = total - a
+    return total, (a - (total - shifted)) + (b - shifted)
+
+
+def _two_product(a: Column, b: Column) -> Column:
+    """A product and exactly what its rounding lost, as an array; the factors are split in halves."""
+
+    def halves(v: Column) -> Column:
+        large = v * _SPLITTER
+        high = large - (large - v)
+        return F.struct(high.alias("high"), (v - high).alias("low"))
+
+    def lost(p: Column, x: Column, y: Column) -> Column:
+        rest = p - x["high"] * y["high"] - x["low"] * y["high"] - x["high"] * y["low"]
+        return x["low"] * y["low"] - rest
+
+    return bound(halves(a), lambda x: bound(halves(b), lambda y: bound(a * b, lambda p: F.array(lost(p, x, y), p))))
+
+
+def exact_sign(terms: Column) -> Column:
+    """Sign of the sum of an array of doubles, without rounding.
+
+    The sum is kept as an array of doubles that do not overlap, the largest last; each term runs
+    through it and leaves what rounding lost in its place.
+    """
+    none = F.array().cast("array<double>")
+
+    def grow(kept: Column, term: Column) -> Column:
+        def step(state: Column, part: Column) -> Column:
+            total, lost = _two_sum(state["sum"], part)
+            return F.struct(total.alias("sum"), F.concat(state["lost"], F.array(lost)).alias("lost"))
+
+        start = F.struct(term.alias("sum"), none.alias("lost"))
+        return F.aggregate(kept, start, step, lambda s: F.concat(s["lost"], F.array(s["sum"])))
+
+    total = F.aggregate(terms, none, grow)
+    return F.aggregate(total, F.lit(0.0), lambda sign, part: F.when(part != 0, F.signum(part)).otherwise(sign))
+
+
+def side(e: Column, x: Column, y: Column) -> Column:
+    """1.0 where a point lies left of an edge, -1.0 right of it, 0.0 exactly on its line.
+
+    The plain formula decides unless its result is so small that rounding may have made it; then
+    the six products of the determinant are added without rounding.
+    """
+    left = (e["x1"] - x) * (e["y2"] - y)
+    right = (e["y1"] - y) * (e["x2"] - x)
+
+    def products() -> Column:
+        pairs = [("x1", "y2"), ("x2", y), (x, "y1")], [("y1", "x2"), ("y2", x), (y, "x1")]
+        value = lambda v: e[v] if isinstance(v, str) else v
+        plus = [_two_product(value(a), value(b)) for a, b in pairs[0]]
+        minus = [_two_product(-value(a), value(b)) for a, b in pairs[1]]
+        return F.concat(*plus, *minus)
+
+    sure = F.abs(left - right) > (F.abs(left) + F.abs(right)) * _DOUBTFUL
+    return F.when(sure, F.signum(left - right)).otherwise(exact_sign(products()))
+
+
+_EVEN, _ODD, _BORDER = 0, 1, 2
+
+
 def inside(edge_list: Column | str, x: Column | str, y: Column | str) -> Column:
-    """Even-odd ray cast to the right over an edge list.
+    """Whether a point lies strictly within: even-odd ray cast to the right over an edge list.
 
-    Holes and further parts need no special case. A point on a border counts for one side only.
+    Holes and further parts need no special case. A point on an edge or a vertex, of a hole too, is
+    not within, by exact arithmetic. A missing coordinate gives no answer.
     """
     x, y = as_column(x), as_column(y)
 
-    def crossed(e: Column) -> Column:
-        cut = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"])
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < cut)
+    def step(state: Column, e: Column) -> Column:
+        level = (F.least(e["y1"], e["y2"]) <= y) & (y <= F.greatest(e["y1"], e["y2"])) & (x <= F.greatest(e["x1"], e["x2"]))
+        crosses = (e["y1"] > y) != (e["y2"] > y)
+        upward = e["y2"] > e["y1"]
+
+        def beside(turn: Column) -> Column:
+            return F.when(turn == 0, _BORDER).when(crosses & ((turn > 0) == upward), 1 - state).otherwise(state)
+
+        return (
+            F.when((state == _BORDER) | ~level, state)
+            .when(x < F.least(e["x1"], e["x2"]), F.when(crosses, 1 - state).otherwise(state))
+            .otherwise(bound(side(e, x, y), beside))
+        )
 
-    return F.aggregate(as_column(edge_list), F.lit(False), lambda odd, e: odd != crossed(e))
+    known = x.isNotNull() & y.isNotNull()
+    return F.when(known, F.aggregate(as_column(edge_list), F.lit(_EVEN), step) == _ODD)
 
 
 _MOMENTS = ("size", "x", "y")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -77,3 +78,33 @@ def row_mean(values: Sequence[Column | str]) -> Column:
     """Mean over columns, skipping missing values; NULL when all are missing."""
     present = [nan_to_null(as_column(v).cast("double")).isNotNull().cast("int") for v in values]
     return F.try_divide(row_sum(values), reduce(lambda a, b: a + b, present).cast("double"))
+
+
+_HIDDEN = 1 << 52
+_LEAST_EXPONENT, _MOST_EXPONENT = -1022, 1023
+
+
+def ordered_image(value: Column | str) -> Column:
+    """A 64-bit whole number for each double, in the same order; missing and NaN have none.
+
+    It is the double's own bits, negated for negative values, taken apart by exact arithmetic: powers
+    of two and divisions by them do not round. Both zeros are 0.
+    """
+    value = nan_to_null(as_column(value).cast("double"))
+    size = F.abs(value)
+    two = F.lit(2.0)
+    low, high = F.lit(float(_LEAST_EXPONENT)), F.lit(float(_MOST_EXPONENT))
+    guess = F.greatest(low, F.least(high, F.floor(F.log2(size)).cast("double")))
+    # the logarithm may be off by one next to a power of two
+    exponent = F.when(size < F.pow(two, guess), guess - 1).when(size / 2 >= F.pow(two, guess), guess + 1).otherwise(guess)
+    exponent = F.greatest(low, exponent)
+    digits = (size / F.pow(two, exponent) * float(_HIDDEN)).cast("long")
+    image = (exponent - _LEAST_EXPONENT).cast("long") * _HIDDEN + digits
+    image = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 * _HIDDEN)).otherwise(image)
+    return F.when(value.isNotNull(), F.when(value < 0, -image).otherwise(image))
+
+
+def from_ordered_image(image: int) -> float:
+    """The double of an image."""
+    size = struct.unpack("<d", abs(image).to_bytes(8, "little"))[0]
+    return -size if image < 0 else size

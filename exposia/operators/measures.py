@@ -86,6 +86,19 @@ def family_shares(df: DataFrame, prefix: str, denominator: str, *, clipped: bool
     return add_shares(df, names, denominator, clipped=clipped, smallest=smallest)
 
 
+def map_shares(
+    df: DataFrame, counts: str, denominator: str, result: str, *, clipped: bool = False, smallest: float | None = None
+) -> DataFrame:
+    """Turn a map of counts into a map of shares; a row without counts has none."""
+
+    def measure(_: Column, count: Column) -> Column:
+        value = numeric.share(count, F.col(denominator)) if denominator in df.columns else F.lit(0.0)
+        value = numeric.clip(value) if clipped else value
+        return value if smallest is None else numeric.floor_small(value, smallest)
+
+    return df.withColumn(counts, F.transform_values(counts, measure)).withColumnRenamed(counts, result)
+
+
 def tier_shares(df: DataFrame, denominator: str) -> DataFrame:
     """Turn the attached sums of tiers, ``..._count``, into shares ``..._pct``."""
     names = {f"{c.removesuffix('_count')}_pct": c for c in df.columns if c.endswith("_count")}
@@ -155,7 +168,7 @@ def split_sums(
 
 def demographic_counts(
     means: DataFrame,
-    shown: Mapping[str, Sequence[str]],
+    shown: Mapping[str, Sequence[str] | None],
     *,
     tiers: Mapping[str, Sequence[str]] = AGE_TIERS,
     tier_family: str = "age",
@@ -167,7 +180,8 @@ def demographic_counts(
     """All per-location counts from long means (``family, category, mean``) in one aggregation.
 
     Bands and the one-against-the-rest split are conditional sums, so no list of categories is
-    needed for them and none is lost. ``shown`` gives the categories to keep apart per family.
+    needed for them and none is lost. ``shown`` gives the categories to keep apart per family, or
+    None to keep all of them in a map named like the family.
     """
     category = slug_column("category")
 
@@ -180,7 +194,10 @@ def demographic_counts(
         for tier, bands in tiers.items()
     }
     for family, values in shown.items():
-        for v in values:
+        if values is None:
+            entry = F.when(F.col("family") == family, F.struct(category.alias("category"), "mean"))
+            sums[family] = F.map_from_entries(F.collect_list(entry))
+        for v in values or ():
             sums[f"{family}_{slug(v)}"] = total(family, category == slug(v))
     sums[f"{split_family}_{one}"] = total(split_family, category == one)
     sums[f"{split_family}_{rest}"] = total(split_family, category != one)

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from exposia.functions.numeric import nan_to_null, parse_suppressed
-from exposia.functions.text import slug
-from exposia.operators.cleaning import fill_missing
+from exposia.functions.numeric import from_ordered_image, nan_to_null, ordered_image, parse_suppressed
+from exposia.functions.text import slug, slug_column
 from exposia.sources.staging import materialize
 
-MAX_CATEGORIES = 10_000
-_SEPARATOR = "\x1f"
+SORTED_AT_ONCE = 10_000
 
 
 @dataclass(frozen=True)
 class Family:
     """One panel: its frame, category column and the prefix of the wide columns.
 
-    ``values`` lists the categories to turn into columns; without it they are looked up, which
-    costs one job.
+    ``values`` lists the categories to turn into columns; without it they are kept in a map.
     """
 
     frame: DataFrame
@@ -65,37 +63,37 @@ def family_means(families: Sequence[Family], key: str = "Location", value: str =
     )
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Sorted distinct categories; fails when there are more than a table can have columns."""
-    names = df.select(F.col(column).cast("string").alias("c")).dropna().distinct()
-    found = [row.c for row in names.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has over {limit} categories; keep it in long form")
-    return sorted(found)
+def family_maps(families: Sequence[Family], key: str = "Location", value: str = "Population") -> DataFrame:
+    """One row per key found in any panel, with a map from category name to mean for each family.
+
+    The panels are averaged together and gathered by key in one aggregate. The maps are sparse and no
+    list of categories is looked up, so a panel may have any number of them; a key's own are held in
+    one row. Two categories of one family with one name are an error.
+    """
+
+    def means_of(prefix: str) -> Column:
+        entry = F.struct(slug_column("category").alias("category"), "mean")
+        return F.map_from_entries(F.collect_list(F.when(F.col("family") == prefix, entry))).alias(prefix)
+
+    return family_means(families, key, value).groupBy(key).agg(*[means_of(f.prefix) for f in families])
 
 
 def category_means_wide(
     families: Sequence[Family], key: str = "Location", value: str = "Population"
 ) -> DataFrame:
-    """One row per key found in any panel and one ``<prefix>_<category>`` column per category.
+    """One row per key found in any panel and one ``<prefix>_<category>`` column per declared category.
 
-    A category a key lacks is 0. The panels are stacked and pivoted together, which aligns them
-    without joins.
+    A category a key lacks is 0. A family without declared categories stays a map named by its prefix.
     """
-    names: dict[str, str] = {}
+    wide: list[Column] = [F.col(key)]
     for f in families:
-        for category in f.values if f.values is not None else categories(f.frame, f.category):
-            names[f"{f.prefix}{_SEPARATOR}{category}"] = f"{f.prefix}_{slug(category)}"
-    if len(set(names.values())) < len(names):
-        raise ValueError("two categories of one family give the same column name")
-    long = stacked(families, key, value).dropna(subset=[key, "category"])
-    pivoted = (
-        long.withColumn("cell", F.concat_ws(_SEPARATOR, "family", "category"))
-        .groupBy(key)
-        .pivot("cell", list(names))
-        .agg(F.avg("count"))
-    )
-    return fill_missing(pivoted.withColumnsRenamed(names), list(names.values()))
+        names = [slug(v) for v in f.values or ()]
+        if len(set(names)) < len(names):
+            raise ValueError("two categories of one family give the same column name")
+        if f.values is None:
+            wide.append(F.col(f.prefix))
+        wide += [F.coalesce(F.try_element_at(f.prefix, F.lit(n)), F.lit(0.0)).alias(f"{f.prefix}_{n}") for n in names]
+    return family_maps(families, key, value).select(*wide)
 
 
 def value_counts(df: DataFrame, column: str, result: str = "count") -> DataFrame:
@@ -107,53 +105,78 @@ def value_counts(df: DataFrame, column: str, result: str = "count") -> DataFrame
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation as one row with columns ``q0, q1, ...``.
 
-    Values are counted, spread by range and written once. Only the ranges that hold a wanted rank
-    are then ordered, so no task sees more than one range and repeated values cost one row.
+    The column is read and written once, as images of 64 bits; see :func:`selected`. NaN counts as
+    missing; without values the quantiles are missing.
     """
-    value = F.col(column).cast("double").alias("v")
-    counts = df.select(value).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ranges = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    ranges = materialize(ranges, "quantiles")
-
-    # One row per range; these windows run over that short list.
-    ordered = Window.orderBy("part")
-    sizes = ranges.groupBy("part").agg(F.sum("n").alias("size"))
-    offsets = sizes.select(
-        "part",
-        "size",
-        (F.sum("size").over(ordered) - F.col("size")).alias("before"),
-        F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
-    )
-    positions = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
-    ranks = [rank for p in positions for rank in (F.floor(p), F.ceil(p))]
-
-    def holds(rank, start, length):
-        return (F.col(start) <= rank) & (rank < F.col(start) + F.col(length))
-
-    wanted = offsets.filter(reduce(lambda a, b: a | b, [holds(r, "before", "size") for r in ranks]))
-    running = Window.partitionBy("part").orderBy("v")
-    values = ranges.join(F.broadcast(wanted.drop("size")), "part").withColumn(
-        "start", F.col("before") + F.sum("n").over(running) - F.col("n")
-    )
-    picked = values.agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(holds(r, "start", "n"), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)],
-    )
-    return picked.select(
-        *[
-            (
-                F.col(f"r{2 * i}")
-                + (F.col(f"r{2 * i + 1}") - F.col(f"r{2 * i}")) * (p - F.floor(p))
-            ).alias(f"q{i}")
-            for i, p in enumerate(positions)
-        ]
-    )
+    images, basic = _stored_images(df, column, [F.count("v").alias("count")])
+    found = quantiles(images, basic["count"], probabilities)
+    names = ", ".join(f"q{i} double" for i in range(len(found)))
+    return df.sparkSession.createDataFrame([tuple(found)], names)
+
+
+def _stored_images(df: DataFrame, column: str, metrics: Sequence[Column]) -> tuple[DataFrame, dict]:
+    """The images of a column as a written stage, and metrics over ``v`` observed on the way."""
+    observation = Observation()
+    values = df.select(nan_to_null(F.col(column).cast("double")).alias("v")).observe(observation, *metrics)
+    images = materialize(values.select(ordered_image("v").alias("image")), "images")
+    return images.filter("image is not null"), observation.get
+
+
+def quantiles(images: DataFrame, total: int, probabilities: Sequence[float]) -> list[float | None]:
+    """Quantiles from the images of ``total`` values, between neighbours by linear interpolation."""
+    if not total:
+        return [None] * len(probabilities)
+    places = [p * (total - 1) for p in probabilities]
+    at = selected(images, {f(p) for p in places for f in (math.floor, math.ceil)}, total)
+    out = []
+    for p in places:
+        low, high = (from_ordered_image(at[f(p)]) for f in (math.floor, math.ceil))
+        out.append(low + (high - low) * (p - math.floor(p)))
+    return out
+
+
+def selected(images: DataFrame, ranks: Iterable[int], total: int, small: int = SORTED_AT_ONCE) -> dict[int, int]:
+    """The images at the given ranks (from 0), by radix selection.
+
+    Each round counts the next 16 bits of what shares its leading bits with a wanted image: one
+    partially aggregated count of at most 65,536 rows a rank, and nothing is ordered or shuffled whole.
+    Once ``small`` images are left, they are counted one by one.
+    """
+    found: dict[int, int] = {}
+    open_ranks = {None: [(r, r) for r in sorted(ranks)]}  # leading bits: rank, and rank among those that share them
+    bits, left = 64, total
+    while open_ranks:
+        above, bits = bits, 0 if left <= small else bits - 16
+        active = images
+        if above < 64:
+            inside = [F.col("image").between(p << above, ((p + 1) << above) - 1) for p in open_ranks]
+            active = images.filter(reduce(lambda a, b: a | b, inside))
+        counts = active.groupBy(F.shiftright("image", bits).alias("digits")).count().collect()
+        groups: dict[int | None, list[tuple[int, int]]] = {}
+        for digits, n in sorted(map(tuple, counts)):
+            groups.setdefault(None if above == 64 else digits >> (above - bits), []).append((digits, n))
+        deeper, left = {}, 0
+        for leading, wanted in open_ranks.items():
+            before, cells = 0, iter(groups[leading])
+            digits, n = next(cells)
+            for rank, inner in wanted:
+                while inner >= before + n:
+                    before += n
+                    digits, n = next(cells)
+                if not bits:
+                    found[rank] = digits
+                else:
+                    left += n if digits not in deeper else 0
+                    deeper.setdefault(digits, []).append((rank, inner - before))
+        open_ranks = deeper
+    return found
 
 
 def describe(df: DataFrame, column: str, *, approximate: bool = False) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of a column as one row.
 
-    NaN counts as missing. Quartiles are exact unless ``approximate``, which answers in a single pass.
+    NaN counts as missing. The frame is read once. Quartiles are exact, from the column's stored images,
+    unless ``approximate``, which needs no stage.
     """
     c = nan_to_null(F.col(column).cast("double"))
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -168,7 +191,8 @@ def describe(df: DataFrame, column: str, *, approximate: bool = False) -> DataFr
     if approximate:
         rough = [F.percentile_approx(c, p).alias(n) for n, p in quartiles.items()]
         return df.agg(*basic, *rough).select(*order)
-    exact = exact_quantiles(df, column, list(quartiles.values()))
-    row = exact.select(F.struct(*[F.col(f"q{i}").alias(n) for i, n in enumerate(quartiles)]))
-    summary = df.agg(*basic).withColumn("_q", row.scalar())
-    return summary.select("*", "_q.*").select(*order)
+    on_v = [F.count("v"), F.avg("v"), F.stddev_samp("v"), F.min("v"), F.max("v")]
+    images, found = _stored_images(df, column, [m.alias(n) for m, n in zip(on_v, ("count", "mean", "std", "min", "max"))])
+    found |= dict(zip(quartiles, quantiles(images, found["count"], list(quartiles.values()))))
+    schema = ", ".join(f"{n} {'long' if n == 'count' else 'double'}" for n in order)
+    return df.sparkSession.createDataFrame([tuple(found[n] for n in order)], schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from exposia.functions import geometry as geo
 from exposia.operators.joins import broadcast_limit, left_lookup, lookup_back
+from exposia.sources.staging import materialize
 
 # Room around a cell within which edges are kept, in cells; covers rounding of the cell number.
 _SLACK = 0.01
@@ -62,8 +65,7 @@ def region_cells(outlines: DataFrame, region_id: str, cell: float) -> DataFrame:
         F.filter(
             "_edges",
             lambda e: (F.greatest(e["y1"], e["y2"]) >= low)
-            & (F.least(e["y1"], e["y2"]) <= high)
-            & (e["y1"] != e["y2"]),
+            & (F.least(e["y1"], e["y2"]) <= high),
         ),
     )
     starts, ends = F.col("_edges.x1"), F.col("_edges.x2")
@@ -116,13 +118,14 @@ def join_regions(
     exact test runs inside it. Cells about as large as the smaller regions serve best.
     A point is in one cell, so each region matches it at most once; overlapping regions each give
     a row. Whether the cells are broadcast is decided by an upper bound of their size, measured
-    over the regions, unless ``small`` says so.
+    over the regions, unless ``small`` says so; their outlines are written once for that.
     """
     if not geo.same_crs(points_crs, regions_crs):
         regions = regions.withColumn(geometry, geo.project(geometry, regions_crs, points_crs))
     cell = default_cell(points_crs) if cell is None else cell
     outlines = region_outlines(regions, region_id, geometry)
     if small is None:
+        outlines = materialize(outlines, "outlines")
         small = _cells_fit(outlines, cell)
     cells = region_cells(outlines, region_id, cell)
     located = points.withColumns(
@@ -148,16 +151,19 @@ def assign_region(
     disjoint: bool = False,
     x: str = "longitude",
     y: str = "latitude",
+    stage: Callable[[DataFrame], DataFrame] | None = materialize,
     **options,
 ) -> DataFrame:
     """Add the id of the region each row's point lies within; every row is kept once.
 
     Only key and coordinates travel to the regions and the found id is written back by key. Where
-    regions overlap the smallest id wins. ``disjoint`` states that they do not, as census tracts:
-    then the join itself gives one row each and nothing needs to be written back.
+    regions overlap the smallest id wins. ``stage`` writes the rows before, so that what they come
+    from is evaluated once. ``disjoint`` states that regions do not overlap, as census tracts: then
+    the join itself gives one row each and nothing needs to be written back.
     """
     if disjoint:
         joined = join_regions(df, regions, region_id=region_id, x=x, y=y, **options)
         return joined.withColumnRenamed(region_id, result)
+    df = stage(df) if stage else df
     found = join_regions(df.select(key, x, y), regions, region_id=region_id, x=x, y=y, **options)
     return lookup_back(df, found.dropna(subset=[region_id]), key, region_id, result)

@@ -10,7 +10,7 @@ from exposia.functions.numeric import ratio
 from exposia.functions.text import key_text, trim_ws, zero_pad
 from exposia.operators import cleaning, measures
 from exposia.operators.joins import aligned_lookups, enrich, join_aligned, left_lookup
-from exposia.operators.reshape import Family, categories, family_means
+from exposia.operators.reshape import Family, family_means
 from exposia.operators.scaling import heat_air_index
 from exposia.operators.spatial import assign_region, with_centroid
 from exposia.sources.staging import materialize
@@ -27,6 +27,7 @@ REVIEWED_TYPES = {
     "10000845": "STATE",
     "10000846": "STATE",
 }
+GENDERS = ("Female", "Male")
 CODE_OVERRIDES = {"10000826": "ASP"}
 CODE_ALIASES = {"FSP": "FOL"}
 
@@ -150,33 +151,45 @@ def state_facilities(
     age: DataFrame,
     gender: DataFrame,
     race: DataFrame,
-    genders: Sequence[str] | None = None,
+    birth_country: DataFrame | None = None,
+    genders: Sequence[str] | None = GENDERS,
+    birth_countries: Sequence[str] | None = None,
+    bounded: Sequence[str] = ("gender",),
     overrides: Mapping[str, str] = CODE_OVERRIDES,
     aliases: Mapping[str, str] = CODE_ALIASES,
     stage: Callable[[DataFrame], DataFrame] | None = materialize,
 ) -> DataFrame:
     """State facilities with code, population, demographic shares and reviewed facts.
 
-    The three panels are averaged in one shuffle; their counts, the averages and the reviewed facts
-    are aligned by code and joined once. ``stage`` writes the aligned lookups, which shows Catalyst
-    their real size, so that facilities do not shuffle to meet a small table; None leaves the choice
-    to adaptive execution.
+    The panels are averaged in one shuffle; their counts, the averages and the reviewed facts are
+    aligned by code and joined once. ``genders`` and ``birth_countries`` are the categories that get
+    a column; None keeps all of them in a map, ``gender_pct`` or ``cob_pct``. Shares of the families in
+    ``bounded`` (age, gender, race, cob) are held between 0 and 1 and small ones are 0. ``stage``
+    writes the aligned lookups, which shows Catalyst their real size, so that facilities do not
+    shuffle to meet a small table; None leaves the choice to adaptive execution.
     """
     named = cleaning.extract_name_attributes(base, overrides)
     code = F.coalesce(cleaning.mapped("cdcr_code", aliases), F.col("cdcr_code"))
-    genders = categories(gender, "Gender") if genders is None else sorted(genders)
-    means = family_means(
-        [Family(age, "Age Group", "age"), Family(gender, "Gender", "gender"), Family(race, "Race", "race")]
-    )
-    counts = measures.demographic_counts(means, {"gender": genders})
+    families = [Family(age, "Age Group", "age"), Family(gender, "Gender", "gender"), Family(race, "Race", "race")]
+    shown = {"gender": None if genders is None else sorted(genders)}
+    if birth_country is not None:
+        families.append(Family(birth_country, "Country of Birth", "cob"))
+        shown["cob"] = None if birth_countries is None else sorted(birth_countries)
+    counts = measures.demographic_counts(family_means(families), shown)
     joined = with_lookups(
         named.withColumn("_code", code), "_code", averages=averages, counts=counts, metadata=metadata, aliases=aliases, stage=stage
     )
-    tiers = {f"age_over_{t}_pct": f"age_over_{t}_count" for t in measures.AGE_TIERS}
-    shared = measures.add_shares(joined, tiers, _POPULATION)
-    shared = measures.family_shares(shared, "gender", _POPULATION, clipped=True, smallest=measures.SMALL_SHARE)
-    split = {f"{c}_pct": c for c in ("race_white", "race_peopleofcolor")}
-    shared = measures.add_shares(shared, split, _POPULATION)
+    columns = {
+        "age": {f"age_over_{t}_pct": f"age_over_{t}_count" for t in measures.AGE_TIERS},
+        **{family: {f"{c}_pct": c for c in cleaning.with_prefix(counts, family)} for family in shown},
+        "race": {f"{c}_pct": c for c in ("race_white", "race_peopleofcolor")},
+    }
+    shared = joined
+    for family, names in columns.items():
+        limits = {"clipped": family in bounded, "smallest": measures.SMALL_SHARE if family in bounded else None}
+        if family in shown and shown[family] is None:
+            shared = measures.map_shares(shared, family, _POPULATION, f"{family}_pct", **limits)
+        shared = measures.add_shares(shared, names, _POPULATION, **limits)
     facts = [c for c in metadata.columns if c != "Acronym"]
     return cleaning.lower_columns(shared.select(*[c for c in shared.columns if c not in (*facts, "_code")], *facts))
 

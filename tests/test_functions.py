@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,13 +189,56 @@ def test_inside_with_holes_parts_and_borders(spark):
     assert [v for (v,) in got] == [r[3] for r in rows]
 
 
-def test_border_point_belongs_to_one_of_two_neighbours(spark):
+def test_border_point_lies_in_neither_neighbour(spark):
     west, east = [[box(0.0, 0.0, 1.0, 1.0)]], [[box(1.0, 0.0, 2.0, 1.0)]]
     schema = f"a {SHAPE}, b {SHAPE}, x double, y double"
-    ((a, b),) = values(
-        spark, [(west, east, 1.0, 0.5)], schema, geo.inside(geo.edges("a"), "x", "y"), geo.inside(geo.edges("b"), "x", "y")
-    )
-    assert a != b
+    both = geo.inside(geo.edges("a"), "x", "y"), geo.inside(geo.edges("b"), "x", "y")
+    assert values(spark, [(west, east, 1.0, 0.5)], schema, *both) == [(False, False)]
+    assert values(spark, [(west, east, math.nextafter(1.0, 0), 0.5)], schema, *both) == [(True, False)]
+    assert values(spark, [(west, east, None, 0.5)], schema, *both) == [(None, None)]
+
+
+def test_side_is_exact_where_rounding_is_not(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        ax, ay, dx, dy = (rng.uniform(-180, 180) for _ in range(4))
+        t = rng.choice([0.0, 0.25, 0.5, 0.75, 1.0, rng.random()])
+        bx, by = ax + dx, ay + dy
+        x, y = ax + t * (bx - ax), ay + t * (by - ay)  # on the line but for rounding
+        for _ in range(rng.randint(0, 2)):
+            x, y = math.nextafter(x, rng.choice([-math.inf, math.inf])), y
+        rows.append((ax, ay, bx, by, x, y))
+    rows += [(0.1, 0.1, 0.3, 0.3, 0.2, 0.2), (0.0, 0.0, 3.0, 9.0, 1.0, 3.0), (12.0, 12.0, 24.0, 24.0, 0.5, 0.5)]
+    edge = F.struct("x1", "y1", "x2", "y2")
+    got = values(spark, rows, "x1 double, y1 double, x2 double, y2 double, x double, y double", geo.side(edge, F.col("x"), F.col("y")))
+
+    def want(*v):
+        ax, ay, bx, by, x, y = map(Fraction, v)
+        turn = (ax - x) * (by - y) - (ay - y) * (bx - x)
+        return float((turn > 0) - (turn < 0))
+
+    assert [v for (v,) in got] == [want(*r) for r in rows]
+    assert sum(want(*r) == 0 for r in rows) > 20
+
+
+def test_points_on_any_border_are_outside_by_exact_arithmetic(spark):
+    rng = random.Random(9)
+    rows, expected = [], []
+    for _ in range(150):
+        corners = [[rng.randint(-9, 9) / 8, rng.randint(-9, 9) / 8] for _ in range(rng.randint(3, 7))]
+        x, y = rng.choice([rng.choice(corners), [rng.randint(-9, 9) / 8, rng.randint(-9, 9) / 8]])
+        rows.append(([[[*corners, corners[0]]]], x, y))
+        px, py, odd, border = Fraction(x), Fraction(y), False, False
+        for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]]):
+            ax, ay, bx, by = map(Fraction, (ax, ay, bx, by))
+            turn = (ax - px) * (by - py) - (ay - py) * (bx - px)
+            border |= turn == 0 and min(ax, bx) <= px <= max(ax, bx) and min(ay, by) <= py <= max(ay, by)
+            odd ^= (ay > py) != (by > py) and (turn > 0) == (by > ay)
+        expected.append(odd and not border)
+    got = values(spark, rows, f"g {SHAPE}, x double, y double", geo.inside(geo.edges("g"), "x", "y"))
+    assert [v for (v,) in got] == expected
+    assert 5 < sum(expected) < 130
 
 
 def test_well_known_text(spark):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from exposia.functions import numeric
 from exposia.operators import cleaning, joins, measures, reshape, scaling, spatial
 from exposia.plans import tables
 from test_functions import SHAPE, SQUARE_WITH_HOLE, TWO_PARTS, box
@@ -37,7 +41,7 @@ def gender_panel(spark):
 
 
 def test_published_counts_to_shares(spark, gender_panel):
-    wide = reshape.category_means_wide([reshape.Family(gender_panel, "Gender", "gender")])
+    wide = reshape.category_means_wide([reshape.Family(gender_panel, "Gender", "gender", ["Female", "Male"])])
     assert wide.columns == ["Location", "gender_female", "gender_male"]
     codes = [(c, p) for c, p in POPULATION.items()] + [("ASP", 10.0), ("CIW", None), (None, 5.0)]
     facilities = spark.createDataFrame(codes, "cdcr_code string, people double")
@@ -56,12 +60,29 @@ def test_published_counts_to_shares(spark, gender_panel):
 def test_families_align_and_repeated_names_are_refused(spark, gender_panel):
     race = spark.createDataFrame([("CMF", "White", "3"), ("X", "A/B", "4")], "Location string, Race string, Population string")
     wide = reshape.category_means_wide(
-        [reshape.Family(gender_panel, "Gender", "gender", ["Male"]), reshape.Family(race, "Race", "race")]
+        [reshape.Family(gender_panel, "Gender", "gender", ["Male"]), reshape.Family(race, "Race", "race", ["White", "A/B"])]
     )
     got = {r.Location: (r.gender_male, r.race_white, r.race_a_b) for r in wide.collect()}
     assert got["CMF"] == (1907.0, 3.0, 0.0) and got["X"] == (0.0, 0.0, 4.0) and got["KVSP"] == (0.0, 0.0, 0.0)
     with pytest.raises(ValueError, match="same column name"):
         reshape.category_means_wide([reshape.Family(race, "Race", "race", ["A B", "A/B"])])
+    maps = reshape.category_means_wide([reshape.Family(race, "Race", "race"), reshape.Family(gender_panel, "Gender", "gender", ["Male"])])
+    assert {r.Location: (r.race, r.gender_male) for r in maps.collect()}["X"] == ({"a_b": 4.0}, 0.0)
+    clash = race.union(race.select(F.lit("X"), F.lit("A B"), F.lit("1")))
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        reshape.family_maps([reshape.Family(clash, "Race", "race")]).collect()
+
+
+def test_twenty_thousand_categories(spark):
+    panel = spark.range(60_000).selectExpr("concat('L', id % 2) as Location", "concat('c ', id % 20000) as c", "string(id div 20000) as Population")
+    found = reshape.family_maps([reshape.Family(panel, "c", "f")])
+    sizes = found.select("Location", F.size("f").alias("n"), F.try_element_at("f", F.lit("c_1234")).alias("one"))
+    assert rows(sizes, "Location", "n", "one") == [("L0", 10_000, 1.0), ("L1", 10_000, None)]
+    shares = measures.map_shares(found.withColumn("people", F.lit(2.0)), "f", "people", "f_pct", clipped=True, smallest=0.6)
+    assert rows(shares.select("Location", F.try_element_at("f_pct", F.lit("c_1234")).alias("one")), "Location", "one") == [("L0", 0.0), ("L1", None)]
+    means = reshape.family_means([reshape.Family(panel, "c", "f")])
+    counted = measures.demographic_counts(means, {"f": None})
+    assert rows(counted.select(F.size("f").alias("n")), "n") == [(10_000,), (10_000,)]
 
 
 def test_long_and_wide_measures_agree(spark):
@@ -74,7 +95,7 @@ def test_long_and_wide_measures_agree(spark):
         "gender": [(f"L{rng.randrange(5)}", rng.choice(["Male", "Female"]), "7") for _ in range(50)],
     }
     families = [
-        reshape.Family(spark.createDataFrame(r, "Location string, c string, Population string"), "c", p)
+        reshape.Family(spark.createDataFrame(r, "Location string, c string, Population string"), "c", p, sorted({c for _, c, _ in r}))
         for p, r in panels.items()
     ]
     wide = reshape.category_means_wide(families)
@@ -266,6 +287,49 @@ def test_quantiles_with_hot_values_over_many_ranges(spark):
     assert got == pytest.approx(list(np.quantile(data, probabilities)))
 
 
+def test_images_keep_the_order_of_doubles(spark):
+    rng = random.Random(6)
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, -math.inf]
+    values += [math.ldexp(1.0, e) for e in range(-1074, 1024, 7)] + [math.nextafter(math.ldexp(1.0, e), s * math.inf) for e in range(-1073, 1023, 5) for s in (1, -1)]
+    values += [v for v in (struct.unpack("<d", rng.randbytes(8))[0] for _ in range(5000)) if not math.isnan(v)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None, math.nan])], "i int, v double")
+    got = {r.i: r.image for r in df.select("i", numeric.ordered_image("v").alias("image")).collect()}
+
+    def image(v):
+        size = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        return -size if v < 0 else size
+
+    assert [got[i] for i in range(len(values))] == [image(v) for v in values]
+    assert got[len(values)] is None and got[len(values) + 1] is None
+    assert [numeric.from_ordered_image(got[i]) for i in range(len(values))] == values
+
+
+@pytest.mark.parametrize("small", [1, 50, 10_000])
+@pytest.mark.parametrize("partitions", ["1", "200"])
+def test_radix_selection_finds_every_rank(spark, small, partitions):
+    rng = random.Random(7)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e9), 3.0, -2.5, rng.random() * 1e-300]) for _ in range(900)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = reshape.selected(df.select(numeric.ordered_image("v").alias("image")), range(0, 900, 61), 900, small)
+        summary = reshape.describe(df, "v").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ordered = sorted(values)
+    assert {r: numeric.from_ordered_image(v) for r, v in found.items()} == {r: ordered[r] for r in range(0, 900, 61)}
+    assert [summary[q] for q in ("p25", "p50", "p75")] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])), rel=1e-12)
+
+
+def test_describe_reads_its_frame_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(float(i),) for i in range(300)], "v double")
+    counted = df.mapInPandas(lambda frames: (seen.add(len(f)) or f for f in frames), "v double")
+    assert reshape.describe(counted, "v").first().asDict() == pytest.approx(reshape.describe(df, "v").first().asDict())
+    assert seen.value == 300
+
+
 def test_value_counts_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), (None,)], "v string")
     assert [tuple(r) for r in reshape.value_counts(df, "v").collect()] == [("c", 2), ("a", 1), ("b", 1)]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from catalog.queries import QUERIES
-from exposia import Inputs, build, schemas
+from exposia import Inputs, build, publish, published, schemas
 from exposia.operators import measures
 from exposia.plans import tables
 from exposia.sources.delimited import read_csv
@@ -137,11 +137,34 @@ def test_written_tables_read_back(spark, built):
     text = T.StructType([
         T.StructField(f.name, T.StringType() if f.name == "geometry" else f.dataType) for f in table.schema.fields
     ])
-    back = by_key(read_csv(spark, f"{out}/facilities", text))
+    back = by_key(read_csv(spark, published(spark, out).paths["facilities"], text))
     assert back["10000826"]["geometry"].startswith("MULTIPOLYGON (((-119.5 36.5,")
     assert back["10000826"]["longitude"] == by_key(table)["10000826"]["longitude"]
 
 
+def test_counts_come_with_the_build(spark, built):
+    tables_, out = built
+    assert tables_.counts == {name: table.count() for name, table in tables_.items()}
+    last = published(spark, out)
+    assert (last.run, last.paths, last.counts) == (tables_.run, tables_.paths, tables_.counts)
+
+
+def test_a_broken_run_publishes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    good, bad = spark.range(5), spark.range(9).select(F.assert_true(F.col("id") < 4).alias("x"), "id")
+    with pytest.raises(Exception):
+        publish(spark, {"first": good, "second": bad}, out)
+    with pytest.raises(Exception):
+        published(spark, out)
+    one = publish(spark, {"first": good, "second": good}, out)
+    with pytest.raises(Exception):
+        publish(spark, {"first": spark.range(7), "second": bad}, out)
+    assert published(spark, out).run == one.run and published(spark, out).counts == {"first": 5, "second": 5}
+    two = publish(spark, {"first": spark.range(7)}, out)
+    assert published(spark, out).run == two.run
+    assert read_csv(spark, published(spark, out).paths["first"], spark.range(0).schema).count() == 7
+
+
 def test_sentinels_of_hazard_layers_are_optional(spark):
     heat = spark.createDataFrame([("1", *[float(i)] * 6) for i in (1, 2)] + [("1", *[3.0] * 6)], schemas.HEAT_DAYS)
     screen = spark.createDataFrame([("1", -999.0, -999.0, 4.0, 6.0)], schemas.SCREENING_PROPERTIES)
