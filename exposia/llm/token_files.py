@@ -137,7 +137,7 @@ def load(path: str) -> WordEncoder:
 def _write(folder: str, vocabulary: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load(vocabulary)
-        path, sizes, ids, total = new_name(folder, "ids", ".bin"), [], [], 0
+        path, sizes, ids, unnamed, total = new_name(folder, "ids", ".bin"), [], [], 0, 0
         shard = TaskContext.get().partitionId()
         with writer(path) as out:
             out.write(_MAGIC)
@@ -145,13 +145,16 @@ def _write(folder: str, vocabulary: str):
                 tokens, count = encode(batch.column("text"))
                 out.write(tokens.astype(tokens.dtype.newbyteorder("<")).tobytes())
                 sizes.append(count)
-                ids.append(np.asarray(batch.column("doc_id"), np.int64))
+                ids.append(np.asarray(batch.column("doc_id").drop_null(), np.int64))
+                unnamed += batch.column("doc_id").null_count  # these come last
                 total += len(tokens)
             if not ids:
                 return
             ids = np.concatenate(ids)
+            named = len(ids)
+            ids = np.concatenate([ids, np.full(unnamed, ids[-1] if named else 0)])
             ends = EliasFano.of(np.cumsum(np.concatenate(sizes)))
-            head = {"width": 4 if encode.wide else 2, "n_ids": total, "least_id": int(ids[0])}
+            head = {"width": 4 if encode.wide else 2, "n_ids": total, "least_id": int(ids[0]), "named": named}
             head |= {"ends": ends.save(out), "docs": EliasFano.of(ids - ids[0]).save(out)}
             foot = json.dumps(head).encode()
             out.write(foot + len(foot).to_bytes(8, "little") + _MAGIC)
@@ -175,7 +178,7 @@ class Shard:
         at = 8 + head["n_ids"] * head["width"]
         self.ends = EliasFano.load(self.file, at, head["ends"])
         self.ids = EliasFano.load(self.file, at + sum(head["ends"]["bytes"]), head["docs"])
-        self.least_id = head["least_id"]
+        self.least_id, self.named = head["least_id"], head["named"]
 
     def bounds(self, first: int, last: int) -> np.ndarray:
         """Where documents first to last - 1 start, and where the last of them ends."""
@@ -187,8 +190,8 @@ class Shard:
         raw = self.file.read_at((stop - start) * self.type.itemsize, 8 + start * self.type.itemsize)
         return np.frombuffer(raw, self.type)
 
-    def doc_ids(self, first: int, last: int) -> np.ndarray:
-        return self.ids.select(first, last) + self.least_id
+    def doc_ids(self, first: int, last: int) -> pa.Array:
+        return pa.array(self.ids.select(first, last) + self.least_id, mask=np.arange(first, last) >= self.named)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,22 +204,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = shard.bounds(first, last)
                 raw = shard.tokens(int(at[0]), int(at[-1])).astype("<u4")
                 crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(at[:-1] - at[0], at[1:] - at[0])]
-                columns = [shard.doc_ids(first, last), base + at[:-1], np.diff(at), np.array(crc, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = [base + at[:-1], np.diff(at), np.array(crc, np.int64)]
+                arrays = [shard.doc_ids(first, last), *map(pa.array, columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
     """Write the ids of all texts in ascending doc_id; returns ``path, n_docs, n_ids, base`` by shard.
 
     ``base`` counts the ids of the shards before. A null or empty text is its end id alone. Rows with
-    equal doc_id each count, ordered by a hash of their text; a null doc_id is an error. An empty
-    table writes no shard. Other columns are ignored.
+    equal doc_id each count, ordered by a hash of their text; those without doc_id come after all
+    others, and a shard notes where they begin. An empty table writes no shard. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    known = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.col("doc_id"))
-    rows = docs.select(known.cast("long").alias("doc_id"), "text").withColumn("_mark", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "_mark").sortWithinPartitions("doc_id", "_mark")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_mark", F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_last(), F.col("_mark").asc()
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     shards = rows.select("doc_id", "text").mapInArrow(_write(folder, vocabulary), "shard long, path string, n_docs long, n_ids long")
     shards = materialize(shards, "shards")  # one row per task
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

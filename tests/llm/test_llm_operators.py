@@ -301,6 +301,16 @@ def test_token_files_match_the_tokenizer(spark, docs):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
+def test_token_files_of_rows_without_doc_id(spark):
+    texts = [(i if i % 3 else None, f"text number {i}") for i in range(400)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(rows(read_documents(write_tokens(frame, WORDS))), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(i for i, _ in texts if i) + [None] * 134
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    alone = frame.filter("doc_id is null")
+    assert sorted(r["ids_crc32"] for r in rows(read_documents(write_tokens(alone, WORDS)))) == sorted(r["ids_crc32"] for r in got[-134:])
+
+
 def test_token_files_of_odd_rows(odd, none):
     got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in rows(read_documents(write_tokens(odd, WORDS))))
     assert len(got) == 12 and [n for _, i, n in got if i in (3, 4, 5)] == [1, 1, 1]
