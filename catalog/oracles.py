@@ -458,6 +458,9 @@ select facilityid, round(longitude, 8) as longitude,
 from point""",
     "q24_point_in_polygon": f"""
 with {using('point', 'tract')}, located as ({LOCATED})
+select facilityid, l.geoid as "GEOID" from point left join located l using (facilityid)""",
+    "q24_parquet_layer": f"""
+with {using('point', 'tract')}, located as ({LOCATED})
 select facilityid, l.geoid as "GEOID" from point left join located l using (facilityid)""",
     "q24_points_on_borders": f"""
 with {using('point', 'tract')}, located as ({LOCATED})
@@ -506,6 +509,18 @@ select 'S' || l_suppkey as "Location", case when l_linestatus = 'F' then 'Female
 from lineitem group by all""",
     "q31_hazard_csv": f"""
 with {using('heat', 'screen')}, {HAZARD} select geoid, {HAZARD_COLUMNS} from hazard""",
+    "q31_csv_quarantine": """
+with bad as (
+  select case when l_orderkey % 37 = 0 then l_quantity::varchar || ',x,' || l_linenumber || ',' || l_orderkey || ',more'
+      when l_orderkey % 41 = 0 then l_quantity::varchar || ',x,' || l_linenumber
+      else 'dozen,"a, b",' || l_linenumber || ',' || l_orderkey end as record,
+    case when l_orderkey % 37 = 0 or l_orderkey % 41 = 0 then 'wrong number of cells'
+      else 'not double in l_quantity: dozen' end as problem
+  from lineitem where l_orderkey % 37 = 0 or l_orderkey % 41 = 0 or l_orderkey % 43 = 0)
+select l_orderkey, l_linenumber, case when l_orderkey % 47 <> 0 then l_quantity end as l_quantity,
+  1::bigint as rows, null::varchar as record, null::varchar as problem
+from lineitem where l_orderkey % 37 <> 0 and l_orderkey % 41 <> 0 and l_orderkey % 43 <> 0
+union all select null, null, null, count(*), record, problem from bad group by record, problem""",
     "q32_geojson_scan": LAYER,
     "q32_geojson_collection": LAYER,
     "q32_geojson_attributes": SCREENED,

@@ -12,8 +12,9 @@ from exposia import schemas
 from exposia.functions import geometry as geo, numeric, text
 from exposia.operators import cleaning, joins, measures, reshape, scaling, spatial
 from exposia.plans import tables
-from exposia.sources.delimited import read_csv, write_csv
+from exposia.sources.delimited import accepted, quarantined, read_csv, read_csv_by_name, write_csv
 from exposia.sources.geojson import feature_collections, feature_lines, read_geojson
+from exposia.sources.layers import read_layer, write_layer
 from exposia.sources.staging import materialize, scratch_path
 
 POPULATION = "average_2025_population"
@@ -294,6 +295,14 @@ def points_on_borders(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("facilityid", "place", "GEOID")
 
 
+def parquet_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions from a layer written along a curve, read only where the points are."""
+    path = scratch_path(spark, "layer")
+    write_layer(st.tracts(spark, sf).drop("p_partkey"), path)
+    placed = spatial.assign_region(st.customers(spark, sf), read_layer(spark, path), cell=st.CELL, result="GEOID", region_id="GEOID")
+    return placed.select("facilityid", "GEOID")
+
+
 def lookup_back(spark: SparkSession, sf: str) -> DataFrame:
     placed = spatial.assign_region(
         st.customers(spark, sf), st.overlapping_tracts(spark, sf), cell=st.CELL
@@ -390,6 +399,18 @@ def _outlined(layer: DataFrame) -> DataFrame:
     )
 
 
+def csv_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Good rows, and as text with their problem those with a cell too many, too few, or of the wrong kind."""
+    lines = st.table(spark, sf, "lineitem").selectExpr(f"{st.LINE} as `{st.LINE_HEADER}`")
+    path = scratch_path(spark, "lines")
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "\x02").csv(path)
+    schema = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()), T.StructField("l_quantity", T.DoubleType())])
+    rows = materialize(read_csv_by_name(spark, path, schema), "lines")
+    bad = quarantined(rows).groupBy("record", "problem").agg(F.count(F.lit(1)).alias("rows"))
+    good = accepted(rows).withColumn("rows", F.lit(1).cast("long"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def hazard_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The hazard table written and read back; its key keeps its leading zero."""
     table, path = heat_air_hazard_table(spark, sf), scratch_path(spark, "hazard")
@@ -540,6 +561,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q23_hole_centroid": hole_centroid,
     "q23_footprint_centre": footprint_centre,
     "q24_point_in_polygon": point_in_polygon,
+    "q24_parquet_layer": parquet_layer,
     "q24_points_on_borders": points_on_borders,
     "q25_lookup_back": lookup_back,
     "q26_wkt": wkt,
@@ -550,6 +572,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q31_csv_roundtrip": csv_roundtrip,
     "q31_panel_csv_scan": panel_csv_scan,
     "q31_hazard_csv": hazard_csv,
+    "q31_csv_quarantine": csv_quarantine,
     "q32_geojson_scan": geojson_scan,
     "q32_geojson_collection": geojson_collection,
     "q32_geojson_attributes": geojson_attributes,

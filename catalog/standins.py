@@ -228,6 +228,15 @@ case when l_orderkey % 11 = 0 then '(Blank)' when l_orderkey % 13 = 0 then '*'
   else concat({_NUMBER}, ' ') end"""
 
 
+# A line item as a line of text: some have a cell too many, some too few, some a word for a number.
+LINE_HEADER = "l_quantity,note,l_linenumber,l_orderkey"
+LINE = """
+case when l_orderkey % 37 = 0 then concat(string(l_quantity), ',x,', l_linenumber, ',', l_orderkey, ',more')
+  when l_orderkey % 41 = 0 then concat(string(l_quantity), ',x,', l_linenumber)
+  when l_orderkey % 43 = 0 then concat('dozen,"a, b",', l_linenumber, ',', l_orderkey)
+  else concat(if(l_orderkey % 47 = 0, 'n/a', string(l_quantity)), ',"a, b",', l_linenumber, ',', l_orderkey) end"""
+
+
 def _one_of(values: tuple[str, ...], index: str) -> str:
     return f"array({', '.join(repr(v) for v in values)})[{index}]"
 

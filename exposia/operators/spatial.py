@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from exposia.functions import geometry as geo
 from exposia.operators.joins import broadcast_limit, left_lookup, lookup_back
+from exposia.sources.layers import BOX, extent_of, within_extent
 from exposia.sources.staging import materialize
 
 # Room around a cell within which edges are kept, in cells; covers rounding of the cell number.
@@ -159,11 +160,18 @@ def assign_region(
     Only key and coordinates travel to the regions and the found id is written back by key. Where
     regions overlap the smallest id wins. ``stage`` writes the rows before, so that what they come
     from is evaluated once. ``disjoint`` states that regions do not overlap, as census tracts: then
-    the join itself gives one row each and nothing needs to be written back.
+    the join itself gives one row each and nothing needs to be written back. Regions with box columns
+    (see :mod:`exposia.sources.layers`) are read only where the points are.
     """
+    boxed = set(BOX) <= set(regions.columns)
+    if stage and (boxed or not disjoint):
+        df = stage(df)
+    if boxed:
+        if geo.same_crs(options.get("points_crs", geo.WGS84), options.get("regions_crs", geo.WGS84)):
+            regions = within_extent(regions, extent_of(df, x, y))
+        regions = regions.drop(*BOX)
     if disjoint:
         joined = join_regions(df, regions, region_id=region_id, x=x, y=y, **options)
         return joined.withColumnRenamed(region_id, result)
-    df = stage(df) if stage else df
     found = join_regions(df.select(key, x, y), regions, region_id=region_id, x=x, y=y, **options)
     return lookup_back(df, found.dropna(subset=[region_id]), key, region_id, result)

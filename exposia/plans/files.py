@@ -14,6 +14,7 @@ from exposia.operators.cleaning import observed
 from exposia.plans import tables
 from exposia.sources.delimited import read_csv, write_csv
 from exposia.sources.geojson import read_geojson
+from exposia.sources.layers import BOX, read_layer
 from exposia.sources.staging import materialize
 
 
@@ -83,28 +84,34 @@ def build(
     inputs: Inputs,
     output: str,
     *,
-    layout: str = "collection",
+    layout: str | Mapping[str, str] = "collection",
     boundary_properties: T.StructType = schemas.BOUNDARY_PROPERTIES,
     facility_options: Mapping[str, object] | None = None,
     state_options: Mapping[str, object] | None = None,
 ) -> Published:
     """Build all tables, write each as CSV under ``output`` and publish them together.
 
-    ``layout`` is that of the three GeoJSON layers. The facility, state and hazard tables are stored once as
+    ``layout`` is that of the three layers, or one by name (``boundaries``, ``tracts``, ``screening``): a
+    GeoJSON layout, or ``parquet`` for a layer written by :func:`exposia.sources.layers.write_layer`. The facility, state and hazard tables are stored once as
     parquet and feed the others; geometry becomes text only in the CSV. Returns the tables by name, with
     the folder and the number of rows of each.
     """
 
-    def layer(path: str, properties: T.StructType, geometry: bool = True) -> DataFrame:
-        return read_geojson(spark, path, properties, layout=layout, geometry=geometry)
+    def layer(name: str, properties: T.StructType, geometry: bool = True) -> DataFrame:
+        path = getattr(inputs, name)
+        kind = layout if isinstance(layout, str) else layout.get(name, "collection")
+        if kind == "parquet":
+            boxes = BOX if name == "tracts" else ()  # what the region join prunes by
+            return read_layer(spark, path).select(*properties.names, *(["geometry"] if geometry else []), *boxes)
+        return read_geojson(spark, path, properties, layout=kind, geometry=geometry)
 
     def panel(path: str, category: str) -> DataFrame:
         return read_csv(spark, path, schemas.panel(category))
 
     facilities = materialize(
         tables.facilities(
-            layer(inputs.boundaries, boundary_properties),
-            layer(inputs.tracts, schemas.TRACT_PROPERTIES),
+            layer("boundaries", boundary_properties),
+            layer("tracts", schemas.TRACT_PROPERTIES),
             **(facility_options or {}),
         ),
         "facilities",
@@ -122,7 +129,7 @@ def build(
     )
     hazard = tables.heat_air_hazard(
         read_csv(spark, inputs.heat_days, schemas.HEAT_DAYS),
-        layer(inputs.screening, schemas.SCREENING_PROPERTIES, geometry=False),
+        layer("screening", schemas.SCREENING_PROPERTIES, geometry=False),
     )
     # Both feed several tables below.
     state, hazard = materialize(state, "state"), materialize(hazard, "hazard")

@@ -63,6 +63,72 @@ def read_csv(
     return frame.withColumns(cleaned)
 
 
+_FILE, _RECORD, _PROBLEM = "_file", "_record", "_problem"
+
+
+def read_csv_by_name(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    *,
+    multi_line: bool = False,
+    missing: Sequence[str] = MISSING_TEXT,
+) -> DataFrame:
+    """Read CSV files whose header holds the columns of ``schema`` in any order, with any others.
+
+    Rows that do not fit come too: ``_problem`` tells what is wrong (too many or too few cells, or a
+    cell that is not of its type), ``_record`` the row as text and ``_file`` where it stands; all three
+    are NULL in good rows. See :func:`accepted` and :func:`quarantined`. A column that the header lacks
+    or repeats is an error, and so is a file with another header than the first.
+    """
+
+    def reader(header: bool):
+        options = spark.read.option("header", header).option("multiLine", multi_line)
+        return options.option("quote", '"').option("escape", '"').option("enforceSchema", False)
+
+    names = reader(True).option("inferSchema", False).csv(path).columns  # reads one header
+    absent = [f.name for f in schema.fields if f.name not in names]
+    if absent:
+        raise ValueError(f"columns not in the header once: {absent}")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
+    # cells are only counted in rows that are read whole
+    rows = reader(True).schema(text).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RECORD).csv(path)
+
+    columns, problems = [], [F.when(F.col(_RECORD).isNotNull(), F.lit("wrong number of cells"))]
+    for f in schema.fields:
+        cell = F.col(f"`{f.name}`")
+        cell = F.when(~cell.isin(*missing), cell) if missing else cell
+        if isinstance(f.dataType, T.StringType):
+            columns.append(cell.alias(f.name))
+            continue
+        trimmed = F.trim(cell)
+        value = trimmed.try_cast(f.dataType)
+        unfit = trimmed.isNotNull() & (trimmed != "") & value.isNull()
+        message = F.concat(F.lit(f"not {f.dataType.simpleString()} in {f.name}: "), cell)
+        problems.append(F.when(F.col(_RECORD).isNull() & unfit, message))
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            value = nan_to_null(value).cast(f.dataType)
+        columns.append(value.alias(f.name))
+    problem = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
+    record = F.coalesce(F.col(_RECORD), F.to_csv(F.struct(*[f"`{n}`" for n in names])))
+    read = rows.select(
+        *columns, problem.alias(_PROBLEM), record.alias(_RECORD), F.col("_metadata.file_path").alias(_FILE)
+    )
+    told = F.col(_PROBLEM).isNotNull()
+    return read.withColumns({c: F.when(told, F.col(c)) for c in (_RECORD, _FILE)})
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """The good rows of :func:`read_csv_by_name`."""
+    return rows.filter(F.col(_PROBLEM).isNull()).drop(_PROBLEM, _RECORD, _FILE)
+
+
+def quarantined(rows: DataFrame) -> DataFrame:
+    """The other rows as ``file, record, problem``."""
+    bad = rows.filter(F.col(_PROBLEM).isNotNull())
+    return bad.select(F.col(_FILE).alias("file"), F.col(_RECORD).alias("record"), F.col(_PROBLEM).alias("problem"))
+
+
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Write CSV part files with a header; flags become ``True``/``False`` and missing is empty."""
     complex_types = (T.ArrayType, T.MapType, T.StructType)

@@ -12,6 +12,8 @@ from exposia import Inputs, build, publish, published, schemas
 from exposia.operators import measures
 from exposia.plans import tables
 from exposia.sources.delimited import read_csv
+from exposia.sources.geojson import read_geojson
+from exposia.sources.layers import write_layer
 from test_functions import box
 
 SF = "/root/testdata/sf0.001"
@@ -64,7 +66,7 @@ FILES = {
 
 
 @pytest.fixture(scope="module")
-def built(spark, tmp_path_factory):
+def inputs(tmp_path_factory):
     folder = tmp_path_factory.mktemp("inputs")
     paths = {}
     for name, content in FILES.items():
@@ -74,8 +76,13 @@ def built(spark, tmp_path_factory):
     for name, features in layers.items():
         paths[name] = str(folder / f"{name}.geojson")
         (folder / f"{name}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
-    out = str(folder / "out")
-    return build(spark, Inputs(**paths), out), out
+    return paths
+
+
+@pytest.fixture(scope="module")
+def built(spark, inputs, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("built") / "out")
+    return build(spark, Inputs(**inputs), out), out
 
 
 def by_key(df, key="facilityid"):
@@ -142,6 +149,19 @@ def test_written_tables_read_back(spark, built):
     assert back["10000826"]["longitude"] == by_key(table)["10000826"]["longitude"]
 
 
+def test_layers_as_parquet_give_the_same_tables(spark, built, tmp_path, inputs):
+    properties = {"boundaries": schemas.BOUNDARY_PROPERTIES, "tracts": schemas.TRACT_PROPERTIES, "screening": schemas.SCREENING_PROPERTIES}
+    paths = dict(inputs)
+    for name, kind in properties.items():
+        paths[name] = str(tmp_path / name)
+        write_layer(read_geojson(spark, inputs[name], kind), paths[name])
+    again = build(spark, Inputs(**paths), str(tmp_path / "out"), layout="parquet")
+    assert again.counts == built[0].counts
+    for name in ("facilities", "facility_exposure", "heat_air_hazard"):
+        left, right = (sorted(map(repr, t[name].collect())) for t in (again, built[0]))
+        assert left == right
+
+
 def test_counts_come_with_the_build(spark, built):
     tables_, out = built
     assert tables_.counts == {name: table.count() for name, table in tables_.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from exposia import schemas
 from exposia.functions import geometry as geo
-from exposia.sources.delimited import read_csv, write_csv
+from exposia.sources.delimited import accepted, quarantined, read_csv, read_csv_by_name, write_csv
 from exposia.sources.geojson import feature_lines, read_geojson
 from exposia.sources.staging import materialize, scratch_path
 
@@ -52,6 +52,31 @@ def test_panel_counts_stay_text(spark, tmp_path, multi_line):
     assert {r.Year for r in got.collect()} == {2025}
 
 
+def test_columns_by_name_with_quarantine(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("f", T.BooleanType())])
+    lines = ["v,extra,f,a,n", '1.5,x,true,"q ""z""",7', "NaN,,,NA,", "1,2,3,4", "1,x,true,b,7,8", "oops,x,maybe,c,1e3", '2, y ,False," s ",-1']
+    path = write(tmp_path, "n.csv", CRLF.join(lines))
+    rows = read_csv_by_name(spark, path, schema)
+    assert sorted(map(tuple, accepted(rows).collect()), key=repr) == sorted([('q "z"', 7, 1.5, True), (None, None, None, None), (" s ", -1, 2.0, False)], key=repr)
+    bad = {r.record: r.problem for r in quarantined(rows).collect()}
+    assert bad == {
+        "1,2,3,4": "wrong number of cells",
+        "1,x,true,b,7,8": "wrong number of cells",
+        "oops,x,maybe,c,1e3": "not bigint in n: 1e3; not double in v: oops; not boolean in f: maybe",
+    }
+    assert all(r.file.endswith("n.csv") for r in quarantined(rows).collect())
+    assert accepted(rows).count() == 3 and accepted(rows).select("a").count() == 3 and quarantined(rows).count() == 3
+    for header in ("v,f,a", "v,n,n,f,a"):
+        with pytest.raises(ValueError, match="'n'"):
+            read_csv_by_name(spark, write(tmp_path, "h.csv", f"{header}\n"), schema)
+    folder = tmp_path / "two"
+    folder.mkdir()
+    write(folder, "1.csv", "a,n,v,f\nx,1,2,true\n")
+    write(folder, "2.csv", "n,a,v,f\n1,x,2,true\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_by_name(spark, str(folder), schema).collect()
+
+
 def test_header_that_disagrees_with_the_schema_fails(spark, tmp_path):
     path = write(tmp_path, "h.csv", "Facility_Code,Facility_Name,Average_2025_Population\nASP,Avenal,1\n")
     with pytest.raises(Exception, match="(?i)header"):
