@@ -91,3 +91,42 @@ reach as (select id as a, id as b from classes union select reach.a, links.b fro
 least as (select a as id, min(b) as component from reach group by a)
 select doc_id, len(sets.s)::bigint as n_shingles, coalesce(component, doc_id) as component_id
 from sets left join classes on sets.s = classes.s and len(sets.s) > 0 left join least using (id)"""
+
+
+# Windows of 100 bytes as hex; all but the first occurrence of a window are removed, in runs that touch.
+REPEATS = """
+with docs as (select doc_id, hex(coalesce(text, '')) as h from documents),
+windows as (
+  select doc_id, unnest(range(length(h) // 2 - 99)) as i, h from docs where length(h) >= 200),
+named as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) as w from windows),
+later as (
+  select doc_id, i, row_number() over (partition by w order by doc_id, i) as nth from named qualify nth > 1),
+marked as (
+  select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end as fresh from later),
+numbered as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from marked),
+runs as (select doc_id, min(i) as s, max(i) + 100 as e from numbered group by doc_id, run),
+edges as (
+  select doc_id, s, coalesce(lag(e) over (partition by doc_id order by s), 0) as before from runs
+  union all
+  select doc_id, length(h) // 2, coalesce((select max(e) from runs r where r.doc_id = docs.doc_id), 0) from docs),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' order by s, before) as k
+  from edges join docs using (doc_id) group by doc_id),
+removed as (select doc_id, sum(e - s) as n, count(*) as spans from runs group by doc_id)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed,
+  coalesce(spans, 0)::bigint as n_spans, sha256(unhex(k)) as kept_sha256
+from docs join kept using (doc_id) left join removed using (doc_id)"""
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(d, {5 * group + 1}, 5))::int >> {shift}) & 31) + 1, 1)"
+    for group in range(8)
+    for shift in (15, 10, 5, 0)
+)
+CAPTURES = f"""
+with payloads as (select page_id, coalesce(html, '') as p, max(page_id) over (partition by coalesce(html, '')) as last from pages),
+digests as (select *, sha1(p) as d from payloads)
+select page_id, strlen(p)::bigint as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id = last then 'response' else 'revisit' end as record_type,
+  case when page_id <> last then last end as refers_to
+from digests"""

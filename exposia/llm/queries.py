@@ -120,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 )}
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": oracles.JACCARD,
+    "op3_suffix_dedup": oracles.REPEATS,
+    "op7_warc": oracles.CAPTURES,
     "op11_importance_sample": oracles.IMPORTANCE,
     "op12_lexical_search": oracles.SEARCH,
 }

@@ -229,5 +229,5 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None) ->
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
-    each = shards.select("path", "base", "n_docs").repartition("path")
+    each = shards.select("path", "base", "n_docs").repartition(max(1, shards.count()), "path")  # rows are small, files are not
     return each.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -26,6 +26,7 @@ from exposia.sources.staging import materialize, scratch_path
 DATE = "1970-01-01T00:00:00Z"
 BLOCK_LINES = 512
 LEAST_REVISIT = 0
+READ_ROWS = 8192  # captures read by a task
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -231,9 +232,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
 
 def read_captures(index: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of the captures of ``pages``
-    (page_id, url), each found through the index. Names of index files, one per task, are collected."""
+    (page_id, url), each found through the index. Names of index files, one per task, are collected.
+
+    The keys are small but what they lead to is not, so they are dealt to tasks by number.
+    """
     shards = sorted(((r["path"], r["first"], r["last"]) for r in index.collect()), key=lambda s: s[1].encode())
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(_keys, "key string").distinct()
-    keys = keys.repartitionByRange("key").sortWithinPartitions("key")
+    keys = keys.repartitionByRange(1 + pages.count() // READ_ROWS, "key").sortWithinPartitions("key")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return keys.mapInArrow(_look_up(shards), schema)

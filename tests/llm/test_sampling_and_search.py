@@ -71,7 +71,7 @@ def got(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op11_importance_sample", "op12_lexical_search"])
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op7_warc", "op11_importance_sample", "op12_lexical_search"])
 def test_query_equals_its_sql(spark, name):
     assert difference(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLES[name]) == ""
 
