@@ -14,6 +14,9 @@ from exposia.sources.staging import materialize
 # Room around a cell within which edges are kept, in cells; covers rounding of the cell number.
 _SLACK = 0.01
 _EDGE_BYTES = 48
+_AT_BORDER, _INNER, _OUTER = 0, 1, 2
+# Cells of one region above which its rows of cells are dealt to all tasks.
+SPREAD_CELLS = 10_000
 
 
 def with_centroid(
@@ -42,12 +45,15 @@ def region_outlines(regions: DataFrame, region_id: str, geometry: str = "geometr
     return outlined.withColumn("_box", geo.bounds("_edges"))
 
 
-def region_cells(outlines: DataFrame, region_id: str, cell: float) -> DataFrame:
-    """One row per region and grid cell it may cover, with the edges a ray from that cell can meet.
+def region_cells(outlines: DataFrame, region_id: str, cell: float, *, spread: bool = False) -> DataFrame:
+    """One row per region and grid cell that it touches: inner cells without edges, border cells with
+    the edges a ray from that cell can meet.
 
-    Regions are cut into rows of cells first, then into cells. Edges outside the row or left of the
-    cell are dropped, so large outlines are not repeated whole, and a row of cells ends where its
-    last edge does. Any number of cells per region is possible.
+    Regions are cut into rows of cells first, then into cells. A row keeps the edges that reach it. A
+    cell that no edge comes near lies within or outside as a whole: it is kept as an inner cell
+    (``_inner``) or goes. Only border cells carry edges, those not left of them, so the inside of a
+    large outline costs a few bytes a cell. Any number of cells per region is possible; with
+    ``spread`` the rows of cells are dealt to all tasks, whichever region they are of.
 
     The outer form of ``explode`` keeps the optimizer from testing the generated arrays in a filter
     of their own, which would compute the edges again.
@@ -69,16 +75,25 @@ def region_cells(outlines: DataFrame, region_id: str, cell: float) -> DataFrame:
             & (F.least(e["y1"], e["y2"]) <= high),
         ),
     )
+    rows = rows.repartition(region_id, "_cell_y") if spread else rows
     starts, ends = F.col("_edges.x1"), F.col("_edges.x2")
     leftmost = F.least(F.array_min(starts), F.array_min(ends))
     rightmost = F.greatest(F.array_max(starts), F.array_max(ends))
     cells = rows.withColumn(
         "_cell_x",
         F.explode_outer(F.sequence(F.floor(leftmost / size), F.floor(rightmost / size))),
+    ).filter(F.col("_cell_x").isNotNull())
+    left, right = (F.col("_cell_x") - _SLACK) * size, (F.col("_cell_x") + 1 + _SLACK) * size
+    border = F.exists(
+        "_edges", lambda e: (F.least(e["x1"], e["x2"]) <= right) & (F.greatest(e["x1"], e["x2"]) >= left)
     )
-    left = (F.col("_cell_x") - _SLACK) * size
-    return cells.filter(F.col("_cell_x").isNotNull()).withColumn(
-        "_edges", F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
+    centre = geo.inside("_edges", (F.col("_cell_x") + 0.5) * size, (F.col("_cell_y") + 0.5) * size)
+    place = F.when(border, F.lit(_AT_BORDER)).when(centre, F.lit(_INNER)).otherwise(F.lit(_OUTER))
+    reached = F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
+    cells = cells.withColumn("_place", place).filter(F.col("_place") != _OUTER)
+    inner = F.col("_place") == _INNER
+    return cells.select(
+        region_id, "_cell_x", "_cell_y", inner.alias("_inner"), F.when(~inner, reached).alias("_edges")
     )
 
 
@@ -89,15 +104,16 @@ def default_cell(crs: str | None) -> float:
     return 5_000.0 if crs == geo.WEB_MERCATOR else 0.05
 
 
-def _cells_fit(outlines: DataFrame, cell: float) -> bool:
-    """Whether the cells surely fit the broadcast threshold, from an upper bound of their size."""
+def _measured(outlines: DataFrame, cell: float) -> tuple[bool, bool]:
+    """Whether the cells surely fit the broadcast threshold, from an upper bound of their size, and
+    whether a single region has very many."""
 
     def span(low: str, high: str):
         return F.floor(F.col(f"_box.{high}") / cell) - F.floor(F.col(f"_box.{low}") / cell) + 1
 
     cells = span("xmin", "xmax").cast("double") * span("ymin", "ymax")
-    most = outlines.agg(F.sum(cells * (F.size("_edges") + 1) * _EDGE_BYTES)).first()[0]
-    return most is None or most <= broadcast_limit(outlines)
+    most, largest = outlines.agg(F.sum(cells * (F.size("_edges") + 1) * _EDGE_BYTES), F.max(cells)).first()
+    return most is None or most <= broadcast_limit(outlines), largest is not None and largest > SPREAD_CELLS
 
 
 def join_regions(
@@ -125,10 +141,11 @@ def join_regions(
         regions = regions.withColumn(geometry, geo.project(geometry, regions_crs, points_crs))
     cell = default_cell(points_crs) if cell is None else cell
     outlines = region_outlines(regions, region_id, geometry)
+    spread = False
     if small is None:
         outlines = materialize(outlines, "outlines")
-        small = _cells_fit(outlines, cell)
-    cells = region_cells(outlines, region_id, cell)
+        small, spread = _measured(outlines, cell)
+    cells = region_cells(outlines, region_id, cell, spread=spread)
     located = points.withColumns(
         {"_point_cell_x": F.floor(F.col(x) / cell), "_point_cell_y": F.floor(F.col(y) / cell)}
     )
@@ -136,10 +153,10 @@ def join_regions(
         located,
         cells,
         [("_point_cell_x", "_cell_x"), ("_point_cell_y", "_cell_y")],
-        condition=geo.inside("_edges", x, y),
+        condition=F.col("_inner") | geo.inside("_edges", x, y),
         small=small,
     )
-    return joined.drop("_point_cell_x", "_point_cell_y", "_edges")
+    return joined.drop("_point_cell_x", "_point_cell_y", "_inner", "_edges")
 
 
 def assign_region(

@@ -400,6 +400,68 @@ def test_regions_without_adaptive_execution(spark, monkeypatch):
     assert {i for i, _ in found} == {p[0] for p in points}
 
 
+@pytest.fixture(scope="module")
+def country(spark):
+    """A jagged outline of 3,000 edges that covers about 40,000 cells, with a lake in it."""
+    rng = random.Random(12)
+    turn = [2 * math.pi * k / 3000 for k in range(3000)]
+    outline = [[r * math.cos(t), r * math.sin(t)] for t in turn for r in [100 + rng.random()]]
+    lake = [[30 + 20 * math.cos(t), 20 * math.sin(t)] for t in turn[::50]]
+    shape = [[[*outline, outline[0]], [*lake, lake[0]]]]
+    return spark.createDataFrame([("land", shape), ("farm", [[box(-5.0, -5.0, 5.0, 5.0)]])], f"rid string, geometry {SHAPE}"), shape
+
+
+def test_inner_cells_carry_no_edges(spark, country):
+    regions, shape = country
+    outlines = spatial.region_outlines(regions.filter("rid = 'land'"), "rid")
+    cells = spatial.region_cells(outlines, "rid", 1.0, spread=True)
+    inner, border = (cells.filter(t).agg(F.count(F.lit(1)), F.sum(F.size("_edges"))).first() for t in ("_inner", "not _inner"))
+    assert inner[0] > 25_000 and inner[1] is None
+    assert 700 < border[0] < 4000 and border[1] < 300_000
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = spatial.region_cells(outlines, "rid", 1.0, spread=True).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < inner[0] / 3
+
+
+def test_a_large_outline_and_a_crowded_cell(spark, country):
+    regions, shape = country
+    rng = random.Random(13)
+    points = [(i, rng.uniform(-110, 110), rng.uniform(-110, 110)) for i in range(2000)]
+    points += [(5000 + i, 30 + 20.5 * math.cos(i), 20.5 * math.sin(i)) for i in range(500)]
+    points += [(9000 + i, 2 + rng.random(), 3 + rng.random()) for i in range(1300)]  # a third in one cell
+    left = spark.createDataFrame(points, "id int, longitude double, latitude double")
+
+    def within(px, py, rings):
+        odd = False
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+                if (y1 > py) != (y2 > py) and px < x1 + (x2 - x1) * (py - y1) / (y2 - y1):
+                    odd = not odd
+        return odd
+
+    want = {(i, "land") for i, x, y in points if within(x, y, shape[0])} | {(i, "farm") for i, x, y in points if abs(x) < 5 and abs(y) < 5}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    defaults = joins.salted_left_join.__kwdefaults__
+    joins.salted_left_join.__kwdefaults__ = {"condition": None, "max_hot": 100, "min_rows": 50}
+    try:
+        joined = spatial.join_regions(left, regions, region_id="rid", cell=1.0)
+        assert {(r.id, r.rid) for r in joined.collect() if r.rid} == want
+        crowded = joined.filter("id >= 9000").groupBy(F.spark_partition_id()).count().collect()
+        assert len(crowded) == 8 and max(r["count"] for r in crowded) < 2600 / 2
+    finally:
+        joins.salted_left_join.__kwdefaults__ = defaults
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.id, r.rid) for r in spatial.join_regions(left, regions, region_id="rid", cell=25.0).collect() if r.rid} == want
+
+
 def test_regions_in_another_coordinate_system(spark):
     regions = spark.createDataFrame([("r", [[box(-13_200_000.0, 4_000_000.0, -13_100_000.0, 4_100_000.0)]])], f"rid string, geometry {SHAPE}")
     points = spark.createDataFrame([(1, -118.25, 34.05), (2, 0.0, 0.0)], "id int, longitude double, latitude double")
