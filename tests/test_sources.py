@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
@@ -11,7 +15,7 @@ from exposia import schemas
 from exposia.functions import geometry as geo
 from exposia.sources.delimited import accepted, quarantined, read_csv, read_csv_by_name, write_csv
 from exposia.sources.geojson import feature_lines, read_geojson
-from exposia.sources.staging import materialize, scratch_path
+from exposia.sources.staging import materialize, scratch_path, stages
 
 CRLF = "\r\n"
 
@@ -168,6 +172,34 @@ def test_stages_go_to_the_folder_the_session_names(spark):
     assert staged.inputFiles() and root in staged.inputFiles()[0] and staged.count() == 5
 
 
+def test_nothing_remains_of_scoped_stages(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    kept = materialize(spark.range(3))
+    before = {p for p in root.rglob("*") if p.is_dir()}
+    with stages(spark):
+        inner = materialize(spark.range(5))
+        with stages(spark):
+            assert materialize(inner.filter("id > 1")).count() == 3
+        assert inner.count() == 5
+    with pytest.raises(ZeroDivisionError), stages(spark):
+        materialize(spark.range(5))
+        raise ZeroDivisionError
+    assert {p for p in root.rglob("*") if p.is_dir()} == before and kept.count() == 3
+
+
+def test_own_temp_folder_goes_with_the_process(tmp_path):
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from exposia.sources.staging import materialize\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print(materialize(s.range(4)).count(), s.sparkContext.getCheckpointDir())\n"
+    )
+    home = str(Path(__file__).resolve().parents[1])
+    run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"TMPDIR": str(tmp_path), "PYTHONPATH": home}, capture_output=True, text=True, timeout=300)
+    assert run.stdout.startswith("4 "), run.stderr[-2000:]
+    assert not list(tmp_path.glob("exposia-*"))
+
+
 def test_wkt_goes_to_csv(spark, tmp_path):
     df = spark.createDataFrame([("a", [SQUARE])], "id string, geometry array<array<array<array<double>>>>")
     path = str(tmp_path / "wkt")
