@@ -24,6 +24,7 @@ from exposia.llm.text import mix, shingles, text_chunks, utf8, word_hashes
 SLOTS = 64
 _TABLE_BITS = 15
 _ROWS = 16_384
+PART_BYTES = 32 << 20  # of texts in a range
 _U = np.uint64
 _TABLES: list[np.ndarray] = []
 
@@ -78,7 +79,7 @@ def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         better = least < best[texts]
         best[texts] = np.where(better, least, best[texts])
         index = np.cumsum(np.r_[True, o[1:] != o[:-1]]) - 1
-        row, slot = np.nonzero((value == least[index]) & better[index])
+        row, slot = (x[::-1] for x in np.nonzero((value == least[index]) & better[index]))  # of ties the least term stays
         step = np.zeros(len(row), _U)
         if len(more):
             place = np.full(len(h), -1)
@@ -134,16 +135,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     with equal doc_id are ordered by a hash of their text, null doc_ids come last; a single row is
     its own next. Other columns of ``docs`` are ignored.
 
-    Rows are dealt to ranges of doc_id, and the first row of each range is repeated behind the range
-    before it, so no order is kept in one task. Only the first id of each range is collected.
+    Rows are dealt to ranges of doc_id (of the text's hash, where it is null) of about ``PART_BYTES``,
+    and the first row of each range is repeated behind the range before it, so no order is kept in one
+    task. Only the first id of each range is collected.
     """
     spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("mark"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("order", order)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    unnamed = F.col("doc_id").isNull()
+    size = F.octet_length("text")
+    total, of_unnamed = rows.agg(F.sum(size), F.sum(F.when(unnamed, size))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (total or 0) // PART_BYTES)
     bounds = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     above = [F.when(F.col("doc_id") < F.lit(int(x)), 1).otherwise(0) for x in sorted(set(bounds or []))]
-    part = F.coalesce(sum(above, F.lit(0)), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.lit(len(above) + 1)).otherwise(0)
+    pieces = 1 + (of_unnamed or 0) // PART_BYTES
+    piece = F.least(F.lit(pieces - 1), F.floor((F.col("order.mark") / float(1 << 64) + 0.5) * pieces)).cast("int")
+    part = F.when(unnamed, F.lit(len(above) + 1) + piece).otherwise(sum(above, F.lit(0)))
     rows = rows.withColumn("part", part)
     heads = rows.groupBy("part").agg(F.min("order").alias("order")).orderBy("part").collect()
     schema = f"order {rows.schema['order'].dataType.simpleString()}, before int"
@@ -158,6 +165,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         rows = rows.select("doc_id", "text", "order", "part", F.lit(False).alias("tail")).union(tails)
     else:
         rows = rows.withColumn("tail", F.lit(False))
-    rows = rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "tail", "order")
+    rows = rows.repartitionById(len(above) + 1 + pieces, "part").sortWithinPartitions("part", "tail", "order")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.select("doc_id", "text", "tail").mapInArrow(_fingerprint, schema)
