@@ -212,8 +212,23 @@ def inside(edge_list: Column | str, x: Column | str, y: Column | str) -> Column:
             .otherwise(bound(side(e, x, y), beside))
         )
 
+    def products(e: Column) -> tuple[Column, Column]:
+        return (e["x1"] - x) * (e["y2"] - y), (e["y1"] - y) * (e["x2"] - x)
+
+    def doubtful(e: Column) -> Column:
+        left, right = products(e)
+        level = (F.least(e["y1"], e["y2"]) <= y) & (y <= F.greatest(e["y1"], e["y2"]))
+        return level & (F.abs(left - right) <= (F.abs(left) + F.abs(right)) * _DOUBTFUL)
+
+    def crossed(e: Column) -> Column:
+        left, right = products(e)
+        return ((e["y1"] > y) != (e["y2"] > y)) & ((left > right) == (e["y2"] > e["y1"]))
+
+    edge_list = as_column(edge_list)
+    plain = F.aggregate(edge_list, F.lit(False), lambda odd, e: odd != crossed(e))
+    exact = F.aggregate(edge_list, F.lit(_EVEN), step) == _ODD
     known = x.isNotNull() & y.isNotNull()
-    return F.when(known, F.aggregate(as_column(edge_list), F.lit(_EVEN), step) == _ODD)
+    return F.when(known, F.when(F.exists(edge_list, doubtful), exact).otherwise(plain))
 
 
 _MOMENTS = ("size", "x", "y")
