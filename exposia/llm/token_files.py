@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from exposia.llm.files import new_name, reader, writer
-from exposia.llm.text import prefix_hash, span_hash, text_chunks, utf8, words
+from exposia.llm.lattice import Known, spans_of
+from exposia.llm.text import LOWER, SPACE, prefix_hash, span_hash, text_chunks, utf8, words
 from exposia.sources.staging import materialize, scratch_path
 
 END = 1
@@ -26,6 +27,8 @@ VOCABULARY = "word_bpe_49k.json"
 MARK_EVERY = 256
 _MAGIC = b"EFIDS001"
 _CACHED_WORDS = 900_000
+_JOINED_PARTS = 100  # encoded as one text
+_CHUNK = 1 << 20
 _READ_IDS = 1 << 20
 
 
@@ -83,44 +86,181 @@ class EliasFano:
         return cls(head["n"], head["low_bits"], low, high, marks)
 
 
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _OTHER = range(5)
+_BAR = ord("|")
+
+
+def _byte_kinds() -> np.ndarray:
+    """Kind of each byte; the bar, control characters and all bytes beyond ASCII are others."""
+    kinds = np.full(256, _OTHER, np.uint8)
+    for c in range(0x21, 0x7F):
+        kinds[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _SIGN
+    kinds[ord("'")], kinds[_BAR] = _APOSTROPHE, _OTHER
+    return kinds
+
+
+_KINDS = _byte_kinds()
+_CUT = np.zeros(64, bool)
+_CUT[[_LETTER * 8 + k for k in (_DIGIT, _SIGN, _APOSTROPHE)]] = True
+_CUT[[_DIGIT * 8 + k for k in (_LETTER, _DIGIT, _SIGN, _APOSTROPHE)]] = True
+_CUT[[_SIGN * 8 + k for k in (_LETTER, _DIGIT)]] = True
+_LATIN = 0xC3, 0xC9  # first bytes of U+00C0 to U+027F
+_NO_LETTER = (0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)  # two signs, and a letter whose lower case is no single letter
+_FIRST_MARK = 0xCC  # combining marks have no lesser first byte
+
+# What a vocabulary file must state so that its words fall apart at kinds of characters.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte, both bytes of a Latin letter as letters."""
+    kinds = _KINDS[data]
+    first = np.flatnonzero((data >= _LATIN[0]) & (data <= _LATIN[1]))
+    for a, b in _NO_LETTER:
+        first = first[(data[first] != a) | (data[first + 1] != b)]
+    kinds[first] = kinds[first + 1] = _LETTER
+    return kinds
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where the splitter surely cuts: start, end, text number and whether it is all letters;
+    and the bytes with A-Z lower-cased where that changes no id.
+
+    A cut is made only before ASCII or a Latin letter, which join nothing before them. A letter stays
+    as it is before a character that may be a combining mark, and in parts with a bar, which the names
+    of special tokens have.
+    """
+    kinds, space = kinds_of(data), SPACE[data]
+    edge = space.copy()  # whether a part starts here
+    edge[1:] |= space[:-1] | _CUT[kinds[:-1] * 8 + kinds[1:]]
+    edge[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(edge)
+    ends = np.append(starts[1:], len(data))
+    solid = ~space[starts]
+    starts, ends = starts[solid], ends[solid]
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    low = LOWER[data]
+    bare = np.flatnonzero((low[:-1] != data[:-1]) & (data[1:] >= _FIRST_MARK))
+    low[bare] = data[bare]
+    bars = np.unique(np.searchsorted(starts, np.flatnonzero(data == _BAR), "right") - 1)
+    for a, b in zip(starts[bars], ends[bars]):
+        low[a:b] = data[a:b]
+    strange = np.concatenate([[0], np.cumsum(kinds != _LETTER)])
+    return starts, ends, owner, strange[ends] == strange[starts], low
+
+
 class WordEncoder:
     """Ids of whole texts from ids of their words, each kind of word encoded once.
 
-    Right for tokenizers that never join across white space, as the given one, which drops it.
+    Right for tokenizers that never join across white space, as the given one, which drops it. Where the
+    vocabulary file has the given one's normaliser and splitter, words are cut further, and parts of
+    letters are encoded many at a time: each is one word to the tokenizer, whose last id says that it ends.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = np.dtype(np.uint32 if self.wide else np.uint16)
+        self.closes = self._closing(json.loads(self.tokenizer.to_str()))
+        self.known = Known(_CACHED_WORDS)
+        self._forget()
+
+    def _closing(self, stated: dict) -> np.ndarray | None:
+        """Which ids end a word, or None where words are not to be cut."""
+        model, suffix = stated["model"], stated["model"].get("end_of_word_suffix")
+        plain = not any(stated[k] for k in ("post_processor", "truncation", "padding")) and not model.get("dropout")
+        if not (plain and suffix and stated["normalizer"] == _NORMALIZER and stated["pre_tokenizer"] == _SPLITTER):
+            return None
+        for added in stated["added_tokens"]:
+            name = np.frombuffer(added["content"].encode(), np.uint8)
+            starts, *_ = parts(name, np.array([0, len(name)]))
+            if added["normalized"] or added["single_word"] or added["lstrip"] or added["rstrip"] or len(starts) != 1 or _BAR not in name:
+                return None
+        closes = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        closes[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+        return closes
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.solved, self.bounds = np.zeros(0, self.kind), np.zeros(1, np.int64)  # ids of all known parts
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(code.ids, self.kind) for code in found]
+
+    def _letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of letters, concatenated, and their number by part."""
+        joined, places = spans_of(np.append(data, np.uint8(0x20)), starts, ends + 1)
+        joined[places[1:] - 1] = 0x20
+        raw, cuts = joined.tobytes(), [*places[:-1:_JOINED_PARTS].tolist(), len(joined)]
+        ids = np.concatenate([np.zeros(0, self.kind), *self._each([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])])])
+        last = np.flatnonzero(self.closes[ids])
+        if len(last) != len(starts) or len(ids) and last[-1] != len(ids) - 1:
+            raise ValueError("the vocabulary does not end every word as stated")
+        return ids, np.diff(last, prepend=-1)
+
+    def _solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> None:
+        """Encode some parts; their ids follow those of all known parts."""
+        ids, count = np.zeros(0, self.kind), np.zeros(len(starts), np.int64)
+        if letters.any():
+            ids, count[letters] = self._letters(data, starts[letters], ends[letters])
+        rest = np.flatnonzero(~letters)
+        if len(rest):
+            raw = data.tobytes()
+            each = self._each([raw[a:b].decode() for a, b in zip(starts[rest], ends[rest])])
+            count[rest] = [len(x) for x in each]
+            ids = np.concatenate([ids, *each])
+            order = np.concatenate([np.flatnonzero(letters), rest])  # back to the order of the parts
+            begin = np.empty(len(starts), np.int64)
+            begin[order] = np.cumsum(count[order]) - count[order]
+            ids, _ = spans_of(ids, begin, begin + count)
+        self.solved = np.concatenate([self.solved, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(count)])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids with the end id after each text, and the number of ids of each text."""
         data, offsets = utf8(column)
-        starts, ends, owner = words(data, offsets)
-        name, at, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        names, known = name.tolist(), self.known
-        fresh = [i for i, h in enumerate(names) if h not in known]
-        kind = np.dtype(np.uint32 if self.wide else np.uint16)
-        raw = data.tobytes()
-        texts = [raw[starts[j] : ends[j]].decode() for j in at[fresh]] if fresh else []
-        for i, code in zip(fresh, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            known[names[i]] = np.array(code.ids, kind).tobytes()
-        tables = [known[h] for h in names]
-        sizes = np.fromiter(map(len, tables), np.int64, len(tables)) // kind.itemsize
-        flat = np.frombuffer(b"".join(tables), kind)
-        begin, count = (np.cumsum(sizes) - sizes)[back], sizes[back]
         n = len(offsets) - 1
+        if not len(data):
+            return np.full(n, END, self.kind), np.ones(n, np.int64)
+        if self.closes is None:
+            starts, ends, owner = words(data, offsets)
+            letters = np.zeros(len(starts), bool)
+        else:
+            starts, ends, owner, letters, data = parts(data, offsets)
+        name, at, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        if self.known.full:
+            self._forget()
+        number, fresh = self.known.find(name)
+        if fresh.any():
+            new = at[fresh]
+            self._solve(data, starts[new], ends[new], letters[new])
+        size = self.bounds[number + 1] - self.bounds[number]
+        begin, count = self.bounds[number][back], size[back]
         per_text = np.bincount(owner, count, minlength=n).astype(np.int64) + 1
-        out = np.full(per_text.sum(), END, flat.dtype)
+        out = np.full(per_text.sum(), END, self.kind)
         place = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
         body = np.ones(len(out), bool)
         body[np.cumsum(per_text) - 1] = False
-        out[body] = flat[place]
+        out[body] = self.solved[place]
         return out, per_text
 
 
@@ -141,7 +281,7 @@ def _write(folder: str, vocabulary: str):
         shard = TaskContext.get().partitionId()
         with writer(path) as out:
             out.write(_MAGIC)
-            for batch in text_chunks(batches):
+            for batch in text_chunks(batches, limit=_CHUNK):
                 tokens, count = encode(batch.column("text"))
                 out.write(tokens.astype(tokens.dtype.newbyteorder("<")).tobytes())
                 sizes.append(count)
