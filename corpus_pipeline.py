@@ -56,8 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they give back."""
     queries.prepare_workers(spark)
-    path = f"{queries.TOKENIZERS}/{transducer.VOCABULARY}"
-    found = transducer.decode(transducer.encode(docs, path), path)
+    found = transducer.round_trip(docs, f"{queries.TOKENIZERS}/{transducer.VOCABULARY}")
     return found.select("row.*", "ids", "n_ids", "text")
 
 

@@ -63,8 +63,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     path = f"{tokenizers}/{transducer.VOCABULARY}"
-    encoded = transducer.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return transducer.decode(encoded, path).select("row.doc_id", "n_ids", "ids_crc32", "text_sha256")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return transducer.round_trip(docs, path).select("row.doc_id", "n_ids", "ids_crc32", "text_sha256")
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ BYTE_COST = 1e7
 RESERVED = 1e6  # ranks above mark pieces that the vocabulary sets apart
 _CACHED_PARTS = 350_000
 _PARTS_AT_ONCE = 20_000  # parts of one lattice
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 class Transducer:
@@ -61,7 +61,7 @@ class Transducer:
             if b" " in text.lstrip(b" "):
                 raise ValueError(f"a piece crosses a border: {text!r}")
         inside = {c for text in best if len(text) > 1 for c in text}
-        self.kind = np.full(256, 2)  # 0: space, 1: control characters that stand alone, 2: others
+        self.kind = np.full(256, 2, np.uint8)  # 0: space, 1: control characters that stand alone, 2: others
         self.kind[[c for c in range(0x20) if c not in inside]] = 1
         self.kind[0x20] = 0
         self.pieces = Pieces(list(best))
@@ -133,49 +133,64 @@ def load(path: str) -> Transducer:
     return _LOADED[path]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    model = load(path)
+    for batch in text_chunks(batches, limit=_CHUNK):
+        ids, offsets = model.encode(batch.column("text"))
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["row", "ids"])
+    give_back()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    model = load(path)
+    for batch in batches:
+        for start in range(0, len(batch), 250):
+            part = batch.slice(start, 250)
+            lists = part.column("ids")
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).astype(np.int64)
+            flat = np.asarray(pc.list_flatten(lists), "<i4")
+            ids = np.split(flat, offsets[1:-1])
+            texts = model.decode(flat, offsets)
+            columns = [
+                part.column("row"),
+                lists,
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                pa.array(texts, pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "n_ids", "ids_crc32", "text", "text_sha256"])
+    give_back()
+
+
+_DECODED = "ids array<int>, n_ids long, ids_crc32 long, text string, text_sha256 string"
+
+
+def _with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``row`` (all columns but the text) and ``text``, and the type of the first."""
+    other = docs.drop("text")
+    row = F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("row")
+    return docs.select(row, F.col("text").alias("text")), other.schema.simpleString()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``row`` (all columns of ``docs`` but the text) and ``ids``. A null or empty text has no ids.
 
     The mark itself (U+2581) in a text is read as a space.
     """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
-        for batch in text_chunks(batches, limit=_CHUNK):
-            ids, offsets = model.encode(batch.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["row", "ids"])
-        give_back()
-
-    other = docs.drop("text")
-    row = F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("row")
-    return docs.select(row, F.col("text").alias("text")).mapInArrow(rows, f"row {other.schema.simpleString()}, ids array<int>")
+    rows, kind = _with_row(docs)
+    return rows.mapInArrow(lambda batches: _encoded(batches, path), f"row {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``row``, ``ids``, ``n_ids``, ``ids_crc32`` (of the ids as little-endian 32-bit), ``text`` and its
     ``text_sha256``; null ids are no ids."""
+    kind = encoded.select("row").schema["row"].dataType.simpleString()
+    return encoded.select("row", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"row {kind}, {_DECODED}")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
-        for batch in batches:
-            for start in range(0, len(batch), 250):
-                part = batch.slice(start, 250)
-                lists = part.column("ids")
-                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).astype(np.int64)
-                flat = np.asarray(pc.list_flatten(lists), "<i4")
-                ids = np.split(flat, offsets[1:-1])
-                texts = model.decode(flat, offsets)
-                columns = [
-                    part.column("row"),
-                    lists,
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    pa.array(texts, pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "n_ids", "ids_crc32", "text", "text_sha256"])
-        give_back()
 
-    kind = encoded.select("row").schema["row"].dataType.simpleString()
-    return encoded.select("row", "ids").mapInArrow(rows, f"row {kind}, ids array<int>, n_ids long, ids_crc32 long, text string, text_sha256 string")
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """:func:`decode` of :func:`encode`, by one worker a task instead of one for each of both."""
+    rows, kind = _with_row(docs)
+    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), f"row {kind}, {_DECODED}")
